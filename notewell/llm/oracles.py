@@ -2,6 +2,37 @@
 
 from __future__ import annotations
 
+OP2_REPETITION = r"""
+WITH RECURSIVE dl AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), dw AS (SELECT doc_id, w, len(w) AS n, text FROM dl),
+grams AS (
+  SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS gram FROM dw, (VALUES (3), (8)) AS z(k), unnest(range(1, n - k + 2)) AS t(s)
+), twice AS (
+  SELECT doc_id, k, s, gram FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, k, gram) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) FILTER (k = 3) AS n_repeat_words, count(DISTINCT p) FILTER (k = 8) AS n_covered
+  FROM twice, unnest(range(s, s + k)) AS t(p) GROUP BY doc_id
+), chains AS (
+  SELECT a.doc_id, a.s AS s, b.s - a.s AS gap FROM twice a JOIN twice b ON a.doc_id = b.doc_id AND a.k = 8 AND b.k = 8 AND a.gram = b.gram AND a.s < b.s
+), islands AS (
+  SELECT doc_id, gap, s - row_number() OVER (PARTITION BY doc_id, gap ORDER BY s) AS island FROM chains
+), longest AS (
+  SELECT doc_id, max(n) AS longest_repeat FROM (SELECT doc_id, count(*) + 7 AS n FROM islands GROUP BY doc_id, gap, island) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM dw)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), counted AS (
+  SELECT d.doc_id, CAST(n AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, coalesce(longest_repeat, 0) AS longest_repeat
+  FROM dw d LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id) LEFT JOIN longest g USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered <= 40 * n_words AND longest_repeat <= 100 AS kept
+FROM counted
+"""
+
 OP7_DECONTAMINATE = r"""
 WITH dw AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import decontaminate
+from notewell.llm import decontaminate, repetition
 from notewell.llm.common import sha256_of, table
 
 
+def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = repetition.repetition_rules(docs, "rules", keep=["doc_id"])
+    return judged.select(
+        "doc_id", *[f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat")]
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.suffix_matches(docs, table(spark, sf_dir, "benchmark"), "found", keep=["doc_id"])
