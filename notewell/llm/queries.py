@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import decontaminate, repetition
+from notewell.llm import decontaminate, licences, repetition
 from notewell.llm.common import sha256_of, table
 
 
@@ -31,3 +31,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("found.n_hit") > 0).alias("contaminated"),
         F.coalesce(longest, F.lit(0)).cast("bigint").alias("longest_match"),
     )
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.license_spans(docs, "found", keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        *[f"found.{c}" for c in ("n_words", "n_base", "first_word", "last_word")],
+        F.array_join("found.base_labels", ",").alias("base_labels"),
+        F.array_join("found.labels", ",").alias("labels"),
+        "found.score",
+        F.array_join(F.transform("found.spans", lambda s: F.concat_ws(":", s["label"], s["doc_start"], s["doc_end"])), ",").alias("spans"),
+    )
