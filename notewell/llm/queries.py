@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import decontaminate, licences, repetition
+from notewell.llm import decontaminate, licences, repetition, secrets
 from notewell.llm.common import sha256_of, table
 
 
@@ -17,6 +17,18 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.secret_spans(docs, "found", secrets.infer_formats(docs), keep=["doc_id"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("found.base", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in secrets.KINDS],
+        sha256_of(joined("found.base")).alias("base_sha256"),
+        joined("found.spans").alias("spans"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.suffix_matches(docs, table(spark, sf_dir, "benchmark"), "found", keep=["doc_id"])
