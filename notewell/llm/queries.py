@@ -9,6 +9,10 @@ from notewell.llm import decontaminate, licences, repetition, secrets
 from notewell.llm.common import sha256_of, table
 
 
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = repetition.repetition_rules(docs, "rules", keep=["doc_id"])
@@ -23,7 +27,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("found.base", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in secrets.KINDS],
+        *[F.size(F.filter("found.base", _of_kind(kind))).cast("bigint").alias(f"n_{kind}") for kind in secrets.KINDS],
         sha256_of(joined("found.base")).alias("base_sha256"),
         joined("found.spans").alias("spans"),
     )
