@@ -64,3 +64,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_
   sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated, coalesce(l.longest_match, 0) AS longest_match
 FROM dl d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id) LEFT JOIN longest l USING (doc_id)
 """
+
+OP10_DEBRUIJN = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS gram FROM dw, unnest(range(1, len(w) - 11)) AS t(s)
+), again AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY gram) AS first_doc FROM grams) WHERE first_doc < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM again, unnest(range(s, s + 13)) AS t(p)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM dw
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), removed AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM dw d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import decontaminate, licences, repetition, secrets
+from notewell.llm import debruijn, decontaminate, licences, repetition, secrets
 from notewell.llm.common import sha256_of, table
 
 
@@ -60,3 +60,9 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "found.score",
         F.array_join(F.transform("found.spans", lambda s: F.concat_ws(":", s["label"], s["doc_start"], s["doc_end"])), ",").alias("spans"),
     )
+
+
+def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = debruijn.remove_repeated(docs, "left", with_text=False, keep=["doc_id"])
+    return left.select("doc_id", *[f"left.{c}" for c in ("n_words", "n_removed", "kept_sha256")])
