@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+OP1_WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), m AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_page FROM p),
+framed AS (
+  SELECT *, 87 + CASE WHEN payload_bytes = 0 THEN 0 ELSE
+    (payload_bytes // 4096) * (4 + 4096 + 4) +
+    CASE WHEN payload_bytes % 4096 = 0 THEN 0 ELSE length(printf('%x', payload_bytes % 4096)) + payload_bytes % 4096 + 4 END END + 5 AS block_bytes FROM m
+)
+SELECT page_id, payload_bytes,
+  (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1), '' ORDER BY i)
+   FROM (SELECT i, CAST('0x' || substr(h, CAST(10 * (i // 8) + 1 AS INTEGER), 10) AS BIGINT) AS v FROM range(0, 32) AS t(i))) AS payload_digest,
+  CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_page THEN NULL ELSE first_page END AS refers_to,
+  CASE WHEN page_id = first_page THEN (block_bytes + 16383) // 16384 ELSE 1 END AS segments, 'ok' AS status
+FROM framed
+"""
+
 OP2_REPETITION = r"""
 WITH RECURSIVE dl AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import debruijn, decontaminate, licences, repetition, secrets
+from notewell.llm import debruijn, decontaminate, licences, repetition, secrets, warc
 from notewell.llm.common import sha256_of, table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", "status")
+
+
 def _of_kind(kind: str):
     return lambda span: span["kind"] == kind
 
