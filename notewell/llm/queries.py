@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import debruijn, decontaminate, licences, repetition, secrets, warc
+from notewell.llm import debruijn, decontaminate, licences, ranking, repetition, secrets, warc
 from notewell.llm.common import sha256_of, table
 
 
@@ -25,6 +25,13 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ranking.fit(docs, table(spark, sf_dir, "labels"))
+    scored = ranking.quality_scores(docs, "made", model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(ranking.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "made.score", "made.predicted")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.secret_spans(docs, "found", secrets.infer_formats(docs), keep=["doc_id"])
