@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import debruijn, decontaminate, licences, ranking, repetition, secrets, warc
+from notewell.llm import debruijn, decontaminate, licences, privacy, ranking, repetition, secrets, warc
 from notewell.llm.common import sha256_of, table
 
 
@@ -60,6 +60,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.private_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("spans", _of_kind(kind))).cast("bigint").alias(f"n_{kind}") for kind in privacy.KINDS],
+        sha256_of(joined("spans")).alias("base_sha256"),
+        joined(F.concat("spans", "terms")).alias("spans"),
+    )
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licences.license_spans(docs, "found", keep=["doc_id"])
