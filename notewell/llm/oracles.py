@@ -51,6 +51,27 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM counted
 """
 
+OP3_JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + least(len(w), 5) - 1], ' ') AS gram FROM w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS t(s) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+prints AS (SELECT doc_id, md5(string_agg(gram, chr(10) ORDER BY gram)) AS p FROM shingles GROUP BY doc_id),
+points AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY p) AS point FROM prints),
+ps AS (SELECT s.* FROM shingles s JOIN points q USING (doc_id) WHERE q.doc_id = q.point),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM ps a JOIN ps b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, seen) AS (
+  SELECT a, a FROM both_ways UNION SELECT reach.node, b FROM reach JOIN both_ways ON reach.seen = a
+), label AS (SELECT node, min(seen) AS label FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.label, q.point, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN points q USING (doc_id) LEFT JOIN label l ON l.node = q.point
+"""
+
 OP7_DECONTAMINATE = r"""
 WITH dw AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (
