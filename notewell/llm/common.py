@@ -7,6 +7,7 @@ speed without decoding.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -115,8 +116,12 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
+        """Write ``df`` and read it back; ``release`` lets go of the shuffle files of its making."""
         df.write.mode("overwrite").parquet(self.path(name))
+        if release:  # Spark deletes shuffle files once the driver has collected what refers to them
+            gc.collect()
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

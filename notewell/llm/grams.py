@@ -1,22 +1,29 @@
-"""64-bit hashes of word sequences, as NumPy arrays."""
+"""64-bit hashes of words and word sequences, computed over whole blocks with NumPy."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xD1B54A32D192ED03 * (k + 1))) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(64)], np.uint64)
+#: Bytes hashed together; longer texts are cut at white space.
+SLICE_BYTES = 2_000_000
 
+_SEED = np.random.default_rng(20240101)
+_ODD = _SEED.integers(0, 2**64, 64, np.uint64) | np.uint64(1)
+_BYTE = _SEED.integers(0, 2**64, 256, np.uint64)
+_BASE = int(_SEED.integers(0, 2**64, dtype=np.uint64)) | 5
+_INVERSE = pow(_BASE, -1, 2**64)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_powers: dict[int, np.ndarray] = {}
 
-class WordHashes(dict):
-    """Hash of each word, kept for the words of one block."""
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _power(base: int, n: int) -> np.ndarray:
+    """Powers 0..n of an odd number modulo 2**64."""
+    held = _powers.get(base)
+    if held is None or len(held) <= n:
+        held = np.full(max(n, SLICE_BYTES) + 1, base, np.uint64)
+        held[0] = 1
+        _powers[base] = held = np.cumprod(held)
+    return held
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -28,6 +35,47 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every run of bytes between white space."""
+    raw = np.frombuffer(data, np.uint8)
+    gap = np.ones(len(raw) + 2, np.int8)
+    gap[1:-1] = _SPACE[raw]
+    edges = np.flatnonzero(np.diff(gap))
+    starts, ends = edges[::2], edges[1::2]
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _power(_BASE, len(raw))[: len(raw)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * _power(_INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def _cuts(data: bytes) -> list[int]:
+    """Places at white space, about SLICE_BYTES apart."""
+    at = [0]
+    while len(data) - at[-1] > SLICE_BYTES:
+        end = at[-1] + SLICE_BYTES
+        spaces = [p for p in (data.find(c, end) for c in (b" ", b"\n")) if p >= 0]
+        if not spaces:
+            break
+        at.append(min(spaces))
+    return [*at, len(data)]
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs between ``\\x20\\x09-\\x0D``) of all texts, and the words before each.
+
+    The second array has one place more than there are texts: text k has words [k] to [k + 1].
+    """
+    data = b"\n".join(t or b"" for t in texts)
+    begins = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+    hashes, starts = [], []
+    cuts = _cuts(data)
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        h, s = _hashed(data[low:high])
+        hashes.append(h)
+        starts.append(s + low)
+    where = np.concatenate(starts)
+    return np.concatenate(hashes), np.searchsorted(where, begins)
+
+
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` words; empty if there are fewer words."""
     n = len(words) - size + 1
@@ -37,3 +85,14 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         total += words[k : k + n] * _ODD[k]
     return mixed(total)
+
+
+def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost least value of every window."""
+    n = len(values) - width + 1
+    place, least = np.arange(n), values[:n].copy()
+    for k in range(1, width):
+        smaller = values[k : k + n] < least
+        least[smaller] = values[k : k + n][smaller]
+        place[smaller] = np.flatnonzero(smaller) + k
+    return place

@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewell.llm.common import Workspace, blocks, space_words
+from notewell.llm.common import Workspace, blocks
 from notewell.llm.components import components
-from notewell.llm.grams import WordHashes, gram_hashes
+from notewell.llm.grams import gram_hashes, word_hashes
 
 SIZE = 5
 #: Links need 100 * intersection >= SIMILAR * union.
@@ -47,10 +47,17 @@ POINTS = "doc_id bigint, print binary, n bigint, shingles binary"
 EDGE = "a bigint, b bigint"
 
 
-def shingles(hashes: WordHashes, text: bytes | None, size: int) -> np.ndarray:
-    """Ascending distinct shingle hashes of a text."""
-    words = hashes.of(space_words((text or b"").lower()))
-    return np.unique(gram_hashes(words, min(size, len(words)))) if len(words) else np.empty(0, np.uint64)
+def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
+    """Ascending distinct shingle hashes of each text, with A-Z lower-cased."""
+    words, bounds = word_hashes([t.lower() if t else t for t in texts])
+    grams = gram_hashes(words, size)
+    out = []
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if high - low >= size:
+            out.append(np.unique(grams[low : high - size + 1]))
+        else:
+            out.append(gram_hashes(words[low:high], high - low) if high > low else np.empty(0, np.uint64))
+    return out
 
 
 def prefix_length(n: int, similar: int = SIMILAR) -> int:
@@ -66,9 +73,7 @@ def _by_text(docs: DataFrame, size: int, schema: str, emit) -> DataFrame:
         for batch in batches:
             ids, at = batch.column(0).to_pylist(), 0
             for block in blocks(batch.column(1).to_pylist()):
-                hashes = WordHashes()
-                sets = [shingles(hashes, text, size) for text in block]
-                yield pa.RecordBatch.from_arrays(emit(ids[at : at + len(block)], sets), names=names)
+                yield pa.RecordBatch.from_arrays(emit(ids[at : at + len(block)], shingle_sets(block, size)), names=names)
                 at += len(block)
 
     return source.mapInArrow(run, schema)
@@ -226,17 +231,17 @@ def region_members(sets: DataFrame, space: Workspace) -> DataFrame:
     points = sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"))
     rows = points.select("doc_id", F.size("keys").alias("of"), F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("key", "met")
-    live = space.save(rows.join(shared, F.col("key") == F.col("met")).select("key", "doc_id", "of", "m"), "live")
+    live = space.save(rows.join(shared, F.col("key") == F.col("met")).select("key", "doc_id", "of", "m"), "live", release=True)
     central = live.groupBy("doc_id").agg((F.sum(F.log2(F.col("m").cast("double"))) / F.max("of")).alias("score")).withColumnRenamed("doc_id", "id")
     scored = live.join(central, F.col("doc_id") == F.col("id")).select("key", "doc_id", F.struct(F.round("score", 6), -F.col("doc_id")).alias("rank"))
     pivots = scored.groupBy(F.col("key").alias("met")).agg(F.max_by("doc_id", "rank").alias("pivot"))
-    return space.save(live.join(pivots, F.col("key") == F.col("met")).select("pivot", "doc_id").distinct(), "members")
+    return space.save(live.join(pivots, F.col("key") == F.col("met")).select("pivot", "doc_id").distinct(), "members", release=True)
 
 
 def link_edges(docs: DataFrame, sets: DataFrame, space: Workspace, size: int, similar: int, leaf: int) -> DataFrame:
     """Edges between points that connect exactly what links connect."""
     members = region_members(sets, space)
-    shingled = space.save(_points(docs, size, members), "points").select(F.col("doc_id").alias("id"), "shingles")
+    shingled = space.save(_points(docs, size, members), "points", release=True).select(F.col("doc_id").alias("id"), "shingles")
     sizes = members.groupBy(F.col("pivot").alias("region")).agg(F.count("*").alias("m")).where("m > 1")
     placed = members.join(sizes, F.col("pivot") == F.col("region"))
     # every block of a region holds its pivot
@@ -247,6 +252,7 @@ def link_edges(docs: DataFrame, sets: DataFrame, space: Workspace, size: int, si
     edges = space.save(
         _join_blocks(first.select(F.struct("pivot", "block").alias("task"), "doc_id", (F.col("doc_id") == F.col("pivot")).alias("is_pivot"), F.lit(-1).cast("bigint").alias("grp"), "shingles"), similar),
         "edges-0",
+        release=True,
     )
     big = space.save(placed.where(F.col("m") > leaf).select("pivot", "doc_id"), "big")
     if big.limit(1).count() == 0:
