@@ -72,6 +72,53 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.label, q.point, d.do
 FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN points q USING (doc_id) LEFT JOIN label l ON l.node = q.point
 """
 
+
+
+def _shared(level: str, family: str, name: str) -> str:
+    by = f"PARTITION BY {family}" if family else ""
+    joined = f"JOIN {level}_parent USING ({family})" if family else f"CROSS JOIN {level}_parent"
+    keys = f"{family}, {name}" if family else name
+    return f"""
+{level}_nodes AS (SELECT {keys}, CAST(sum(tokens) * 4 AS BIGINT) AS capacity FROM leaves GROUP BY {keys}),
+{level}_offered AS (SELECT n.*, offered, CASE {WEIGHTS[name]} ELSE 1 END AS weight FROM {level}_nodes n {joined}),
+{level}_ranked AS (SELECT *, sum(weight) OVER ({by}) AS all_weight,
+  coalesce(sum(weight) OVER ({by} ORDER BY CAST(capacity AS DOUBLE) / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before,
+  coalesce(sum(capacity) OVER ({by} ORDER BY CAST(capacity AS DOUBLE) / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capacity_before FROM {level}_offered),
+{level}_marked AS (SELECT *, capacity * (all_weight - weight_before) <= (offered - capacity_before) * weight AS filled FROM {level}_ranked),
+{level}_used AS (SELECT *, coalesce(sum(capacity) FILTER (filled) OVER ({by}), 0) AS given, coalesce(sum(weight) FILTER (filled) OVER ({by}), 0) AS weight_given FROM {level}_marked),
+{level}_budget AS (SELECT {keys}, CASE WHEN filled THEN capacity ELSE ((offered - given) * weight) // (all_weight - weight_given) END AS offered FROM {level}_used)"""
+
+
+WEIGHTS = {
+    "domain": "domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 WHEN 'd3' THEN 1",
+    "language": "language WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 WHEN 'es' THEN 1",
+    "source": "WHEN false THEN 1",
+}
+
+OP4_MIXING = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS language,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+), rows_ AS (SELECT doc_id, 'd' || CAST(CAST('0x' || substr(md5(source), 1, 1) AS INTEGER) % 4 AS VARCHAR) AS domain, language, source, n_tokens FROM docs),
+leaves AS (SELECT domain, language, source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM rows_ GROUP BY ALL),
+top_parent AS (SELECT least(sum(tokens), sum(tokens * 4)) AS offered FROM leaves),
+{_shared("top", "", "domain")},
+mid_parent AS (SELECT * FROM top_budget),
+{_shared("mid", "domain", "language")},
+low_parent AS (SELECT * FROM mid_budget),
+{_shared("low", "domain, language", "source")},
+plan AS (
+  SELECT domain, language, source, CASE WHEN tokens > 0 THEN offered // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN offered % tokens ELSE 0 END AS rest
+  FROM leaves JOIN low_budget USING (domain, language, source)
+), placed AS (
+  SELECT r.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, language, source
+    ORDER BY md5('17:' || CAST(CAST(whole AS BIGINT) AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) AS reach
+  FROM rows_ r JOIN plan USING (domain, language, source)
+)
+SELECT doc_id, domain, language, source, n_tokens, CAST(whole + CASE WHEN reach <= rest AND rest > 0 THEN 1 ELSE 0 END AS BIGINT) AS epochs
+FROM placed WHERE whole + CASE WHEN reach <= rest AND rest > 0 THEN 1 ELSE 0 END > 0
+"""
+
 OP7_DECONTAMINATE = r"""
 WITH dw AS (
   SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (

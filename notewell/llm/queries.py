@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import debruijn, decontaminate, jaccard, licences, privacy, ranking, repetition, secrets, warc
+from notewell.llm import debruijn, decontaminate, jaccard, licences, mixing, privacy, ranking, repetition, secrets, warc
 from notewell.llm.common import sha256_of, table
 
 
@@ -29,6 +29,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ranking.fit(docs, table(spark, sf_dir, "labels"))
