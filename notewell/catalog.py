@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from notewell.plans import queries as _queries  # noqa: F401  registers them
+from notewell.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "bm25_search"
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
