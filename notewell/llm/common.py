@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -118,11 +119,19 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
         """Write ``df`` and read it back; ``release`` lets go of the shuffle files of its making."""
+        schema = df.schema
         df.write.mode("overwrite").parquet(self.path(name))
-        if release:  # Spark deletes shuffle files once the driver has collected what refers to them
+        if release:
+            del df
+            self.release()
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def release(self) -> None:
+        """Spark deletes the shuffle files of finished jobs once the driver has collected its garbage."""
+        for _ in range(3):  # the first round frees what the later ones' objects are held by
             gc.collect()
             self.spark._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+            time.sleep(0.4)
 
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewell.llm.common import Workspace, blocks, fresh_name, space_words, with_struct
-from notewell.llm.grams import WordHashes, gram_hashes
+from notewell.llm.grams import gram_hashes, least_in_windows, word_hashes
 
 SIZE = 13
-MINIMIZER = 5
+MINIMIZER = 4
 HOT_ROWS = 5_000
 MAX_HOT = 100_000
 #: Rows of a key in one task from which the counting pass reports it.
@@ -53,19 +53,17 @@ class EdgeRows:
     """Runs of windows around one minimizer: key, document, first start and the window hashes."""
 
     def __init__(self, ids: list[int], texts: list[bytes], size: int, minimizer: int) -> None:
-        hashes = WordHashes()
-        parts: list[tuple] = []
-        for doc, text in zip(ids, texts, strict=True):
-            words = hashes.of(space_words(text))
-            windows = gram_hashes(words, size)
-            if not len(windows):
-                continue
-            short = gram_hashes(words, minimizer)
-            best = np.lib.stride_tricks.sliding_window_view(short, size - minimizer + 1).argmin(axis=1) + np.arange(len(windows))
-            heads = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
-            parts.append((short[best[heads]], np.full(len(heads), doc, np.int64), heads + (_tag(text) << _TAG), np.diff(np.append(heads, len(windows))), windows))
-        join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind)
-        self.key, self.doc, self.start, self.count, self.windows = join(0, np.uint64), join(1, np.int64), join(2, np.int64), join(3, np.int64), join(4, np.uint64)
+        words, bounds, _ = word_hashes(texts)
+        doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        windows = gram_hashes(words, size)
+        whole = np.flatnonzero(doc[: len(windows)] == doc[size - 1 :][: len(windows)])
+        short = gram_hashes(words, minimizer)
+        best = least_in_windows(short, size - minimizer + 1)[whole] if len(whole) else whole
+        heads = np.flatnonzero(np.append(True, np.diff(best) != 0)) if len(whole) else whole
+        owner = doc[whole[heads]]
+        self.key, self.doc = short[best[heads]], np.array(ids, np.int64)[owner]
+        self.start = whole[heads] - bounds[owner] + (np.array([_tag(t) for t in texts], np.int64)[owner] << _TAG)
+        self.count, self.windows = np.diff(np.append(heads, len(whole))), windows[whole]
 
     def chosen(self, mask: np.ndarray) -> EdgeRows:
         out = object.__new__(EdgeRows)
@@ -172,7 +170,7 @@ def _repeated(batches):
         held = [key[last], window[last], doc[last], start[last]]
 
 
-def repeated_edges(docs: DataFrame, size: int = SIZE, minimizer: int = MINIMIZER, hot_rows: int = HOT_ROWS, reported: int = REPORTED) -> DataFrame:
+def repeated_edges(docs: DataFrame, space: Workspace, size: int = SIZE, minimizer: int = MINIMIZER, hot_rows: int = HOT_ROWS, reported: int = REPORTED) -> DataFrame:
     """Runs of repeated edges (doc_id, start, n edges, source_doc, source_start) with tagged starts."""
     hot = hot_keys(docs, size, minimizer, hot_rows, reported)
     cold = _edges(docs, size, minimizer, EDGES, lambda e: _packed(e.chosen(~_hot_mask(e.key, hot)) if len(hot) else e))
@@ -185,7 +183,7 @@ def repeated_edges(docs: DataFrame, size: int = SIZE, minimizer: int = MINIMIZER
         offset = np.arange(len(e.windows)) - np.repeat(np.cumsum(e.count) - e.count, e.count)
         return pa.RecordBatch.from_arrays([pa.array(e.windows.view(np.int64)), pa.array(np.repeat(e.doc, e.count)), pa.array(np.repeat(e.start, e.count) + offset)], names=["edge", "doc_id", "start"])
 
-    edges = _edges(docs, size, minimizer, "edge bigint, doc_id bigint, start bigint", single)
+    edges = space.save(_edges(docs, size, minimizer, "edge bigint, doc_id bigint, start bigint", single), "hot")
     first = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     again = edges.join(first, "edge").where(F.col("first.doc_id") < F.col("doc_id"))
     return found.unionByName(again.select("doc_id", "start", F.lit(1).cast("bigint").alias("n"), F.col("first.doc_id").alias("source_doc"), F.col("first.start").alias("source_start")))
@@ -209,7 +207,7 @@ def remove_repeated(docs: DataFrame, name: str, size: int = SIZE, with_text: boo
     """``docs`` with a struct column ``name``: what is left of each text without repeated paths."""
     columns = docs.columns if keep is None else keep
     space = Workspace(docs.sparkSession)
-    paths = compacted(space.save(repeated_edges(docs, size, **how), "edges"))
+    paths = compacted(space.save(repeated_edges(docs, space, size, **how), "edges", release=True))
     spans = fresh_name(docs, "spans")
     by_doc = paths.groupBy(F.col("doc_id").alias(f"{spans}_id")).agg(F.collect_list(F.struct("start", (F.col("n") + size - 1).alias("n"))).alias(spans))
     joined = docs.join(by_doc, docs["doc_id"].cast("bigint") == by_doc[f"{spans}_id"], "left").drop(f"{spans}_id")

@@ -35,8 +35,8 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every run of bytes between white space."""
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and length of every run of bytes between white space."""
     raw = np.frombuffer(data, np.uint8)
     gap = np.ones(len(raw) + 2, np.int8)
     gap[1:-1] = _SPACE[raw]
@@ -44,7 +44,7 @@ def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edges[::2], edges[1::2]
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * _power(_BASE, len(raw))[: len(raw)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * _power(_INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64)), starts
+    return mixed((total[ends] - total[starts]) * _power(_INVERSE, len(raw))[starts] + (ends - starts).astype(np.uint64)), starts, ends - starts
 
 
 def _cuts(data: bytes) -> list[int]:
@@ -59,21 +59,22 @@ def _cuts(data: bytes) -> list[int]:
     return [*at, len(data)]
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs between ``\\x20\\x09-\\x0D``) of all texts, and the words before each.
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (runs between ``\\x20\\x09-\\x0D``) of all texts, bounds, and lengths in bytes.
 
-    The second array has one place more than there are texts: text k has words [k] to [k + 1].
+    There is one bound more than there are texts: text k has words [bounds[k]] to [bounds[k + 1]].
     """
     data = b"\n".join(t or b"" for t in texts)
     begins = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
-    hashes, starts = [], []
+    hashes, starts, lengths = [], [], []
     cuts = _cuts(data)
     for low, high in zip(cuts, cuts[1:], strict=False):
-        h, s = _hashed(data[low:high])
+        h, s, n = _hashed(data[low:high])
+        lengths.append(n)
         hashes.append(h)
         starts.append(s + low)
     where = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(where, begins)
+    return np.concatenate(hashes), np.searchsorted(where, begins), np.concatenate(lengths)
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -13,7 +13,8 @@ the blocks leave unconnected is joined again, block by block, with just the boun
 distance window reaches it. Every link between different texts is kept as a path of links.
 
 The global order puts frequent shingles last (a counting pass; at most MAX_HOT of them are told
-apart, and any order gives the same links), so that common passages elect no regions of their own.
+apart) and otherwise long shingles, which are rarer, first. Any order gives the same links; this
+one keeps common passages and chance repeats of short words from electing regions of their own.
 
 Defined results: null and empty texts have no shingles and link with nothing; texts of fewer than
 ``size`` words have one shingle; rows with a null doc_id take no part and get no component; rows
@@ -25,7 +26,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,30 +38,39 @@ SIZE = 5
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
 LEAF = 256
+#: One key in so many shingles is asked for beyond the first shared one.
+SHARED_PART = 20
 HOT_ROWS = 64
 REPORTED = 4
 MAX_HOT = 500_000
 
 SETS = "doc_id bigint, print binary, n bigint, keys array<bigint>"
-POINTS = "doc_id bigint, print binary, n bigint, shingles binary"
 EDGE = "a bigint, b bigint"
 
 
-def shingle_sets(texts: list[bytes | None], size: int) -> list[np.ndarray]:
-    """Ascending distinct shingle hashes of each text, with A-Z lower-cased."""
-    words, bounds = word_hashes([t.lower() if t else t for t in texts])
+def shingle_sets(texts: list[bytes | None], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ascending distinct shingle hashes of each text, with A-Z lower-cased, and their bytes of words."""
+    words, bounds, lengths = word_hashes([t.lower() if t else t for t in texts])
     grams = gram_hashes(words, size)
+    total = np.append(0, np.cumsum(lengths))
     out = []
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if high - low >= size:
-            out.append(np.unique(grams[low : high - size + 1]))
+            row, first = np.unique(grams[low : high - size + 1], return_index=True)
+            out.append((row, total[low + first + size] - total[low + first]))
         else:
-            out.append(gram_hashes(words[low:high], high - low) if high > low else np.empty(0, np.uint64))
+            out.append((gram_hashes(words[low:high], high - low) if high > low else np.empty(0, np.uint64), total[high : high + (high > low)] - total[low]))
     return out
 
 
+def least_shared(n: int) -> int:
+    """Keys that a point of n shingles shares at least with every point it links with of its size."""
+    return 1 + n // SHARED_PART
+
+
 def prefix_length(n: int, similar: int = SIMILAR) -> int:
-    return n - -(-similar * n // 100) + 1
+    """First shingles such that two linking points share ``least_shared`` of the smaller one."""
+    return min(n, n - -(-similar * n // 100) + least_shared(n))
 
 
 def _by_text(docs: DataFrame, size: int, schema: str, emit) -> DataFrame:
@@ -101,7 +110,7 @@ def frequent_shingles(docs: DataFrame, size: int, hot_rows: int, reported: int)
         told = {k: n for k, n in counts.items() if n >= reported}
         yield pa.RecordBatch.from_arrays([pa.array(told.keys(), pa.int64()), pa.array(told.values(), pa.int64())], names=["key", "n"])
 
-    every = _by_text(docs, size, "key bigint", lambda ids, sets: [pa.array(np.concatenate(sets).view(np.int64))])
+    every = _by_text(docs, size, "key bigint", lambda ids, sets: [pa.array(np.concatenate([row for row, _ in sets]).view(np.int64))])
     found = every.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows)
     rows = found.orderBy(F.desc("n"), "key").limit(MAX_HOT).toPandas()
     keys = rows["key"].to_numpy(np.int64).view(np.uint64)
@@ -112,32 +121,22 @@ def frequent_shingles(docs: DataFrame, size: int, hot_rows: int, reported: int)
 def _neighbourhoods(docs: DataFrame, size: int, similar: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     hot, counts = frequent
 
-    def first(row: np.ndarray) -> np.ndarray:
-        n = prefix_length(len(row), similar) if len(row) else 0
-        if len(hot) and n:
+    def first(row: np.ndarray, length: np.ndarray) -> np.ndarray:
+        if not len(row):
+            return row.view(np.int64)
+        rank = np.zeros(len(row), np.int64)
+        if len(hot):
             at = np.minimum(np.searchsorted(hot, row), len(hot) - 1)
             rank = np.where(hot[at] == row, counts[at], 0)
-            row = row[np.argsort(rank, kind="stable")]
-        return row[:n].view(np.int64)
+        return row[np.lexsort((row, -length, rank))[: prefix_length(len(row), similar)]].view(np.int64)
 
     def emit(ids, sets):
-        prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        return [pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([first(s) for s in sets], pa.list_(pa.int64()))]
+        prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s, _ in sets]
+        return [pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array([first(*s) for s in sets], pa.list_(pa.int64()))]
 
     return _by_text(docs, size, SETS, emit)
 
 
-def _points(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """The shingle sets of the ``wanted`` (doc_id, print) points."""
-    chosen = docs.join(wanted.select(F.col("doc_id").alias("wanted_id")).distinct(), F.col("doc_id").cast("bigint") == F.col("wanted_id"), "left_semi")
-
-    def emit(ids, sets):
-        raw = [s.tobytes() for s in sets]
-        return [pa.array(ids, pa.int64()), pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(raw, pa.binary())]
-
-    return _by_text(chosen, size, POINTS, emit)
-
-
 class _Forest:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -213,54 +212,75 @@ def joined_region(ids, sets: list[np.ndarray], groups, pivot: int | None, simila
     return links
 
 
-def _join_blocks(rows: DataFrame, similar: int) -> DataFrame:
-    """Edges of (task, doc_id, is_pivot, grp, shingles): every task is one bounded block."""
+def _placed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (task, doc_id, is_pivot, grp) with the text of each point; texts cross by doc_id."""
+    text = docs.select(F.col("doc_id").alias("id"), F.col("text"))
+    return places.join(text, F.col("doc_id") == F.col("id")).select("task", "doc_id", "is_pivot", "grp", F.col("text").cast("binary").alias("text"))
+
 
-    def join(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id"], kind="stable").reset_index(drop=True)
-        sets = [np.frombuffer(s, np.uint64) for s in part["shingles"]]
-        at = np.flatnonzero(part["is_pivot"].to_numpy(bool))
-        links = joined_region(part["doc_id"].to_numpy(), sets, part["grp"].to_numpy(), int(at[0]) if len(at) else None, similar)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+def _join_blocks(rows: DataFrame, size: int, similar: int) -> DataFrame:
+    """Edges of (task, doc_id, is_pivot, grp, text): every task is one bounded block of points."""
 
-    return rows.groupBy("task").applyInPandas(join, EDGE)
+    def joined(batches):
+        held: list[dict] = []
 
+        def links() -> pa.RecordBatch:
+            sets = [row for row, _ in shingle_sets([r["text"] for r in held], size)]
+            at = [k for k, r in enumerate(held) if r["is_pivot"]]
+            found = joined_region([r["doc_id"] for r in held], sets, [r["grp"] for r in held], at[0] if at else None, similar)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def region_members(sets: DataFrame, space: Workspace) -> DataFrame:
-    """(pivot, doc_id): the regions of all pivots, the pivot itself included."""
-    points = sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"))
-    rows = points.select("doc_id", F.size("keys").alias("of"), F.explode("keys").alias("key"))
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["task"] != row["task"]:
+                    yield links()
+                    held = []
+                held.append(row)
+        if held:
+            yield links()
+
+    return rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(joined, EDGE)
+
+
+def region_members(sets: DataFrame, space: Workspace, similar: int = SIMILAR) -> DataFrame:
+    """(pivot, doc_id): the regions of all pivots, the pivot itself included.
+
+    Two linking points share at least least_shared keys, whose pivots are among those of either;
+    so some pivot holds that many divided by the pivots of a point, and memberships with fewer
+    keys (linking points being alike in size) can go.
+    """
+    points = sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("keys", "n"), "doc_id").alias("p"))
+    rows = points.select("doc_id", F.col("p.n").alias("n"), F.explode("p.keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").withColumnRenamed("key", "met")
-    live = space.save(rows.join(shared, F.col("key") == F.col("met")).select("key", "doc_id", "of", "m"), "live", release=True)
-    central = live.groupBy("doc_id").agg((F.sum(F.log2(F.col("m").cast("double"))) / F.max("of")).alias("score")).withColumnRenamed("doc_id", "id")
+    live = space.save(rows.join(shared, F.col("key") == F.col("met")).select("key", "doc_id", "n", "m"), "live", release=True)
+    central = live.groupBy("doc_id").agg((F.sum(F.log2(F.col("m").cast("double"))) / F.max("n")).alias("score")).withColumnRenamed("doc_id", "id")
     scored = live.join(central, F.col("doc_id") == F.col("id")).select("key", "doc_id", F.struct(F.round("score", 6), -F.col("doc_id")).alias("rank"))
     pivots = scored.groupBy(F.col("key").alias("met")).agg(F.max_by("doc_id", "rank").alias("pivot"))
-    return space.save(live.join(pivots, F.col("key") == F.col("met")).select("pivot", "doc_id").distinct(), "members", release=True)
+    held = space.save(live.join(pivots, F.col("key") == F.col("met")).groupBy("pivot", "doc_id", "n").agg(F.count("*").alias("held")), "held", release=True)
+    spread = held.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("pivots"))
+    enough = F.col("held") * F.col("pivots") >= 1 + F.floor(F.col("n") * similar / (100 * SHARED_PART))
+    kept = held.join(spread, F.col("doc_id") == F.col("id")).where(enough | (F.col("doc_id") == F.col("pivot")))
+    return space.save(kept.select("pivot", "doc_id"), "members")
 
 
 def link_edges(docs: DataFrame, sets: DataFrame, space: Workspace, size: int, similar: int, leaf: int) -> DataFrame:
     """Edges between points that connect exactly what links connect."""
-    members = region_members(sets, space)
-    shingled = space.save(_points(docs, size, members), "points", release=True).select(F.col("doc_id").alias("id"), "shingles")
+    members = region_members(sets, space, similar)
     sizes = members.groupBy(F.col("pivot").alias("region")).agg(F.count("*").alias("m")).where("m > 1")
     placed = members.join(sizes, F.col("pivot") == F.col("region"))
     # every block of a region holds its pivot
     n_blocks = F.ceil(F.col("m") / leaf).cast("int")
     own = placed.where("doc_id <> pivot").select("pivot", "doc_id", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int").alias("block"))
     centres = placed.where("doc_id = pivot").select("pivot", "doc_id", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
-    first = own.unionByName(centres).join(shingled, F.col("doc_id") == F.col("id"))
-    edges = space.save(
-        _join_blocks(first.select(F.struct("pivot", "block").alias("task"), "doc_id", (F.col("doc_id") == F.col("pivot")).alias("is_pivot"), F.lit(-1).cast("bigint").alias("grp"), "shingles"), similar),
-        "edges-0",
-        release=True,
-    )
+    places = own.unionByName(centres).select(F.concat_ws(":", "pivot", "block").alias("task"), "doc_id", (F.col("doc_id") == F.col("pivot")).alias("is_pivot"), F.lit(-1).cast("bigint").alias("grp"))
+    edges = space.save(_join_blocks(_placed_texts(docs, places), size, similar), "edges-0", release=True)
     big = space.save(placed.where(F.col("m") > leaf).select("pivot", "doc_id"), "big")
     if big.limit(1).count() == 0:
         return edges
-    return edges.unionByName(_between_blocks(edges, big, shingled, space, similar, leaf))
+    return edges.unionByName(_between_blocks(docs, edges, big, space, size, similar, leaf))
 
 
-def _between_blocks(edges: DataFrame, big: DataFrame, shingled: DataFrame, space: Workspace, similar: int, leaf: int) -> DataFrame:
+def _between_blocks(docs: DataFrame, edges: DataFrame, big: DataFrame, space: Workspace, size: int, similar: int, leaf: int) -> DataFrame:
     """The links that the blocks of big regions missed: unconnected points against the boundary."""
     labels = components(edges, space, "blocks")
     grouped = big.join(labels, F.col("doc_id") == F.col("node"), "left").select("pivot", "doc_id", F.coalesce("label", "doc_id").alias("grp"))
@@ -277,8 +297,8 @@ def _between_blocks(edges: DataFrame, big: DataFrame, shingled: DataFrame, space
     among = pairs.select(*base, F.lit("a").alias("side"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
     against = apart.select(*base, F.lit("m").alias("side"), block(F.col("n_apart")).alias("i"), F.explode(F.sequence(F.lit(0), of(F.col("most")) - 1)).alias("j"))
     mains = rest.select(*base, F.lit("m").alias("side"), F.explode(F.sequence(F.lit(0), of(F.col("n_apart")) - 1)).alias("i"), block(F.col("most")).alias("j"))
-    rows = among.unionByName(against).unionByName(mains).join(shingled, F.col("doc_id") == F.col("id"))
-    return _join_blocks(rows.select(F.struct("pivot", "side", "i", "j").alias("task"), "doc_id", F.lit(False).alias("is_pivot"), "grp", "shingles"), similar)
+    places = among.unionByName(against).unionByName(mains).select(F.concat_ws(":", "pivot", "side", "i", "j").alias("task"), "doc_id", F.lit(False).alias("is_pivot"), "grp")
+    return space.save(_join_blocks(_placed_texts(docs, places), size, similar), "edges-1", release=True)
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR, leaf: int = LEAF, hot_rows: int = HOT_ROWS, reported: int = REPORTED) -> DataFrame:
