@@ -97,3 +97,30 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
         least[smaller] = values[k : k + n][smaller]
         place[smaller] = np.flatnonzero(smaller) + k
     return place
+
+
+class Tally:
+    """Counts of 64-bit keys in bounded memory; a key met once between two merges is forgotten."""
+
+    MERGED = 2_000_000
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.held: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.held.append(keys)
+        if sum(map(len, self.held)) > self.MERGED:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
+        again = counts > 1
+        self.held = []
+        self.keys, where = np.unique(np.concatenate([self.keys, keys[again]]), return_inverse=True)
+        self.counts = np.bincount(where, np.concatenate([self.counts, counts[again]]), len(self.keys)).astype(np.int64)
+
+    def at_least(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.held:
+            self._merge()
+        return self.keys[self.counts >= n], self.counts[self.counts >= n]

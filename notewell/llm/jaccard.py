@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from notewell.llm.common import Workspace, blocks
 from notewell.llm.components import components
-from notewell.llm.grams import gram_hashes, word_hashes
+from notewell.llm.grams import Tally, gram_hashes, word_hashes
 
 SIZE = 5
 #: Links need 100 * intersection >= SIMILAR * union.
@@ -73,45 +73,30 @@ def prefix_length(n: int, similar: int = SIMILAR) -> int:
     return min(n, n - -(-similar * n // 100) + least_shared(n))
 
 
-def _by_text(docs: DataFrame, size: int, schema: str, emit) -> DataFrame:
-    """One Arrow pass; ``emit`` makes columns from the ids and shingle sets of a block."""
-    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").cast("binary"))
-    names = [f.split()[0] for f in schema.split(", ")]
+def _set_blocks(batches, size: int):
+    """Ids and shingle sets of the blocks of Arrow batches of (doc_id, text)."""
+    for batch in batches:
+        ids, at = batch.column(0).to_pylist(), 0
+        for block in blocks(batch.column(1).to_pylist()):
+            yield ids[at : at + len(block)], shingle_sets(block, size)
+            at += len(block)
 
-    def run(batches):
-        for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for block in blocks(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays(emit(ids[at : at + len(block)], shingle_sets(block, size)), names=names)
-                at += len(block)
 
-    return source.mapInArrow(run, schema)
+def _by_text(docs: DataFrame, schema: str, run) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 def frequent_shingles(docs: DataFrame, size: int, hot_rows: int, reported: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles in the most documents, ascending, and in how many."""
 
     def count(batches):
-        held: list[np.ndarray] = []
-        counts: dict[int, int] = {}
+        tally = Tally()
+        for _, sets in _set_blocks(batches, size):
+            tally.add(np.concatenate([row for row, _ in sets]))
+        keys, n = tally.at_least(reported)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-        def add():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            for key, k in zip(keys[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-                counts[key] = counts.get(key, 0) + k
-            held.clear()
-
-        for batch in batches:
-            held.append(batch.column(0).to_numpy())
-            if sum(map(len, held)) > 4_000_000:
-                add()
-        if held:
-            add()
-        told = {k: n for k, n in counts.items() if n >= reported}
-        yield pa.RecordBatch.from_arrays([pa.array(told.keys(), pa.int64()), pa.array(told.values(), pa.int64())], names=["key", "n"])
-
-    every = _by_text(docs, size, "key bigint", lambda ids, sets: [pa.array(np.concatenate([row for row, _ in sets]).view(np.int64))])
-    found = every.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows)
+    found = _by_text(docs, "key bigint, n bigint", count).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows)
     rows = found.orderBy(F.desc("n"), "key").limit(MAX_HOT).toPandas()
     keys = rows["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -130,11 +115,13 @@ def _neighbourhoods(docs: DataFrame, size: int, similar: int, frequent: tuple[np
             rank = np.where(hot[at] == row, counts[at], 0)
         return row[np.lexsort((row, -length, rank))[: prefix_length(len(row), similar)]].view(np.int64)
 
-    def emit(ids, sets):
-        prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s, _ in sets]
-        return [pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array([first(*s) for s in sets], pa.list_(pa.int64()))]
+    def run(batches):
+        for ids, sets in _set_blocks(batches, size):
+            prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s, _ in sets]
+            columns = [pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array([first(*s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "n", "keys"])
 
-    return _by_text(docs, size, SETS, emit)
+    return _by_text(docs, SETS, run)
 
 
 class _Forest:
