@@ -9,9 +9,10 @@ branch between them and compact into paths; joined back to their documents by so
 coordinates, the paths say which words repeat an earlier document.
 
 Scale: rows are spread by minimizer. Keys with ``hot_rows`` rows or more (found by a counting
-pass; every key below that bound stays small) go another way that splits: their edges take a
-partial minimum before the shuffle and join it again, where adaptive execution splits hot
-partitions. The list of hot keys is at most ``MAX_HOT`` long; keys beyond it are still exact.
+pass; every key below that bound stays small) go another way that splits: equal runs of
+windows take a partial minimum before the shuffle and join it again, where adaptive execution
+splits hot partitions, and only the runs of no smaller document are looked up edge by edge. The
+list of hot keys is at most ``MAX_HOT`` long; keys beyond it are still exact.
 Edge hashes have 64 bits for the minimizer and 48 more for the window.
 
 Defined results: a null text has no words; a row with a null doc_id loses nothing and is no
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewell.llm.common import Workspace, blocks, fresh_name, space_words, with_struct
-from notewell.llm.grams import gram_hashes, least_in_windows, word_hashes
+from notewell.llm.grams import Tally, gram_hashes, least_in_windows, word_hashes
 
 SIZE = 13
 MINIMIZER = 4
@@ -78,37 +79,30 @@ def _hot_mask(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
 
 
-def _edges(docs: DataFrame, size: int, minimizer: int, schema: str, emit) -> DataFrame:
-    """One Arrow pass over (doc_id, text); ``emit`` turns a block's edge rows into a record batch."""
-    source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").cast("binary"))
+def _edge_blocks(batches, size: int, minimizer: int):
+    """Edge rows of the blocks of Arrow batches of (doc_id, text)."""
+    for batch in batches:
+        ids, at = batch.column(0).to_pylist(), 0
+        for block in blocks(batch.column(1).to_pylist()):
+            yield EdgeRows(ids[at : at + len(block)], block, size, minimizer)
+            at += len(block)
 
-    def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            for block in blocks(texts):
-                made = emit(EdgeRows(ids[at : at + len(block)], block, size, minimizer))
-                at += len(block)
-                if made.num_rows:
-                    yield made
 
-    return source.mapInArrow(run, schema)
+def _by_text(docs: DataFrame, schema: str, run) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 def hot_keys(docs: DataFrame, size: int, minimizer: int, hot_rows: int, reported: int) -> np.ndarray:
     """The keys with the most rows, at most MAX_HOT, in ascending order."""
 
     def count(batches):
-        counts: dict[int, int] = {}
-        for batch in batches:
-            keys, n = np.unique(batch.column(0).to_numpy(), return_counts=True)
-            for key, k in zip(keys[n > 1].tolist(), n[n > 1].tolist(), strict=True):
-                counts[key] = counts.get(key, 0) + k
-        told = {k: n for k, n in counts.items() if n >= reported}
-        yield pa.RecordBatch.from_arrays([pa.array(told.keys(), pa.int64()), pa.array(told.values(), pa.int64())], names=["key", "n"])
-
-    keys = _edges(docs, size, minimizer, "key bigint", lambda e: pa.RecordBatch.from_arrays([pa.array(e.key.view(np.int64))], names=["key"]))
-    found = keys.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows)
+        tally = Tally()
+        for edges in _edge_blocks(batches, size, minimizer):
+            tally.add(edges.key)
+        keys, n = tally.at_least(reported)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+    found = _by_text(docs, "key bigint, n bigint", count).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= hot_rows)
     return np.sort(np.array([r.key for r in found.orderBy(F.desc("n"), "key").limit(MAX_HOT).collect()], np.int64).view(np.uint64))
 
 
@@ -170,23 +164,56 @@ def _repeated(batches):
         held = [key[last], window[last], doc[last], start[last]]
 
 
+def _packed_edges(docs: DataFrame, size: int, minimizer: int, chosen) -> DataFrame:
+    """The edge rows that ``chosen`` takes by their keys, as EDGES."""
+
+    def run(batches):
+        for edges in _edge_blocks(batches, size, minimizer):
+            made = _packed(edges.chosen(chosen(edges.key)))
+            if made.num_rows:
+                yield made
+
+    return _by_text(docs, EDGES, run)
+
+
+def _single(batches):
+    """Packed rows as one row for each edge."""
+    for batch in batches:
+        count, window = _unpacked(batch.column(3))
+        row = np.repeat(np.arange(len(count)), count)
+        offset = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
+        columns = [batch.column(0).to_numpy()[row], window.view(np.int64), batch.column(1).to_numpy()[row], batch.column(2).to_numpy()[row] + offset]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "edge", "doc_id", "start"])
+
+
+def _with_first(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with their smallest (doc_id, start) under the same key columns."""
+    return rows.join(rows.groupBy(*by).agg(F.min(F.struct("doc_id", "start")).alias("first")), by)
+
+
+def _hot_repeats(rows: DataFrame, space: Workspace) -> DataFrame:
+    """Repeated edges of frequent keys, without gathering a key.
+
+    Copies have equal runs of windows, so whole runs are looked up first; only the runs that no
+    smaller document has are taken apart into edges.
+    """
+    runs = space.save(rows.withColumn("print", F.xxhash64("windows")), "hot-runs")
+    led = space.save(_with_first(runs, ["key", "print"]), "hot-led", release=True)
+    again = F.col("first.doc_id") < F.col("doc_id")
+    found = ["doc_id", "start", "n", F.col("first.doc_id").alias("source_doc"), F.col("first.start").alias("source_start")]
+    copied = led.where(again).withColumn("n", (F.octet_length("windows") / _WINDOW_BYTES).cast("bigint")).select(*found)
+    edges = space.save(led.where(~again).select("key", "doc_id", "start", "windows").mapInArrow(_single, "key bigint, edge bigint, doc_id bigint, start bigint"), "hot-edges")
+    return copied.unionByName(_with_first(edges, ["key", "edge"]).where(again).withColumn("n", F.lit(1).cast("bigint")).select(*found))
+
+
 def repeated_edges(docs: DataFrame, space: Workspace, size: int = SIZE, minimizer: int = MINIMIZER, hot_rows: int = HOT_ROWS, reported: int = REPORTED) -> DataFrame:
     """Runs of repeated edges (doc_id, start, n edges, source_doc, source_start) with tagged starts."""
     hot = hot_keys(docs, size, minimizer, hot_rows, reported)
-    cold = _edges(docs, size, minimizer, EDGES, lambda e: _packed(e.chosen(~_hot_mask(e.key, hot)) if len(hot) else e))
+    cold = _packed_edges(docs, size, minimizer, lambda keys: ~_hot_mask(keys, hot))
     found = cold.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_repeated, PLACES)
     if not len(hot):
         return found
-
-    def single(e: EdgeRows) -> pa.RecordBatch:
-        e = e.chosen(_hot_mask(e.key, hot))
-        offset = np.arange(len(e.windows)) - np.repeat(np.cumsum(e.count) - e.count, e.count)
-        return pa.RecordBatch.from_arrays([pa.array(e.windows.view(np.int64)), pa.array(np.repeat(e.doc, e.count)), pa.array(np.repeat(e.start, e.count) + offset)], names=["edge", "doc_id", "start"])
-
-    edges = space.save(_edges(docs, size, minimizer, "edge bigint, doc_id bigint, start bigint", single), "hot")
-    first = edges.groupBy("edge").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    again = edges.join(first, "edge").where(F.col("first.doc_id") < F.col("doc_id"))
-    return found.unionByName(again.select("doc_id", "start", F.lit(1).cast("bigint").alias("n"), F.col("first.doc_id").alias("source_doc"), F.col("first.start").alias("source_start")))
+    return found.unionByName(_hot_repeats(_packed_edges(docs, size, minimizer, lambda keys: _hot_mask(keys, hot)), space))
 
 
 def compacted(edges: DataFrame) -> DataFrame:
