@@ -51,7 +51,11 @@ def _tag(text: bytes) -> int:
 
 
 class EdgeRows:
-    """Runs of windows around one minimizer: key, document, first start and the window hashes."""
+    """Runs of windows with one minimizer: key, document, first start and the window hashes.
+
+    Runs go by the minimizer's value, not its place, so that a loop of the graph (periodic text)
+    is one row of its document.
+    """
 
     def __init__(self, ids: list[int], texts: list[bytes], size: int, minimizer: int) -> None:
         words, bounds, _ = word_hashes(texts)
@@ -60,7 +64,7 @@ class EdgeRows:
         whole = np.flatnonzero(doc[: len(windows)] == doc[size - 1 :][: len(windows)])
         short = gram_hashes(words, minimizer)
         best = least_in_windows(short, size - minimizer + 1)[whole] if len(whole) else whole
-        heads = np.flatnonzero(np.append(True, np.diff(best) != 0)) if len(whole) else whole
+        heads = np.flatnonzero(np.append(True, (np.diff(short[best]) != 0) | (np.diff(doc[whole]) != 0))) if len(whole) else whole
         owner = doc[whole[heads]]
         self.key, self.doc = short[best[heads]], np.array(ids, np.int64)[owner]
         self.start = whole[heads] - bounds[owner] + (np.array([_tag(t) for t in texts], np.int64)[owner] << _TAG)
@@ -176,14 +180,27 @@ def _packed_edges(docs: DataFrame, size: int, minimizer: int, chosen) -> DataFra
     return _by_text(docs, EDGES, run)
 
 
-def _single(batches):
-    """Packed rows as one row for each edge."""
-    for batch in batches:
-        count, window = _unpacked(batch.column(3))
-        row = np.repeat(np.arange(len(count)), count)
-        offset = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
-        columns = [batch.column(0).to_numpy()[row], window.view(np.int64), batch.column(1).to_numpy()[row], batch.column(2).to_numpy()[row] + offset]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "edge", "doc_id", "start"])
+def _single(size: int):
+    """Maps packed rows to one row for each edge; returns to it within ``size`` words are one path.
+
+    Such windows overlap or touch, so the words of the path are those of the windows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            count, window = _unpacked(batch.column(3))
+            row = np.repeat(np.arange(len(count)), count)
+            offset = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
+            order = np.lexsort((offset, window, row))
+            row, window, offset = row[order], window[order], offset[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (np.diff(row) != 0) | (window[1:] != window[:-1]) | (np.diff(offset) > size)
+            heads = np.flatnonzero(new)
+            lasts = np.append(heads[1:], len(row)) - 1
+            columns = [batch.column(0).to_numpy()[row[heads]], window[heads].view(np.int64), batch.column(1).to_numpy()[row[heads]], batch.column(2).to_numpy()[row[heads]] + offset[heads], offset[lasts] - offset[heads] + 1]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "edge", "doc_id", "start", "n"])
+
+    return run
 
 
 def _with_first(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -191,7 +208,7 @@ def _with_first(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(rows.groupBy(*by).agg(F.min(F.struct("doc_id", "start")).alias("first")), by)
 
 
-def _hot_repeats(rows: DataFrame, space: Workspace) -> DataFrame:
+def _hot_repeats(rows: DataFrame, space: Workspace, size: int) -> DataFrame:
     """Repeated edges of frequent keys, without gathering a key.
 
     Copies have equal runs of windows, so whole runs are looked up first; only the runs that no
@@ -202,8 +219,8 @@ def _hot_repeats(rows: DataFrame, space: Workspace) -> DataFrame:
     again = F.col("first.doc_id") < F.col("doc_id")
     found = ["doc_id", "start", "n", F.col("first.doc_id").alias("source_doc"), F.col("first.start").alias("source_start")]
     copied = led.where(again).withColumn("n", (F.octet_length("windows") / _WINDOW_BYTES).cast("bigint")).select(*found)
-    edges = space.save(led.where(~again).select("key", "doc_id", "start", "windows").mapInArrow(_single, "key bigint, edge bigint, doc_id bigint, start bigint"), "hot-edges")
-    return copied.unionByName(_with_first(edges, ["key", "edge"]).where(again).withColumn("n", F.lit(1).cast("bigint")).select(*found))
+    edges = space.save(led.where(~again).select("key", "doc_id", "start", "windows").mapInArrow(_single(size), "key bigint, edge bigint, doc_id bigint, start bigint, n bigint"), "hot-edges")
+    return copied.unionByName(_with_first(edges, ["key", "edge"]).where(again).select(*found))
 
 
 def repeated_edges(docs: DataFrame, space: Workspace, size: int = SIZE, minimizer: int = MINIMIZER, hot_rows: int = HOT_ROWS, reported: int = REPORTED) -> DataFrame:
@@ -213,7 +230,7 @@ def repeated_edges(docs: DataFrame, space: Workspace, size: int = SIZE, minimize
     found = cold.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(_repeated, PLACES)
     if not len(hot):
         return found
-    return found.unionByName(_hot_repeats(_packed_edges(docs, size, minimizer, lambda keys: _hot_mask(keys, hot)), space))
+    return found.unionByName(_hot_repeats(_packed_edges(docs, size, minimizer, lambda keys: _hot_mask(keys, hot)), space, size))
 
 
 def compacted(edges: DataFrame) -> DataFrame:

@@ -309,6 +309,7 @@ def test_removal_against_brute_force(spark, hot):
     rng = random.Random(7)
     passage = [f"p{k}" for k in range(30)]
     texts = {k: " ".join([rng.choice("abcdefgh") for _ in range(rng.randint(0, 60))] + passage[rng.randint(0, 9) : rng.randint(10, 30)] + [rng.choice("ab") for _ in range(8)]) for k in range(40)}
+    texts |= {k: " ".join((["x", "y", "z"][: 1 + k % 3] * 40)[: rng.randint(3, 70)] + passage[:7] + ["x", "y"] * rng.randint(0, 20)) for k in range(40, 70)}
     frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: r.left.kept for r in debruijn.remove_repeated(frame, "left", size=6, minimizer=3, **hot).collect()}
     assert got == removal_model(texts, 6)
