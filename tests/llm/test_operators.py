@@ -289,6 +289,31 @@ def test_licences_on_awkward_rows(spark, awkward, nothing):
     assert licences.license_spans(nothing, "f").count() == 0
 
 
+def test_licence_bodies_without_their_opening(spark):
+    whole = dict(licences.TEXTS)
+    assert {"isc", "unlicense", "lgpl-2.1", "lgpl-3.0", "gpl-3.0", "epl-1.0", "cc-by-sa-4.0"} <= whole.keys()
+    texts = {label: "\n".join(f"# {x}" for x in text.split("\n")) for label, text in whole.items()}
+    lines = whole["mit"].split("\n")
+    texts["mit body"] = "code\n" + "\n".join(lines[len(lines) // 2 :]) + "\nmore code"
+    words = whole["apache-2.0"].split()
+    texts["apache-2.0 body"] = " ".join(words[700:760] + ["and", "changed"] + words[762:900])
+    texts["agpl-3.0 notice"] = "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"
+    frame = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r.doc_id: r.f for r in licences.license_spans(frame, "f").collect()}
+    for name in texts:
+        assert name.split()[0] in got[name].labels, name
+    assert got["gpl-3.0"].labels == ["gpl", "gpl-3.0"] and got["isc"].labels == ["isc"] and got["mit body"].labels == ["mit"]
+    [span] = got["apache-2.0 body"].spans
+    assert (span.doc_start, span.doc_end) == (0, got["apache-2.0 body"].n_words) and got["apache-2.0 body"].score > 0.8
+
+
+def test_chains_go_on_from_any_place_of_a_run(spark):
+    template = "a b c one two three a b c four five six seven eight nine ten"
+    text = "one two three a b c four five x seven eight nine ten"
+    got = licences.license_spans(spark.createDataFrame([(text,)], "text string"), "f", templates=(("t", template),), min_covered=0.7).first().f
+    assert [(s.label, s.doc_start, s.doc_end) for s in got.spans] == [("t", 0, 13)] and got.score == 12 / 16
+
+
 # ------------------------------------------------------------------ 10
 def removal_model(texts, size):
     first = {}
