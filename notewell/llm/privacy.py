@@ -1,17 +1,19 @@
 """PII by patterns, and information-theoretic sanitisation of the terms that give it away.
 
 Personal data are found by pattern in every text. Each value is a protected entity e; the terms t
-near it are weighed by corpus co-occurrence: with N documents, n(t) of them holding the term,
-n(e) the entity and n(t,e) the term near the entity,
+of its documents are weighed by corpus co-occurrence: with N documents, n(t) of them holding the
+term, n(e) the entity and n(t,e) both, anywhere in the text,
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 - ln(n(t) / n(t,e)) / ln(N / n(e)),
 
 1 where the term never stands without the entity. Terms at ``generalise_at`` or more are replaced
-by a class, at ``remove_at`` or more dropped, in the documents that hold the entity. All counts
-are over all documents.
+by a class, at ``remove_at`` or more dropped, wherever they stand outside personal data in the
+documents that hold the entity. Terms are words of at least three letters or digits; all counts
+are over all rows.
 
-Only DataFrame functions run. One scan finds the spans and their contexts (written once), one
-counts terms; partial aggregation comes before every shuffle, and texts are never shuffled.
+Only DataFrame functions run. One scan finds the spans (written once, with the texts that have
+any), one counts terms. Entities without support leave before terms meet entities; partial
+aggregation comes before every count's shuffle, and only texts with personal data are joined.
 
 Defined results: a null text counts as empty: no span, and null stays null in the sanitised text;
 rows that repeat a document are sanitised alike; entities in one document or in all give no
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 from notewell.llm.common import Workspace, fresh_name
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 48
 MIN_SUPPORT = 3
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
@@ -41,8 +42,7 @@ PATTERNS = {
 }
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}|)"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-TERM = r"(?<=[^\p{L}\p{N}])\p{L}{4,}+(?=[^\p{L}\p{N}])"
-_WORD = r"(?<![\p{L}\p{N}])\p{L}{4,}+(?![\p{L}\p{N}])"
+WORD = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]{3,}+(?![\p{L}\p{N}])"
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -61,12 +61,12 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: str, kind: str) -> Column:
+def located(text: Column, pattern: str | Column, kind: str) -> Column:
     """All matches of a pattern with their places in code points, leftmost and not overlapping.
 
     The pieces between matches and the matches themselves give every offset as a running sum.
     """
-    matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    matches, pieces = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).cast("bigint").alias("gap"), m.alias("value")))
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(SPAN).alias("spans"))
 
@@ -101,59 +101,77 @@ def _entity(span: Column) -> Column:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, spans, contexts) of every row; print tells texts of one id apart."""
+    """(doc_id, print, spans, entities, text) of every row; print tells texts of one id apart, and
+    only rows with entities have their text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
+    return base.select("doc_id", "print", "spans", F.array_distinct(F.transform("spans", _entity)).alias("entities"), F.when(F.size("spans") > 0, F.col("text")).alias("text"))
 
-    def context(span: Column) -> Column:
-        # offsets of the padded text are one higher, as are those that substring counts from 1
-        first = F.greatest(span["start"] - CONTEXT, F.lit(0).cast("bigint"))
-        return F.struct(
-            _entity(span).alias("entity"), span["start"].alias("from"), span["end"].alias("to"), (first - 1).alias("at"),
-            F.substring(padded, first.cast("int") + 1, (span["end"] - first + CONTEXT + 2).cast("int")).alias("near"),
-        )
 
-    return base.select("doc_id", "print", "spans", F.when(F.size("spans") > 0, F.transform("spans", context)).alias("contexts"))
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def _terms(scanned: DataFrame) -> DataFrame:
-    """(doc_id, print, entity, term, start, end) of the words near each span, outside all spans."""
-    near = scanned.where(F.size("contexts") > 0).select("doc_id", "print", "spans", F.explode("contexts").alias("c"))
-    found = near.select("doc_id", "print", "spans", F.col("c.entity").alias("entity"), F.col("c.at").alias("at"), F.explode(located(F.col("c.near"), TERM, "term")).alias("t"))
-    placed = found.select("doc_id", "print", "spans", "entity", F.lower("t.value").alias("term"), (F.col("t.start") + F.col("at")).alias("start"), (F.col("t.end") + F.col("at")).alias("end"))
-    return placed.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))).drop("spans").distinct()
+def _same_text(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["of"]) & (a["print"] == b["of_print"])
 
 
-def disclosing_terms(docs: DataFrame, terms: DataFrame, entities: DataFrame, min_support: int, at_least: float) -> DataFrame:
+def _per_text(rows: DataFrame, **collected: Column) -> DataFrame:
+    return rows.groupBy(F.col("doc_id").alias("of"), F.col("print").alias("of_print")).agg(*[c.alias(n) for n, c in collected.items()])
+
+
+def _holding(scanned: DataFrame, supported: DataFrame) -> DataFrame:
+    """(doc_id, print, spans, text, entities) of the rows with supported entities, and those alone."""
+    rows = scanned.where(F.size("entities") > 0).select("doc_id", "print", F.explode("entities").alias("entity"))
+    kept = _per_text(rows.join(supported.select("entity"), "entity", "left_semi"), entities=F.collect_set("entity"))
+    held = scanned.where(F.size("entities") > 0).drop("entities")
+    return held.join(kept, _same_text(held, kept)).select("doc_id", "print", "spans", "text", "entities")
+
+
+def _pairs(holding: DataFrame) -> DataFrame:
+    """(doc_id, print, term, entity) of every term and entity of a row."""
+    terms = holding.select("doc_id", "print", "entities", F.explode(_words(F.col("text"))).alias("term"))
+    return terms.select("doc_id", "print", "term", F.explode("entities").alias("entity"))
+
+
+def disclosing_terms(docs: DataFrame, holding: DataFrame, supported: DataFrame, min_support: int, at_least: float) -> DataFrame:
     """(term, entity, disclosure) of the pairs at or over the threshold."""
-    pairs = terms.select("doc_id", "print", "term", "entity").distinct().groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_support)
-    per_entity = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(_WORD), F.lit(0)))).alias("term"))
+    pairs = _pairs(holding).groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_support)
+    words = docs.select(F.explode(_words(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("term"))
     per_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n"))
-    joined = pairs.join(per_entity, "entity").join(per_term, "term").crossJoin(F.broadcast(total))  # one row
-    # a term's own count can't be below what it shares with the entity
-    disclosure = 1 - F.log(F.greatest("n_t", "n_te") / F.col("n_te")) / F.log(F.col("n") / F.col("n_e"))
+    joined = pairs.join(supported, "entity").join(per_term, "term").crossJoin(F.broadcast(total))  # one row
+    disclosure = 1 - F.log(F.col("n_t") / F.col("n_te")) / F.log(F.col("n") / F.col("n_e"))
     return joined.where(F.col("n_e") < F.col("n")).select("term", "entity", disclosure.alias("disclosure")).where(F.col("disclosure") >= at_least)
 
 
+def _placed(holding: DataFrame, telling: DataFrame, remove_at: float) -> DataFrame:
+    """(of, of_print, found): every place outside personal data of the telling terms of a text."""
+    # of several entities of a text the one that a term discloses most counts
+    most = _pairs(holding).join(telling, ["term", "entity"]).groupBy("doc_id", "print", "term").agg(F.max("disclosure").alias("disclosure"))
+    kind = F.when(F.col("disclosure") >= remove_at, F.lit("removed")).otherwise(F.lit("generalised"))
+    terms = _per_text(most, kinds=F.map_from_entries(F.collect_list(F.struct("term", kind.alias("kind")))))
+    texts = holding.dropDuplicates(["doc_id", "print"])
+    rows = texts.join(terms, _same_text(texts, terms)).select("of", "of_print", "text", "spans", "kinds")
+    spelled = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), lambda w: F.map_contains_key(F.col("kinds"), F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(spelled, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    rows = rows.withColumn("pattern", pattern)
+    free = F.filter(located(F.col("text"), F.col("pattern"), "term"), lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    found = F.transform(free, lambda t: F.struct(F.element_at("kinds", F.lower(t["value"])).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value")))
+    return rows.select("of", "of_print", found.alias("found"))
+
+
 def private_spans(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """(doc_id, print, spans, terms): base spans of every row and the disclosing terms near them."""
+    """(doc_id, print, spans, terms): base spans of every row and the disclosing terms of its text."""
     space = Workspace(docs.sparkSession)
     scanned = space.save(_scanned(docs), "scanned")
-    terms = space.save(_terms(scanned), "terms")
-    entities = scanned.where(F.size("contexts") > 0).select("doc_id", "print", F.explode("contexts.entity").alias("entity")).distinct()
-    telling = disclosing_terms(docs, terms, entities, min_support, generalise_at)
-    kind = F.when(F.col("disclosure") >= remove_at, F.lit("removed")).otherwise(F.lit("generalised"))
-    # of several entities near a place the one it discloses most counts
-    placed = terms.join(telling, ["term", "entity"]).groupBy("doc_id", "print", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
-    grouped = placed.groupBy(F.col("doc_id").alias("of"), F.col("print").alias("of_print")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", kind.alias("kind"), F.col("term").alias("value")))).alias("found")
-    )
-    found = F.transform(F.coalesce("found", F.array().cast("array<struct<start:bigint,end:bigint,kind:string,value:string>>")), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    joined = scanned.join(grouped, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("print") == F.col("of_print")), "left")
-    return joined.select("doc_id", "print", "spans", found.alias("terms"))
+    supported = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
+    holding = space.save(_holding(scanned, supported), "holding")
+    telling = space.save(disclosing_terms(docs, holding, supported, min_support, generalise_at), "telling")
+    placed = _placed(holding, telling, remove_at)
+    joined = scanned.join(placed, _same_text(scanned, placed), "left")
+    return joined.select("doc_id", "print", "spans", F.coalesce("found", F.array().cast(SPAN)).alias("terms"))
 
 
 def sanitised_text(text: Column, spans: Column) -> Column:

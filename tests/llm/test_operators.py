@@ -253,6 +253,16 @@ def test_disclosing_terms_are_generalised_or_removed(spark, awkward, nothing):
     assert any("[EMAIL] or [IP]" in (r.text or "") for r in clean.collect())
 
 
+def test_disclosing_terms_anywhere_in_their_documents(spark):
+    far = "of all the people in this house " * 3
+    held = [(k, f"ZEBULON of R2D7 {far}zebulon@x.org and {far}Zebulon, bob signed") for k in range(5)]
+    docs = spark.createDataFrame(held + [(10 + k, f"{far} and signed") for k in range(60)] + [(None, held[0][1])], "doc_id bigint, text string")
+    for r in privacy.private_spans(docs).collect():
+        want = [(m, held[0][1].index(m)) for m in ("ZEBULON", "R2D7", "Zebulon", "bob")] if r.doc_id is None or r.doc_id < 10 else []
+        assert [(s.value, s.start, s.end, s.kind) for s in r.terms] == [(m.lower(), at, at + len(m), "removed") for m, at in want]
+    assert f" of  {far}[EMAIL] and {far},  signed" in [r.text for r in privacy.sanitise(docs).collect()]
+
+
 def test_private_patterns_on_hard_strings(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice("0123456789.@+- ()ab_é\U0001F600") for _ in range(rng.choice([5, 40, 150]))) for _ in range(400)] + ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "1 " * 9_000, "a" * 20_000, "4111-1111-1111-1111"]
