@@ -12,7 +12,6 @@ from notewell.operators.maintenance import reindexed
 from notewell.sources.generations import Generations
 
 CHANGES = "path string, content string, deleted boolean, seq long"
-MAX_CHANGES = 2_000
 
 
 def changes(spark: SparkSession, folder: str, files_per_batch: int = 400) -> DataFrame:
@@ -26,21 +25,16 @@ def coalesced(batch: DataFrame) -> DataFrame:
     return last.where(F.col("deleted") | F.col("content").isNotNull())
 
 
-def index_writer(generations: Generations, max_changes: int = MAX_CHANGES, skipped: Callable[[int, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+def index_writer(generations: Generations) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that publishes a generation a batch.
 
     A batch runs again after a failure and gives the same index: changes replace whole notes.
-    Batches with more than ``max_changes`` paths are left to a full rebuild.
+    Every batch is applied whole, whatever its size.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         changed = coalesced(batch)
-        n = changed.count()
-        if n == 0:
-            return
-        if n > max_changes:
-            if skipped is not None:
-                skipped(batch_id, n)
+        if changed.isEmpty():
             return
         index = generations.read("fragments")
         made = fragments(changed.where(~F.col("deleted")))

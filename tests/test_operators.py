@@ -156,6 +156,16 @@ def test_stream_of_changes_publishes_generations(spark, tmp_path):
     assert store.current() == 7 and store.purge(1) == [5, 6]
 
 
+def test_large_batches_of_changes_are_published(spark, tmp_path):
+    root, folder = str(tmp_path / "index"), tmp_path / "changes"
+    folder.mkdir()
+    store = Generations(spark, root)
+    store.publish({"fragments": fragments.fragments(spark.createDataFrame([("a.md", "one")], "path string, content string"))}, 1)
+    (folder / "1.json").write_text("\n".join(json.dumps({"path": f"{k}.md", "content": f"note {k}", "deleted": False, "seq": k}) for k in range(2_500)))
+    streams.run_index(spark, str(folder), root, str(tmp_path / "checkpoint")).awaitTermination()
+    assert store.read("fragments").select("path").distinct().count() == 2_501
+
+
 def test_session_windows_merge_at_the_gap(spark):
     rows = [("s", 0, "ok"), ("s", 900, "ok"), ("s", 1801, "tool_error")]
     calls = spark.createDataFrame(rows, "session string, t int, outcome string").withColumn("started_at", F.timestamp_seconds("t"))
