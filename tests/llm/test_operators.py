@@ -227,6 +227,19 @@ def test_secret_spans_added_by_format(spark, awkward, nothing):
     assert masked.columns == awkward.columns and hit.n_chars == len(hit.text) and None in rows and secrets.redact(nothing).count() == 0
 
 
+def test_likelihood_alone_decides_on_candidates(spark):
+    rng = random.Random(12)
+    code = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    digits, long = [code("0123456789", 8) for _ in range(60)], [code("0123456789abcdef", 200) for _ in range(40)]
+    words = " ".join(["ordinary words stand around everything written here."] * 20)
+    rows = [f"{words} password = {d}" for d in digits] + [f"{words} {v}" for v in long] + [f"{words} 48151623 more"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    automata = secrets.infer_formats(docs)
+    assert automata.keys() == {"assign", "hex"}
+    got = secrets.secret_spans(docs, "f", automata).where("doc_id = 100").first().f.spans
+    assert [(s.kind, s.start, s.end) for s in got] == [("format_assign", len(words) + 1, len(words) + 9)]
+
+
 # ------------------------------------------------------------------ 7
 def test_longest_matches_with_places(spark, awkward, nothing):
     item = [f"b{k}" for k in range(15)]
