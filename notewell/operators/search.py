@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notewell.operators import packing
 from notewell.plans.dialect import Dialect, SqlOperator
 
 RRF_K = 60
@@ -56,20 +60,64 @@ def exact(notes: DataFrame, needle: str, around: int = 80) -> DataFrame:
     return notes.where(at > 0).select("path", at.alias("position"), snippet.alias("snippet"))
 
 
+def query_words(query: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit(r"(?U)[\w.\-]{2,}"), F.lit(0)))
+
+
 def keyword_overlap(fragments: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, path, rank, score, position): share of a query's words inside title, preview and path.
 
-    fragments: path, rank, title, preview. queries: query_id, query; few rows, meeting every fragment.
+    fragments: path, rank, title, preview. queries: query_id, query. Blocks of notes meet blocks of
+    queries; one pass over a fragment finds all words of a block, whichever query they are of.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(r"(?U)[\w.\-]{2,}"), F.lit(0)))
-    held = queries.select("query_id", words.alias("words")).where(F.size("words") > 0)
-    corpus = F.lower(F.concat_ws(" ", "title", "preview", "path"))
-    scored = fragments.select("path", "rank", corpus.alias("corpus")).crossJoin(held)
-    share = F.round(F.size(F.filter("words", lambda w: F.contains(F.col("corpus"), w))) / F.size("words"), 6)
-    touched = scored.select("query_id", "path", "rank", share.alias("score")).where("score > 0")
-    notes = touched.groupBy("query_id", "path").agg(F.max(F.struct("score", -F.col("rank"))).alias("best")).select("query_id", "path", (-F.col("best.col2")).alias("rank"), F.col("best.score").alias("score"))
+    asked = queries.select("query_id", query_words(F.col("query")).alias("words")).where(F.size("words") > 0)
+    held = fragments.select("path", "rank", F.lower(F.concat_ws(" ", "title", "preview", "path")).alias("corpus"))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    hits = packing.met(held, asked, ["rank"]).mapInArrow(_overlaps(limit), f"query_id {kind}, path string, rank int, found int, n_words int")
+    scored = hits.select("query_id", "path", "rank", F.round(F.col("found") / F.col("n_words"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "path")
-    return notes.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+
+
+def _overlaps(limit: int):
+    """Maps (path, rank, corpus, query_id, words) blocks to the best notes of each query."""
+
+    def run(batches):
+        asked, finder, member = None, None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path, rank, corpus, ids, words = (batch.column(i)[k].values for i in range(5))
+                if asked is None or not asked.equals(words):
+                    asked, lists = words, words.to_pylist()
+                    known = {w: i for i, w in enumerate(dict.fromkeys(w for ws in lists for w in ws))}
+                    finder = ahocorasick.Automaton()
+                    for word, i in known.items():
+                        finder.add_word(word, i)
+                    finder.make_automaton()
+                    member = np.zeros((len(known), len(lists)), np.float32)
+                    for q, ws in enumerate(lists):
+                        member[[known[w] for w in ws], q] = 1
+                counts = np.empty((len(corpus), member.shape[1]), np.float32)
+                for low in range(0, len(corpus), 512):
+                    texts = corpus[low : low + 512].to_pylist()
+                    hit = np.zeros((len(texts), len(member)), np.float32)
+                    for i, text in enumerate(texts):
+                        hit[i, list({w for _, w in finder.iter(text)})] = 1
+                    counts[low : low + len(texts)] = hit @ member
+                names, ranks, ids = path.to_pylist(), rank.to_numpy(), ids.to_pylist()
+                starts = packing.segments(names)
+                ends = np.append(starts[1:], len(names))
+                most = np.maximum.reduceat(counts, starts, axis=0)
+                sizes = member.sum(axis=0).astype(int)
+                rows = [
+                    (ids[q], names[starts[n]], int(ranks[starts[n] + counts[starts[n] : ends[n], q].argmax()]), int(most[n, q]), int(sizes[q]))
+                    for n, q in packing.best(most, limit)
+                    if most[n, q] > 0
+                ]
+                fields = [batch.schema.field(3).type.value_type, pa.string(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(fields)], names=["query_id", "path", "rank", "found", "n_words"])
+
+    return run
 
 
 def fused(lists: DataFrame, limit: int, authority_weight: float = 0.0) -> DataFrame:

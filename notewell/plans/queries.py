@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notewell.functions import text as T
-from notewell.operators import bm25, editing, fragments, graph, maintenance, queues, search, telemetry, transcripts, vectors
+from notewell.operators import bm25, editing, fragments, fresh, graph, maintenance, queues, search, telemetry, transcripts, vectors
 from notewell.plans.dialect import SqlOperator
 from notewell.plans.registry import DERIVED, input_frame, input_sql, query, register
+from notewell.sources.scratch import Scratch
 
 LIMIT = 10
 
@@ -171,9 +172,14 @@ _POSTINGS = f"""SELECT path, rank, term, tf, ln(1 + (n - df + 0.5) / (df + 0.5))
   CROSS JOIN (SELECT count(*) AS n, avg(len({_terms("concat_ws(' ', path, title, text)")})) AS average FROM ({_FRAGMENTS}))"""
 
 
+def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's term counts: written once, then read for averages, frequencies and weights."""
+    return Scratch(spark).save(bm25.term_counts(_note_fragments(spark, sf_dir)), "terms")
+
+
 @query(f"SELECT term, count(*) AS df, sum(tf) AS tf, round(sum(weight), 4) AS weight FROM ({_POSTINGS}) GROUP BY term")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.postings(_note_fragments(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.round(F.sum("weight"), 4).alias("weight"))
+    return bm25.postings(_term_counts(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 _QUERY_TERMS = f"SELECT DISTINCT item_id AS query_id, unnest({_terms('text')}) AS term FROM benchmark"
@@ -188,7 +194,7 @@ def _text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT query_id, path, rank, round(score, 3) AS score, CAST(position AS INT) AS position FROM ({_BM25}) WHERE position <= {LIMIT}")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25.search(bm25.postings(_note_fragments(spark, sf_dir)), _text_queries(spark, sf_dir), LIMIT)
+    found = bm25.search(_term_counts(spark, sf_dir), _text_queries(spark, sf_dir), LIMIT)
     return found.withColumn("score", F.round("score", 3))
 
 
@@ -208,12 +214,12 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- vectors
 _VECTORS = input_sql("vectors")
 _COSINES = f"""SELECT q.note AS query_id, v.path, v.row_idx, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) AS s
-  FROM ({_VECTORS}) v CROSS JOIN (SELECT note, embedding FROM ({_VECTORS}) WHERE row_idx IN (0, 7, 123)) q"""
+  FROM ({_VECTORS}) v CROSS JOIN (SELECT note, embedding FROM ({_VECTORS}) WHERE row_idx % 50 = 0) q"""
 _SCORES = f"SELECT query_id, path, round(avg(s), 6) AS mean, round(0.5 * max(s) + 0.5 * avg(s), 6) AS mix, arg_max(row_idx, s) AS row_idx FROM ({_COSINES}) GROUP BY query_id, path"
 
 
 def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return input_frame(spark, sf_dir, "vectors").where(F.col("row_idx").isin(0, 7, 123)).select(F.col("note").alias("query_id"), "embedding")
+    return input_frame(spark, sf_dir, "vectors").where("row_idx % 50 = 0").select(F.col("note").alias("query_id"), "embedding")
 
 
 def _vector_sql(score: str) -> str:
@@ -243,9 +249,6 @@ _FUSED = """SELECT query_id, path, score, CAST(row_number() OVER (PARTITION BY q
 _VECTOR_LISTS = f"""SELECT query_id, 0 AS list_no, path, row_number() OVER (PARTITION BY query_id ORDER BY mean DESC, path) AS position FROM ({_SCORES}) QUALIFY position <= 20
   UNION ALL SELECT query_id, 1, path, row_number() OVER (PARTITION BY query_id ORDER BY mix DESC, path) AS position FROM ({_SCORES}) QUALIFY position <= 20"""
 _POOL = search.pool(LIMIT)
-_TEXT_LISTS = f"""SELECT query_id, 0 AS list_no, path, position FROM ({_BM25}) WHERE position <= {_POOL} UNION ALL SELECT query_id, 1, path, position FROM ({_OVERLAP}) WHERE position <= {_POOL}"""
-
-
 def _listed(found: DataFrame, number: int) -> DataFrame:
     return found.select("query_id", F.lit(number).alias("list_no"), "path", "position", F.lit(1.0).alias("weight"), F.lit(False).alias("looks_back"))
 
@@ -257,20 +260,72 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fused(lists, LIMIT)
 
 
-@query(f"SELECT * FROM ({_FUSED.format(prior='2.0 * (4 - any_value(' + _AUTHORITY + ')) / 4 / 61', lists=_TEXT_LISTS)}) WHERE position <= {LIMIT}")
+# hybrid search: the notes of the vectors, less those the index doesn't hold yet, asked with openings of notes
+_ASKED = "SELECT v.row_idx, v.note AS query_id, v.embedding, concat(substr(n.content, 1, 120), CASE WHEN v.note % 20 = 0 THEN ' hier' ELSE '' END) AS query, v.note % 20 = 0 AS looks_back FROM @vectors v JOIN @notes n ON n.doc_id = v.note WHERE v.row_idx % 50 = 0"
+DERIVED["asked"] = SqlOperator(("vectors", "notes"), lambda d: _ASKED)
+DERIVED["indexed_notes"] = SqlOperator(("notes",), lambda d: "SELECT doc_id, path, content FROM @notes WHERE doc_id % 10 <> 7")
+DERIVED["unindexed_notes"] = SqlOperator(("notes",), lambda d: "SELECT doc_id, path, content FROM @notes WHERE doc_id % 10 = 7")
+DERIVED["indexed_vectors"] = SqlOperator(("vectors", "notes"), lambda d: "SELECT n.path, v.row_idx, v.embedding FROM @vectors v JOIN @notes n ON n.doc_id = v.note WHERE n.doc_id % 10 <> 7")
+_POOL = search.pool(LIMIT)
+_NOTE_WORDS = r"""SELECT path, word, sum(weight) AS tf, count(*) AS n FROM (
+  SELECT path, 2.0 AS weight, unnest(regexp_split_to_array(strip_accents(lower(translate(path, '/_', '  '))), '[^\p{L}\p{N}]+')) AS word FROM notes_
+  UNION ALL SELECT path, 5.0, unnest(regexp_split_to_array(strip_accents(lower(regexp_replace(regexp_extract(path, '[^/]*$', 0), '\.md$', ''))), '[^\p{L}\p{N}]+')) FROM notes_
+  UNION ALL SELECT path, 1.0, unnest(regexp_split_to_array(strip_accents(lower(content)), '[^\p{L}\p{N}]+')) FROM notes_) WHERE word <> '' GROUP BY path, word"""
+_FRESH = f"""WITH notes_ AS MATERIALIZED ({input_sql("unindexed_notes")}), counts_ AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY path) AS length FROM ({_NOTE_WORDS})),
+  terms_ AS (SELECT DISTINCT query_id, word FROM (SELECT query_id, unnest({_terms("query")}) AS word FROM ({input_sql("asked")})) WHERE NOT regexp_matches(word, '[^\\p{{L}}\\p{{N}}]')),
+  weights_ AS (SELECT path, word, greatest(ln((n_notes - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average)) AS weight
+    FROM (SELECT path, word, tf, length, count(*) OVER (PARTITION BY word) AS df FROM counts_) CROSS JOIN (SELECT count(*) AS n_notes, avg(length) AS average FROM (SELECT DISTINCT path, length FROM counts_)))
+  SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS position
+  FROM (SELECT query_id, path, round(sum(weight), 6) AS score FROM terms_ JOIN weights_ USING (word) GROUP BY query_id, path)""".replace("\\\\p", "\\p")
+
+
+def _vector_list(notes: str, queries: str) -> str:
+    return f"""SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY mix DESC, path) AS position FROM (
+      SELECT query_id, path, round(0.5 * max(s) + 0.5 * avg(s), 6) AS mix FROM (
+        SELECT q.query_id, v.path, list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) AS s FROM ({notes}) v CROSS JOIN ({queries}) q) GROUP BY query_id, path)"""
+
+
+def _bm25_list(notes: str, queries: str) -> str:
+    terms = f"SELECT DISTINCT query_id, unnest({_terms('query')}) AS term FROM ({queries})"
+    return f"""SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS position FROM (SELECT query_id, path, max(score) AS score FROM (
+      SELECT query_id, path, rank, round(sum(weight), 6) AS score FROM ({terms}) JOIN ({_POSTINGS.replace(_NOTES, notes)}) USING (term) GROUP BY query_id, path, rank) GROUP BY query_id, path)"""
+
+
+def _hybrid_sql() -> str:
+    asked, notes = input_sql("asked"), input_sql("indexed_notes")
+    lists = " UNION ALL ".join(
+        f"SELECT query_id, {k} AS list_no, path, position FROM ({ranked}) WHERE position <= {_POOL}"
+        for k, ranked in enumerate((_vector_list(input_sql("indexed_vectors"), asked), _bm25_list(notes, asked), _FRESH))
+    )
+    return f"""SELECT query_id, path, score, CAST(position AS INT) AS position FROM (SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p0 NULLS LAST, p1 NULLS LAST, p2 NULLS LAST, path) AS position FROM (
+      SELECT l.query_id, path, round(sum(1.0 / (60 + position)) + any_value(CASE WHEN looks_back THEN 0 ELSE 2.0 * (4 - {_AUTHORITY}) / 4 / 61 END), 6) AS score,
+        min(position) FILTER (list_no = 0) AS p0, min(position) FILTER (list_no = 1) AS p1, min(position) FILTER (list_no = 2) AS p2
+      FROM ({lists}) l JOIN ({asked}) a ON a.query_id = l.query_id GROUP BY l.query_id, path)) WHERE position <= {LIMIT}"""
+
+
+@query(_FRESH.replace("SELECT query_id, path, score, row_number()", "SELECT * FROM (SELECT query_id, path, score, row_number()").replace("AS position\n", "::INT AS position\n") + f") WHERE position <= {LIMIT}")
+def fresh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fresh.search(input_frame(spark, sf_dir, "unindexed_notes"), input_frame(spark, sf_dir, "asked"), LIMIT)
+
+
+@query(_hybrid_sql())
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both text rankings of every benchmark item, fused, with the authority prior."""
-    held, asked = _note_fragments(spark, sf_dir), _text_queries(spark, sf_dir)
-    lexical = search.keyword_overlap(held.select("path", "rank", "title", T.preview(F.col("text")).alias("preview")), asked, _POOL)
-    lists = _listed(bm25.search(bm25.postings(held), asked, _POOL), 0).unionByName(_listed(lexical, 1))
-    return search.fused(lists, LIMIT, search.AUTHORITY_WEIGHT)
+    """Vector mix and BM25 of the index and BM25 of the fresh notes, fused, with the authority prior."""
+    asked = input_frame(spark, sf_dir, "asked")
+    indexed = input_frame(spark, sf_dir, "indexed_notes")
+    counts = Scratch(spark).save(bm25.term_counts(fragments.fragments(indexed)), "terms")
+    waiting = fresh.fresh_notes(input_frame(spark, sf_dir, "notes"), indexed)
+    ranked = [vectors.search(input_frame(spark, sf_dir, "indexed_vectors"), asked, _POOL, "mix"), bm25.search(counts, asked, _POOL), fresh.search(waiting, asked, _POOL)]
+    lists = _listed(ranked[0], 0).unionByName(_listed(ranked[1], 1)).unionByName(_listed(ranked[2], 2)).drop("looks_back")
+    marked = lists.join(asked.select("query_id", search.looks_back(F.col("query")).alias("looks_back")), "query_id")
+    return search.fused(marked, LIMIT, search.AUTHORITY_WEIGHT)
 
 
 @query(f"""SELECT query_id, count(*) AS n_found, CAST(min(position) FILTER (hit) AS INT) AS first_hit, round(coalesce(1.0 / min(position) FILTER (hit), 0), 6) AS reciprocal_rank FROM (
   SELECT b.query_id, b.position, contains(n.content, i.text) AS hit FROM ({_BM25}) b JOIN ({_NOTES}) n USING (path) JOIN benchmark i ON i.item_id = b.query_id WHERE b.position <= {LIMIT}) GROUP BY query_id""")
 def eval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank of the first note that holds a benchmark item verbatim."""
-    found = bm25.search(bm25.postings(_note_fragments(spark, sf_dir)), _text_queries(spark, sf_dir), LIMIT)
+    found = bm25.search(_term_counts(spark, sf_dir), _text_queries(spark, sf_dir), LIMIT)
     judged = found.join(input_frame(spark, sf_dir, "notes").select("path", "content"), "path").join(_text_queries(spark, sf_dir), "query_id").select("query_id", "position", F.contains("content", F.col("query")).alias("hit"))
     first = F.min(F.when(F.col("hit"), F.col("position")))
     return judged.groupBy("query_id").agg(F.count("*").alias("n_found"), first.alias("first_hit"), F.round(F.coalesce(1.0 / first, F.lit(0.0)), 6).alias("reciprocal_rank"))

@@ -68,8 +68,15 @@ ADAPTERS = {
 }
 
 
+#: Tables of long texts, on which work before the first shuffle is heavy.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer partitions than there are cores (one row group is one task) are dealt out."""
+    held = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return held.repartition(cores) if name in TEXTS and held.rdd.getNumPartitions() < cores else held
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_fragments_of_edge_notes(spark):
 def test_bm25_against_a_plain_model(spark):
     rows = [("a.md", 0, "", "red red blue"), ("b.md", 0, "", "blue green"), ("c.md", 0, "", "")]
     held = spark.createDataFrame(rows, "path string, rank int, title string, text string")
-    got = {(r.path, r.term): r.weight for r in bm25.postings(held).collect()}
+    got = {(r.path, r.term): r.weight for r in bm25.postings(bm25.term_counts(held)).collect()}
     docs = {p: (["a.md", "md"] if p == "a.md" else [p, *p.split(".")]) + t.split() for p, _, _, t in rows}
     docs["a.md"] = ["a.md", "md", "red", "red", "blue"]  # "a" is a stop word
     docs["b.md"], docs["c.md"] = ["b.md", "md", "blue", "green"], ["c.md", "md"]
