@@ -1,16 +1,20 @@
-"""Index generations: tables written side by side, published by one small manifest.
+"""Index generations: tables written side by side, published by one small file.
 
-Tables of a generation go to ``<root>/gen=<n>/<name>``; readers follow the manifest, which is
-replaced last by a rename, so they see the old generation or the new one and never a mix. Paths
-go through Hadoop's file systems.
+Tables of a generation go to ``<root>/gen=<n>/<name>``. A generation counts from the moment its
+``manifest-<n>.json`` exists, which one rename of a finished file makes; readers take the largest
+number. So they see the old generation or the new one, never a mix and never none, and a writer
+that dies at any step leaves the old one published. Paths go through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MANIFEST = re.compile(r"manifest-(\d+)\.json")
+
 
 class Generations:
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -21,33 +25,49 @@ class Generations:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def _names(self) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._path(""))] if self._fs.exists(self._path("")) else []
+
+    def published(self) -> list[int]:
+        """The numbers of all published generations, ascending."""
+        return sorted(int(m[1]) for m in map(_MANIFEST.fullmatch, self._names()) if m)
+
     def current(self) -> int | None:
         """The published generation, if there is one."""
-        if not self._fs.exists(self._path("manifest.json")):
+        return max(self.published(), default=None)
+
+    def applied(self) -> int | None:
+        """The stream batch that the current generation holds, if a stream made it."""
+        number = self.current()
+        if number is None:
             return None
-        rows = self.spark.read.schema("generation long").json(f"{self.root}/manifest.json").collect()
-        return rows[0].generation
+        return self.spark.read.schema("generation long, batch long").json(f"{self.root}/manifest-{number}.json").first().batch
 
-    def publish(self, tables: dict[str, DataFrame], now_ns: int) -> int:
+    def publish(self, tables: dict[str, DataFrame], now_ns: int, batch: int | None = None) -> int:
         """Write all tables as a new generation, then make it current; numbers only rise."""
         held = self.current()
         number = max(now_ns, held + 1 if held is not None else now_ns)
         for name, frame in tables.items():
             frame.write.mode("overwrite").parquet(f"{self.root}/gen={number}/{name}")
         out = self._fs.create(self._path(f".manifest-{number}"), True)
-        out.write(bytearray((json.dumps({"generation": number}) + "\n").encode()))
+        out.write(bytearray((json.dumps({"generation": number, "batch": batch}) + "\n").encode()))
         out.close()
-        self._fs.delete(self._path("manifest.json"), False)
-        self._fs.rename(self._path(f".manifest-{number}"), self._path("manifest.json"))
+        self._commit(number)
         return number
 
+    def _commit(self, number: int) -> None:
+        if not self._fs.rename(self._path(f".manifest-{number}"), self._path(f"manifest-{number}.json")):
+            raise OSError(f"generation {number} can't be published")
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/gen={self.current()}/{name}")
 
     def purge(self, keep: int = 2) -> list[int]:
-        """Delete all but the newest ``keep`` generations; the current one always stays."""
-        numbers = sorted(int(s.getPath().getName()[4:]) for s in self._fs.listStatus(self._path("")) if s.getPath().getName().startswith("gen="))
-        gone = [n for n in numbers[: max(0, len(numbers) - keep)] if n != self.current()]
+        """Delete all but the newest ``keep`` generations; the current one and what a writer may still write stay."""
+        current = self.current()
+        numbers = sorted(int(n[4:]) for n in self._names() if n.startswith("gen="))
+        gone = [n for n in numbers[: max(0, len(numbers) - keep)] if current is not None and n < current]
         for n in gone:
+            self._fs.delete(self._path(f"manifest-{n}.json"), False)
             self._fs.delete(self._path(f"gen={n}"), True)
         return gone

@@ -16,14 +16,24 @@ def decoded(raw: F.Column) -> F.Column:
 
 
 def read_notes(spark: SparkSession, root: str, pattern: str = "*.md", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, content, raw, modified) of the indexable notes under ``root``; larger files are left out.
+    """(path, content, raw, modified, reason) of the indexable notes under ``root``.
 
-    The size filter is on file metadata, so no such file is opened.
+    Files over ``max_bytes`` aren't opened (their size is file metadata); they keep their row, with
+    null content and the reason.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).where(F.col("length") <= max_bytes)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     base = root.rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "^" + _quoted(base) + "/", "")
-    return files.select(relative.alias("path"), decoded(F.col("content")).alias("content"), F.col("content").alias("raw"), F.col("modificationTime").alias("modified")).where(indexable(F.col("path")))
+    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "^" + _quoted(base) + "/", "").alias("path")
+    modified = F.col("modificationTime").alias("modified")
+    small = files.where(F.col("length") <= max_bytes).select(relative, decoded(F.col("content")).alias("content"), F.col("content").alias("raw"), modified, F.lit(None).cast("string").alias("reason"))
+    reason = F.concat(F.lit("larger than "), F.lit(max_bytes), F.lit(" bytes: "), F.col("length")).alias("reason")
+    large = files.where(F.col("length") > max_bytes).select(relative, F.lit(None).cast("string").alias("content"), F.lit(None).cast("binary").alias("raw"), modified, reason)
+    return small.unionByName(large).where(indexable(F.col("path")))
+
+
+def read_note(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """The row of one note: only its file is listed and opened."""
+    return read_notes(spark, f"{root.rstrip('/')}/{path}", "*").withColumn("path", F.lit(path))
 
 
 def _quoted(text: str) -> str:

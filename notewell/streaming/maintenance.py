@@ -28,17 +28,20 @@ def coalesced(batch: DataFrame) -> DataFrame:
 def index_writer(generations: Generations) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that publishes a generation a batch.
 
-    A batch runs again after a failure and gives the same index: changes replace whole notes.
-    Every batch is applied whole, whatever its size.
+    A generation names its batch, so a batch that runs again after it was published changes
+    nothing. Every batch is applied whole, whatever its size.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        held = generations.applied()
+        if held is not None and held >= batch_id:
+            return
         changed = coalesced(batch)
         if changed.isEmpty():
             return
         index = generations.read("fragments")
         made = fragments(changed.where(~F.col("deleted")))
-        generations.publish({"fragments": reindexed(index, changed, made)}, (generations.current() or 0) + 1)
+        generations.publish({"fragments": reindexed(index, changed, made)}, (generations.current() or 0) + 1, batch_id)
 
     return apply
 
