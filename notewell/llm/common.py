@@ -7,10 +7,6 @@ speed without decoding.
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -19,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from notewell.sources.scratch import Scratch as Workspace
+
 #: Text bytes handled together inside a task: keeps the arrays of one step in cache.
 BLOCK_BYTES = 1_500_000
 
@@ -74,10 +72,12 @@ def with_struct(
 ) -> DataFrame:
     """``df`` (or its ``keep`` columns) with a struct column made from each whole text.
 
+    A column of ``df`` that is called ``name`` already, in either case, gives way to the new one.
+
     ``compute`` takes the texts of a block as bytes and gives one tuple a text, in the order of
     the fields in ``ddl``. Rows keep their partition; nothing is shuffled.
     """
-    kept = df.columns if keep is None else keep
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
     fed = fresh_name(df, "fed")
     source = df.select(*[df[c] for c in kept], df[text].cast("string").cast("binary").alias(fed))
     out = df.select(*[df[c] for c in kept]).schema.add(name, StructType.fromDDL(ddl))
@@ -97,45 +97,7 @@ def with_struct(
     return source.mapInArrow(run, out)
 
 
-class Workspace:
-    """Written tables in the cluster's shared folder, which cut lineage and survive lost executors.
-
-    The folder is ``spark.checkpoint.dir``; only where a session names none (tests, a laptop) is
-    a temporary one made and set.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            held = spark.sparkContext.getCheckpointDir()
-            root = held or f"file://{tempfile.mkdtemp(prefix='notewell-')}"
-            if not held:
-                spark.sparkContext.setCheckpointDir(root)
-        self.root = f"{root.rstrip('/')}/notewell-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str, release: bool = False) -> DataFrame:
-        """Write ``df`` and read it back; ``release`` lets go of the shuffle files of its making."""
-        schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
-        if release:
-            del df
-            self.release()
-        return self.spark.read.schema(schema).parquet(self.path(name))
-
-    def release(self) -> None:
-        """Spark deletes the shuffle files of finished jobs once the driver has collected its garbage."""
-        for _ in range(3):  # the first round frees what the later ones' objects are held by
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.4)
-
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["BLOCK_BYTES", "Workspace", "alnum_words", "blocks", "fresh_name", "sha256_of", "space_words", "table", "with_struct"]
 
 
 def sha256_of(joined) -> F.Column:

@@ -124,3 +124,19 @@ class Tally:
         if self.held:
             self._merge()
         return self.keys[self.counts >= n], self.counts[self.counts >= n]
+
+
+class PartialCounts:
+    """Exact counts of 64-bit keys, handed on in parts whenever ``most`` keys are held."""
+
+    def __init__(self, most: int = 2_000_000) -> None:
+        self.most, self.held = most, []
+
+    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        self.held.append(keys)
+        return self.flush() if sum(map(len, self.held)) > self.most else None
+
+    def flush(self) -> tuple[np.ndarray, np.ndarray] | None:
+        keys = np.concatenate(self.held) if self.held else np.empty(0, np.uint64)
+        self.held = []
+        return np.unique(keys, return_counts=True) if len(keys) else None

@@ -1,20 +1,26 @@
 """Exact Jaccard metric-space join of documents on their word shingles.
 
 Jaccard distance d is a metric, and two documents link when d <= r (r = 0.2). Exact copies are
-one point. Every point names the keys of its neighbourhood: its first n - ceil((1-r) n) + 1
-shingles in one global order, so that two points within r share a key. The points around a key
-elect a pivot, the most central of them, and all keys with one pivot form its region.
-
-A region is joined by distances to its pivot. By the triangle inequality points whose pivot
-distances differ by more than r can't link, so only windows of the distance axis are compared;
-points within r of the pivot are already connected through it and aren't compared with each
-other. Regions of more than ``leaf`` points are dealt into blocks that each hold the pivot; what
-the blocks leave unconnected is joined again, block by block, with just the boundary points whose
-distance window reaches it. Every link between different texts is kept as a path of links.
-
-The global order puts frequent shingles last (a counting pass; at most MAX_HOT of them are told
-apart) and otherwise long shingles, which are rarer, first. Any order gives the same links; this
-one keeps common passages and chance repeats of short words from electing regions of their own.
+one point. Documents without a common shingle are at distance 1, which no pivot can order, so the
+space first falls apart into regions: every point names the keys of its neighbourhood, its first
+n - ceil((1-r) n) + 1 shingles in one global order (two points within r share a key), the points
+around a key elect a pivot, the most central of them, and all keys with one pivot form a region.
+
+A region of at most ``leaf`` points is joined by windows of the distance to its pivot: points
+whose distances differ by more than r can't link. A larger one is divided: its points are measured
+against several pivots of its own, each goes to the Voronoi cell of its nearest pivot, at distance
+d, and boundary points also to every cell whose pivot is within d + 2r of them. By the triangle
+inequality two points within r meet in the nearest cell of either. Cells are divided again until
+they fit. Points within r of a pivot are connected through it, and a cell whose points are all
+connected is done. A cell that its pivots can't divide (its points lie close together) is cut
+along the distance to its pivot into bins of r/4; only bins within r of each other meet, in blocks,
+and only for the points that the cell's largest connected group doesn't hold.
+Every link between different texts is kept as a path of links.
+
+The global order puts frequent shingles last (a counting pass, in which tasks report what is
+frequent among their rows) and otherwise long shingles, which are rarer, first. Any order gives
+the same links; this one keeps common passages and chance repeats of short words from electing
+regions of their own.
 
 Defined results: null and empty texts have no shingles and link with nothing; texts of fewer than
 ``size`` words have one shingle; rows with a null doc_id take no part and get no component; rows
@@ -43,6 +49,16 @@ SHARED_PART = 20
 HOT_ROWS = 64
 REPORTED = 4
 MAX_HOT = 500_000
+#: Pivots that a cell is divided by at once, and the share of it that its largest new cell may have.
+MAX_PIVOTS = 32
+DIVIDED = 0.8
+#: How many times its points the cells of a divided one may hold together.
+SPREAD = 4
+#: Bins of the distance axis in one radius.
+BINS = 4
+#: Copies of one text that a task takes, and how many texts with more are told apart.
+HOT_COPIES = 500
+MAX_HOT_PRINTS = 10_000
 
 SETS = "doc_id bigint, print binary, n bigint, keys array<bigint>"
 EDGE = "a bigint, b bigint"
@@ -139,11 +155,11 @@ class _Forest:
         return x != y
 
 
-def joined_region(ids, sets: list[np.ndarray], groups, pivot: int | None, similar: int) -> list[tuple[int, int]]:
+def joined_region(ids, sets: list[np.ndarray], groups, pivot: int | None, similar: int, away: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect whatever the points' links connect, between points of different groups.
 
-    groups: points with one non-negative group number are connected already. With a pivot, all
-    points are first placed by their distance to it and only windows of that distance compared.
+    groups: points with one non-negative group number are connected already. away: the points'
+    distances to one pivot; with ``pivot`` they are measured here. Only windows of them are compared.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -172,12 +188,13 @@ def joined_region(ids, sets: list[np.ndarray], groups, pivot: int | None, simila
             if y != x and forest.join(x, y):
                 links.append((int(ids[x]), int(ids[y])))
 
-    away = np.zeros(n)
     if pivot is not None:
         common = shared(pivot, np.arange(n))
         away = 1 - common / np.maximum(1, sizes + sizes[pivot] - common)
         connect(pivot, np.arange(n))
-    reach = 1 - similar / 100 + 1e-9
+    elif away is None:
+        away = np.zeros(n)
+    reach = radius(similar) + 1e-9
     order = np.argsort(away, kind="stable")
     roots = np.array([forest.root(k) for k in range(n)])
     if n and len(set(roots.tolist())) == 1:
@@ -199,34 +216,87 @@ def joined_region(ids, sets: list[np.ndarray], groups, pivot: int | None, simila
     return links
 
 
+def radius(similar: int) -> float:
+    """The distance up to which points link."""
+    return 1 - similar / 100
+
+
+PLACED = ("task", "doc_id", "is_pivot", "grp", "away")
+
+
 def _placed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` (task, doc_id, is_pivot, grp) with the text of each point; texts cross by doc_id."""
+    """``places`` (PLACED) with the text of each point; texts cross by doc_id."""
     text = docs.select(F.col("doc_id").alias("id"), F.col("text"))
-    return places.join(text, F.col("doc_id") == F.col("id")).select("task", "doc_id", "is_pivot", "grp", F.col("text").cast("binary").alias("text"))
+    return places.join(text, F.col("doc_id") == F.col("id")).select(*PLACED, F.col("text").cast("binary").alias("text"))
 
 
-def _join_blocks(rows: DataFrame, size: int, similar: int) -> DataFrame:
-    """Edges of (task, doc_id, is_pivot, grp, text): every task is one bounded block of points."""
+def _by_task(rows: DataFrame, schema: str, work) -> DataFrame:
+    """``work`` on the rows of each task (a bounded block of points), as record batches."""
 
-    def joined(batches):
+    def run(batches):
         held: list[dict] = []
-
-        def links() -> pa.RecordBatch:
-            sets = [row for row, _ in shingle_sets([r["text"] for r in held], size)]
-            at = [k for k, r in enumerate(held) if r["is_pivot"]]
-            found = joined_region([r["doc_id"] for r in held], sets, [r["grp"] for r in held], at[0] if at else None, similar)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
         for batch in batches:
             for row in batch.to_pylist():
                 if held and held[0]["task"] != row["task"]:
-                    yield links()
+                    yield work(held)
                     held = []
                 held.append(row)
         if held:
-            yield links()
+            yield work(held)
 
-    return rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(joined, EDGE)
+    return rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(run, schema)
+
+
+def _join_blocks(rows: DataFrame, size: int, similar: int) -> DataFrame:
+    """Edges of (PLACED, text): every task is one bounded block of points."""
+
+    def links(held: list[dict]) -> pa.RecordBatch:
+        sets = [row for row, _ in shingle_sets([r["text"] for r in held], size)]
+        at = [k for k, r in enumerate(held) if r["is_pivot"]]
+        found = joined_region([r["doc_id"] for r in held], sets, [r["grp"] for r in held], at[0] if at else None, similar, np.array([r["away"] for r in held], float))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _by_task(rows, EDGE, links)
+
+
+MEASURED = "task string, doc_id bigint, pivots array<bigint>, away array<double>, axis double, linked array<bigint>"
+
+
+def cells_of(away: np.ndarray, similar: int) -> np.ndarray:
+    """Mask of (point, pivot): the nearest pivot's cell, and those of pivots within 2r beyond that distance."""
+    return away <= away.min(axis=1, keepdims=True) + 2 * radius(similar) + 1e-9
+
+
+def _measure_blocks(rows: DataFrame, size: int, similar: int) -> DataFrame:
+    """MEASURED of every point that isn't there as a pivot: the cells it enters with their pivots'
+    distances, nearest first, the distance to the first pivot, and the pivots it links with."""
+
+    def measured(held: list[dict]) -> pa.RecordBatch:
+        sets = [row for row, _ in shingle_sets([r["text"] for r in held], size)]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        pivots = [k for k, r in enumerate(held) if r["is_pivot"]]
+        points = [k for k, r in enumerate(held) if not r["is_pivot"]]
+        common = np.zeros((len(points), len(pivots)), np.int64)
+        flat, owner = np.concatenate([np.empty(0, np.uint64), *(sets[k] for k in points)]), np.repeat(np.arange(len(points)), sizes[points])
+        for j, p in enumerate(pivots):
+            at = np.minimum(np.searchsorted(sets[p], flat), len(sets[p]) - 1)
+            common[:, j] = np.bincount(owner[sets[p][at] == flat], minlength=len(points))
+        union = sizes[points][:, None] + sizes[pivots][None, :] - common
+        away, close = 1 - common / np.maximum(1, union), 100 * common >= similar * union
+        enters = cells_of(away, similar)
+        ids, names = [held[k]["doc_id"] for k in points], np.array([held[k]["doc_id"] for k in pivots], np.int64)
+        near = [np.flatnonzero(mask)[np.argsort(row[mask], kind="stable")] for mask, row in zip(enters, away, strict=True)]
+        columns = [
+            pa.array([held[0]["task"]] * len(ids), pa.string()),
+            pa.array(ids, pa.int64()),
+            pa.array([names[n] for n in near], pa.list_(pa.int64())),
+            pa.array([row[n] for n, row in zip(near, away, strict=True)], pa.list_(pa.float64())),
+            pa.array(away[:, 0], pa.float64()),
+            pa.array([names[mask] for mask in close], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["task", "doc_id", "pivots", "away", "axis", "linked"])
+
+    return _by_task(rows, MEASURED, measured)
 
 
 def region_members(sets: DataFrame, space: Workspace, similar: int = SIMILAR) -> DataFrame:
@@ -254,38 +324,90 @@ def link_edges(docs: DataFrame, sets: DataFrame, space: Workspace, size: int, si
     """Edges between points that connect exactly what links connect."""
     members = region_members(sets, space, similar)
     sizes = members.groupBy(F.col("pivot").alias("region")).agg(F.count("*").alias("m")).where("m > 1")
-    placed = members.join(sizes, F.col("pivot") == F.col("region"))
-    # every block of a region holds its pivot
-    n_blocks = F.ceil(F.col("m") / leaf).cast("int")
-    own = placed.where("doc_id <> pivot").select("pivot", "doc_id", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int").alias("block"))
-    centres = placed.where("doc_id = pivot").select("pivot", "doc_id", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
-    places = own.unionByName(centres).select(F.concat_ws(":", "pivot", "block").alias("task"), "doc_id", (F.col("doc_id") == F.col("pivot")).alias("is_pivot"), F.lit(-1).cast("bigint").alias("grp"))
-    edges = space.save(_join_blocks(_placed_texts(docs, places), size, similar), "edges-0", release=True)
-    big = space.save(placed.where(F.col("m") > leaf).select("pivot", "doc_id"), "big")
-    if big.limit(1).count() == 0:
-        return edges
-    return edges.unionByName(_between_blocks(docs, edges, big, space, size, similar, leaf))
-
-
-def _between_blocks(docs: DataFrame, edges: DataFrame, big: DataFrame, space: Workspace, size: int, similar: int, leaf: int) -> DataFrame:
-    """The links that the blocks of big regions missed: unconnected points against the boundary."""
-    labels = components(edges, space, "blocks")
-    grouped = big.join(labels, F.col("doc_id") == F.col("node"), "left").select("pivot", "doc_id", F.coalesce("label", "doc_id").alias("grp"))
-    counts = grouped.groupBy("pivot", "grp").agg(F.count("*").alias("m"))
-    main = counts.groupBy(F.col("pivot").alias("region")).agg(F.max_by("grp", F.struct("m", -F.col("grp"))).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most")).where(F.col("all") > F.col("most"))
-    open_ = space.save(grouped.join(main, F.col("pivot") == F.col("region")).select("pivot", "doc_id", "grp", (F.col("grp") != F.col("main")).alias("apart"), (F.col("all") - F.col("most")).alias("n_apart"), "most"), "open")
-    half = leaf // 2
-    of = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("int")
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), of(n)).cast("int")
-    apart, rest = open_.where("apart"), open_.where(~F.col("apart"))
-    # tasks (i, j): the unconnected block i with the unconnected block j >= i, or with block j of the main group
-    base = ["pivot", "doc_id", "grp"]
-    pairs = apart.withColumn("at", block(F.col("n_apart"))).withColumn("other", F.explode(F.sequence(F.lit(0), of(F.col("n_apart")) - 1)))
-    among = pairs.select(*base, F.lit("a").alias("side"), F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
-    against = apart.select(*base, F.lit("m").alias("side"), block(F.col("n_apart")).alias("i"), F.explode(F.sequence(F.lit(0), of(F.col("most")) - 1)).alias("j"))
-    mains = rest.select(*base, F.lit("m").alias("side"), F.explode(F.sequence(F.lit(0), of(F.col("n_apart")) - 1)).alias("i"), block(F.col("most")).alias("j"))
-    places = among.unionByName(against).unionByName(mains).select(F.concat_ws(":", "pivot", "side", "i", "j").alias("task"), "doc_id", F.lit(False).alias("is_pivot"), "grp")
-    return space.save(_join_blocks(_placed_texts(docs, places), size, similar), "edges-1", release=True)
+    placed = members.join(sizes, F.col("pivot") == F.col("region")).select(F.col("pivot").cast("string").alias("cell"), "doc_id", (F.col("doc_id") == F.col("pivot")).alias("is_pivot"), "m")
+    fitting = placed.where(F.col("m") <= leaf).select(F.col("cell").alias("task"), "doc_id", "is_pivot", F.lit(-1).cast("bigint").alias("grp"), F.lit(0.0).alias("away"))
+    edges = space.save(_join_blocks(_placed_texts(docs, fitting), size, similar), "edges-0", release=True)
+    open_ = space.save(placed.where(F.col("m") > leaf).select("cell", "doc_id"), "open-0")
+    level, between = 0, None
+    while open_.limit(1).count():
+        level += 1
+        made, open_ = _divided(docs, open_, between, space, level, size, similar, leaf)
+        between = made if between is None else between.unionByName(made)
+    return edges if between is None else edges.unionByName(between)
+
+
+def _divided(docs: DataFrame, open_: DataFrame, between: DataFrame | None, space: Workspace, level: int, size: int, similar: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """One level of recursion over cells (cell, doc_id): their edges, and the cells still open."""
+    sizes = open_.groupBy(F.col("cell").alias("of")).agg(F.count("*").alias("m"))
+    sized = open_.join(sizes, F.col("cell") == F.col("of")).select("cell", "doc_id", "m")
+    slots = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("m") / leaf) + 1).cast("int")
+    slot = F.pmod(F.xxhash64("doc_id", F.lit(level)), slots)
+    pivots = sized.groupBy("cell", "m", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id"))
+    n_chunks = F.ceil(F.col("m") / leaf).cast("int")
+    task = lambda chunk: F.concat_ws("/", "cell", chunk)
+    own = sized.select(task(F.pmod(F.xxhash64("doc_id"), n_chunks)).alias("task"), "doc_id", F.lit(False).alias("is_pivot"))
+    centres = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))).select(task(F.col("chunk")).alias("task"), "doc_id", F.lit(True).alias("is_pivot"))
+    places = own.unionByName(centres).select("*", F.lit(-1).cast("bigint").alias("grp"), F.lit(0.0).alias("away"))
+    measured = space.save(_measure_blocks(_placed_texts(docs, places), size, similar), f"measured-{level}", release=True)
+    to_pivots = measured.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b")).where("a <> b")
+    known = to_pivots if between is None else between.unionByName(to_pivots)
+    labels = components(known, space, f"level-{level}")
+    points = measured.join(labels, F.col("doc_id") == F.col("node"), "left").select(
+        F.substring_index("task", "/", 1).alias("of"), "doc_id", F.coalesce("label", "doc_id").alias("grp"), "axis", F.arrays_zip("pivots", "away").alias("enters")
+    )
+    points = space.save(points, f"points-{level}")
+    entered = points.select("of", "doc_id", "grp", F.explode("enters").alias("e")).select(F.concat_ws(":", "of", "e.pivots").alias("cell"), "of", "doc_id", "grp", F.col("e.away").alias("away"))
+    unfinished = entered.groupBy("cell", "of").agg(F.count("*").alias("m"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
+    parents = unfinished.groupBy("of").agg(F.max("m").alias("most"), F.sum("m").alias("all")).join(sizes.select(F.col("of").alias("parent"), F.col("m").alias("whole")), F.col("of") == F.col("parent"))
+    divided = (F.col("most") <= leaf) | ((F.col("most") <= DIVIDED * F.col("whole")) & (F.col("all") <= SPREAD * F.col("whole")))
+    parents = space.save(parents.select("parent", divided.alias("divided")), f"parents-{level}")
+    kinds = unfinished.join(parents.where("divided"), F.col("of") == F.col("parent")).select(F.col("cell").alias("c"), (F.col("m") <= leaf).alias("fits"))
+    cells = space.save(entered.join(kinds, F.col("cell") == F.col("c")).select("cell", "doc_id", "grp", "away", "fits"), f"cells-{level}")
+    fitting = cells.where("fits").select(F.col("cell").alias("task"), "doc_id", F.lit(False).alias("is_pivot"), "grp", "away")
+    dense = points.join(parents.where("not divided"), F.col("of") == F.col("parent")).select(F.col("of").alias("cell"), "doc_id", "grp", F.col("axis").alias("away"))
+    joined = _join_blocks(_placed_texts(docs, fitting.unionByName(_bins(dense, similar, leaf))), size, similar)
+    made = space.save(joined.unionByName(to_pivots), f"edges-{level}", release=True)
+    return made, space.save(cells.where("not fits").select("cell", "doc_id"), f"open-{level}")
+
+
+def _bins(cells: DataFrame, similar: int, leaf: int) -> DataFrame:
+    """Places (PLACED) of cells that pivots don't divide: blocks of bins of the distance axis.
+
+    The cell's largest connected group is its main one; each other point meets the points of all
+    bins that its window reaches, in pairs of blocks.
+    """
+    width = radius(similar) / BINS
+    counts = cells.groupBy("cell", "grp").agg(F.count("*").alias("m"))
+    main = counts.groupBy(F.col("cell").alias("of")).agg(F.max_by("grp", F.struct("m", -F.col("grp"))).alias("main"))
+    side = F.when(F.col("grp") == F.col("main"), "main").otherwise("apart")
+    points = cells.join(main, F.col("cell") == F.col("of")).select("cell", "doc_id", "grp", "away", side.alias("side"), F.floor(F.col("away") / width).cast("int").alias("bin"))
+    sizes = points.groupBy("cell", "side", "bin").agg(F.count("*").alias("n"))
+    one = sizes.where("side = 'apart'").select("cell", F.col("bin").alias("bin1"), F.col("n").alias("n1"))
+    two = sizes.select(F.col("cell").alias("cell2"), F.col("side").alias("side2"), F.col("bin").alias("bin2"), F.col("n").alias("n2"))
+    reach = F.col("bin2").between(F.col("bin1") - BINS - 1, F.col("bin1") + BINS + 1) & ((F.col("side2") == "main") | (F.col("bin2") >= F.col("bin1")))
+    # a few dozen bins a cell, met by cell
+    meets = one.join(two, (F.col("cell") == F.col("cell2")) & reach).select("cell", "bin1", "side2", "bin2", F.ceil(F.col("n1") * 2 / leaf).cast("int").alias("of1"), F.ceil(F.col("n2") * 2 / leaf).cast("int").alias("of2"))
+    keys = meets.withColumnRenamed("cell", "in_cell")
+    block = lambda of: F.pmod(F.xxhash64("doc_id"), of).cast("int")
+    itself = (F.col("side2") == "apart") & (F.col("bin1") == F.col("bin2"))
+    first = points.where("side = 'apart'").join(keys, (F.col("cell") == F.col("in_cell")) & (F.col("bin") == F.col("bin1"))).withColumn("i", block(F.col("of1"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of2") - 1)))
+    second = points.join(keys, (F.col("cell") == F.col("in_cell")) & (F.col("bin") == F.col("bin2")) & (F.col("side") == F.col("side2"))).withColumn("j", block(F.col("of2"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("of1") - 1)))
+    # a bin with itself: every pair of blocks once, every point of a block once
+    placed = first.where(~itself | (F.col("j") >= F.col("i"))).unionByName(second.where(~itself | (F.col("i") < F.col("j"))))
+    return placed.select(F.concat_ws(":", "cell", "bin1", "side2", "bin2", "i", "j").alias("task"), "doc_id", F.lit(False).alias("is_pivot"), "grp", "away")
+
+
+def _with_first(sets: DataFrame, first: DataFrame, counts: DataFrame) -> DataFrame:
+    """``sets`` with the point of their print; the prints of the most rows are dealt over several tasks.
+
+    At most MAX_HOT_PRINTS of them are told apart (and broadcast), so no other print has more than
+    that share of the rows.
+    """
+    hot = counts.where(F.col("copies") >= HOT_COPIES).orderBy(F.desc("copies"), "of").limit(MAX_HOT_PRINTS).select(F.col("of").alias("hot"), F.ceil(F.col("copies") / HOT_COPIES).cast("int").alias("parts"))
+    dealt = sets.join(F.broadcast(hot), F.col("print") == F.col("hot"), "left").withColumn("part", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")).drop("hot", "parts")
+    spread = first.join(F.broadcast(hot), F.col("of") == F.col("hot"), "left").select("of", "point", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("at"))
+    same = (F.col("print") == F.col("of")) & (F.col("part") == F.col("at")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return dealt.join(spread, same, "left").drop("part", "at", "of")
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR, leaf: int = LEAF, hot_rows: int = HOT_ROWS, reported: int = REPORTED) -> DataFrame:
@@ -295,15 +417,16 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similar: int = SIMILAR, l
     named = docs.where("doc_id is not null")
     sets = space.save(_neighbourhoods(docs, size, similar, frequent_shingles(named, size, hot_rows, reported)), "sets")
     usable = sets.where("doc_id is not null")
-    first = usable.where("n > 0").groupBy(F.col("print").alias("of")).agg(F.min("doc_id").alias("point"))
+    counts = space.save(usable.where("n > 0").groupBy(F.col("print").alias("of")).agg(F.min("doc_id").alias("point"), F.count("*").alias("copies")).where("copies > 1"), "copies")
+    first = counts.select("of", "point")
     # one document under several texts ties their points together
     versions = usable.where("n > 0").groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low <> high").select(F.col("doc_id").alias("again"))
-    ties = usable.where("n > 0").join(versions, F.col("doc_id") == F.col("again")).join(first, F.col("print") == F.col("of")).select(F.col("doc_id").alias("a"), F.col("point").alias("b"))
+    ties = usable.where("n > 0").join(versions, F.col("doc_id") == F.col("again")).join(first, F.col("print") == F.col("of"), "left").select(F.col("doc_id").alias("a"), F.coalesce("point", "doc_id").alias("b"))
     edges = link_edges(named, usable, space, size, similar, leaf).unionByName(ties)
     labels = components(edges, space, "links")
-    placed = sets.join(first, (F.col("print") == F.col("of")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    placed = _with_first(sets, first, counts).withColumn("point", F.coalesce("point", "doc_id"))
     found = placed.join(labels, F.col("point") == F.col("node"), "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "point", "doc_id").alias("component_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "point").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **how: int) -> DataFrame:

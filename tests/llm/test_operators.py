@@ -1,6 +1,8 @@
 """The operators on awkward rows, against brute force, and on other parameters."""
 
+import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -131,6 +133,43 @@ def test_join_against_brute_force(spark, leaf):
     assert got == components_model(texts)
 
 
+def test_join_by_several_levels_of_cells(spark, monkeypatch):
+    """One region of documents with a common opening: clusters that pivots part, each of them dense."""
+    rng, levels, divided = random.Random(4), [], jaccard._divided
+
+    def spy(docs, open_, between, space, level, *how):
+        levels.append(level)
+        return divided(docs, open_, between, space, level, *how)
+
+    monkeypatch.setattr(jaccard, "_divided", spy)
+    opening = [f"long_opening_word_{k}" for k in range(12)]
+    texts = {}
+    for cluster in range(6):
+        tail = [f"{cluster}t{k}" for k in range(60)]
+        for _ in range(10):
+            words = list(tail)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+            texts[len(texts)] = " ".join(opening + words)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, leaf=4, hot_rows=10_000).collect()}
+    assert got == components_model(texts)
+    assert max(levels) >= 2
+
+
+def test_dense_cells_meet_every_pair_within_the_radius(spark):
+    rng = random.Random(2)
+    rows = [("c", k, 0 if k < 30 else k, rng.random()) for k in range(60)]
+    places = jaccard._bins(spark.createDataFrame(rows, "cell string, doc_id bigint, grp bigint, away double"), 80, 8).collect()
+    tasks = {}
+    for r in places:
+        tasks.setdefault(r.task, []).append(r.doc_id)
+    assert all(len(ids) == len(set(ids)) for ids in tasks.values())
+    met = {frozenset(p) for ids in tasks.values() for p in itertools.combinations(ids, 2)}
+    for (_, a, ga, da), (_, b, gb, db) in itertools.combinations(rows, 2):
+        assert abs(da - db) > 0.2 or ga == gb or {a, b} in met
+
+
 def test_join_on_awkward_rows(awkward, nothing):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(awkward).collect()), key=repr)
     by = {i: (n, c) for i, n, c in got if i not in (None, 10)}
@@ -352,7 +391,7 @@ def removal_model(texts, size):
     return out
 
 
-@pytest.mark.parametrize("hot", [{"hot_rows": 5_000}, {"hot_rows": 2, "reported": 1}])
+@pytest.mark.parametrize("hot", [{"hot_rows": 5_000}, {"hot_rows": 2}])
 def test_removal_against_brute_force(spark, hot):
     rng = random.Random(7)
     passage = [f"p{k}" for k in range(30)]
@@ -363,6 +402,26 @@ def test_removal_against_brute_force(spark, hot):
     assert got == removal_model(texts, 6)
 
 
+def test_texts_under_one_doc_id_stay_apart(spark):
+    """Two texts of one id, whose CRCs agree in their last 16 bits, one with a passage of an earlier document."""
+    passage = " ".join(f"w{k}" for k in range(30))
+    longer = f"{' '.join(f'a{k}' for k in range(200))} {passage}"
+    short = next(t for k in itertools.count() if (zlib.crc32((t := f"short text {k}").encode()) ^ zlib.crc32(longer.encode())) & 0xFFFF == 0)
+    frame = spark.createDataFrame([(1, passage), (2, longer), (2, short)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.left.n_words, r.left.n_removed) for r in debruijn.remove_repeated(frame, "left").collect())
+    assert got == [(1, 30, 0), (2, 3, 0), (2, 230, 30)]
+
+
+def test_paths_are_verified_by_their_source_coordinates(spark):
+    """A path whose words aren't those of its source is left alone; the others stay."""
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "x a b c d e y z")], "doc_id bigint, text string")
+    ids = {r.doc_id: r.text_id for r in debruijn._texts(docs).collect()}
+    rows = [(2, ids[2], 1, 3, 1, ids[1], 0, False), (2, ids[2], 4, 2, 1, ids[1], 3, False), (2, ids[2], 1, 5, 1, ids[1], 0, True)]
+    paths = spark.createDataFrame(rows, debruijn.PLACES)
+    got = debruijn.verified(docs, paths, debruijn.Workspace(spark), 3).collect()
+    assert sorted(tuple(r) for r in got) == sorted([rows[0], rows[2]])
+
+
 def test_removal_on_awkward_rows(awkward, nothing):
     rows = debruijn.remove_repeated(awkward, "left").collect()
     by = {}
