@@ -16,14 +16,15 @@ by page_id. An archive holds at most about ``archive_bytes``, so no task holds m
 
 Defined results: a null html is an empty payload; rows with a null page_id are responses that
 nothing refers to; repeated rows with one page_id and payload are all responses; payloads of
-fewer than ``revisit_bytes`` bytes are never revisited; an empty table makes no record. Broken
-segments or framing give a row with a ``status`` other than ``ok``.
+fewer than ``revisit_bytes`` bytes are never revisited; an empty table makes no record. Malformed
+headers, broken segments or framing give a row with a ``status`` other than ``ok``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 
 import pyarrow as pa
@@ -136,30 +137,68 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
 
 
 def _unzipped(data: bytes) -> bytes:
+    """All gzip members of an archive; a broken one ends it with what it gave until then."""
     parts = []
     while data:
         stream = zlib.decompressobj(31)
-        parts.append(stream.decompress(data))
+        try:
+            parts.append(stream.decompress(data))
+        except zlib.error:
+            break
         data = stream.unused_data
     return b"".join(parts)
 
 
+def _number(text: str | None) -> int | None:
+    """A header's number; None where there is none or it isn't one of 63 bits."""
+    if text is None or not re.fullmatch(r"-?[0-9]{1,19}", text):
+        return None
+    n = int(text)
+    return n if -(2**63) <= n < 2**63 else None
+
+
 def parse_archive(data: bytes) -> list[dict]:
-    """Every record of an archive, as its header fields and block; a torn tail ends it."""
+    """Every record of an archive, as its header fields, block and status.
+
+    A record whose header gives no usable length is one of status ``no length``, and reading goes
+    on at the next line that begins a record; so it does after bytes that begin none. A torn tail
+    is ``torn record``. Header bytes that aren't UTF-8 are replaced.
+    """
     found, at = [], 0
-    while (stop := data.find(_END, at)) >= 0:
-        lines = data[at:stop].split(b"\r\n")
-        fields = {k.decode().lower(): v.strip().decode() for k, _, v in (line.partition(b":") for line in lines[1:])}
-        if not lines[0].startswith(b"WARC/") or "content-length" not in fields:
+    while (at := _next_record(data, at)) >= 0:
+        stop = data.find(_END, at)
+        if stop < 0:
+            found.append({"warc-type": "response", "block": b"", "status": "torn record"})
             break
-        size = int(fields["content-length"])
+        lines = data[at:stop].split(b"\r\n")
+        fields = {k.decode(errors="replace").lower(): v.strip().decode(errors="replace") for k, _, v in (line.partition(b":") for line in lines[1:])}
+        size = _number(fields.get("content-length"))
+        if size is None or size < 0:
+            found.append(fields | {"warc-type": fields.get("warc-type", "response"), "block": b"", "status": "no length"})
+            at = stop
+            continue
         block = data[stop + 4 : stop + 4 + size]
-        fields["torn"] = len(block) != size
-        found.append(fields | {"block": block})
-        at = stop + 4 + size + 4
+        broken = [v for k, v in NUMBERS.items() if v in fields and _number(fields[v]) is None]
+        status = "torn record" if len(block) != size else f"broken {broken[0]}" if broken else "ok"
+        found.append(fields | {"block": block, "status": status})
+        at = stop + 4 + size
     return found
 
 
+def _next_record(data: bytes, at: int) -> int:
+    """Where the next record begins: at once but for line ends, or else at the next line that does."""
+    while data[at : at + 2] == b"\r\n":
+        at += 2
+    if at >= len(data) or data.startswith(b"WARC/", at):
+        return at if at < len(data) else -1
+    found = data.find(b"\nWARC/", at)
+    return found + 1 if found >= 0 else -1
+
+
+# The header fields that hold numbers.
+NUMBERS = {"segment": "warc-segment-number", "total": "warc-segment-total-length", "page_id": "x-page-id", "refers_to": "x-refers-to-page-id", "payload_bytes": "x-payload-length"}
+
+
 def _payload(block: bytes) -> tuple[bytes | None, str]:
     head, mark, body = block.partition(_END)
     if not mark:
@@ -201,15 +240,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row for each response or revisit of the archives under ``path``."""
 
     def parse(batches):
-        kinds = {"segment": "warc-segment-number", "total": "warc-segment-total-length", "page_id": "x-page-id", "refers_to": "x-refers-to-page-id", "payload_bytes": "x-payload-length"}
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 rows = []
                 for f in parse_archive(_unzipped(content) if content[:2] == b"\x1f\x8b" else content):
-                    numbers = {k: int(f[v]) if v in f else None for k, v in kinds.items()}
+                    numbers = {k: _number(f.get(v)) for k, v in NUMBERS.items()}
                     rows.append({
                         "kind": f.get("warc-type"), "record_id": f.get("warc-record-id"), "url": f.get("warc-target-uri"), "block": f["block"], "origin": f.get("warc-segment-origin-id"),
-                        "payload_digest": (f.get("warc-payload-digest") or "").rpartition(":")[2] or None, "status": "torn record" if f["torn"] else "ok", **numbers,
+                        "payload_digest": (f.get("warc-payload-digest") or "").rpartition(":")[2] or None, "status": f["status"], **numbers,
                     })
                 for at in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_pylist(rows[at : at + 500], schema=PARSED_ARROW)
