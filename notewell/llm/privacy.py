@@ -64,19 +64,35 @@ def _valid(kind: str, value: Column) -> Column:
 def located(text: Column, pattern: str | Column, kind: str) -> Column:
     """All matches of a pattern with their places in code points, leftmost and not overlapping.
 
-    The pieces between matches and the matches themselves give every offset as a running sum.
+    The pieces between matches and the matches themselves give every offset as a running sum. It
+    runs inside groups of about the square root of their number, and then over the groups: a
+    running sum copies what it holds at every step, which over all matches at once would be quadratic.
     """
     matches, pieces = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).cast("bigint").alias("gap"), m.alias("value")))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(SPAN).alias("spans"))
+    zero = F.lit(0).cast("bigint")
+    begin = F.struct(zero.alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(held: Column, pair: Column) -> Column:
         start = held["at"] + pair["gap"]
         end = start + F.length(pair["value"])
         span = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(F.coalesce(held["spans"], F.array().cast(SPAN)), span).alias("spans"))
-
-    return F.coalesce(F.aggregate(pairs, begin, step, lambda held: held["spans"]), F.array().cast(SPAN))
+        return F.struct(end.alias("at"), F.concat(held["spans"], span).alias("spans"))
+
+    def grouped(all_: Column) -> Column:
+        size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(all_)))).cast("int")
+        starts = F.sequence(F.lit(0), ((F.size(all_) - 1) / size).cast("int"))
+        return F.transform(starts, lambda k: F.aggregate(F.slice(all_, k * size + 1, size), begin, step))
+
+    def shifted(groups: Column) -> Column:
+        offsets = F.aggregate(groups, F.array(zero), lambda held, g: F.concat(held, F.array(F.element_at(held, -1) + g["at"])))
+        moved = lambda g, by: F.transform(g["spans"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(groups, F.slice(offsets, F.lit(1), F.size(groups)), moved))
+
+    # each intermediate array is the element of a one-element array, so that it is made once
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    found = once(pairs, lambda all_: F.when(F.size(all_) > 0, once(grouped(all_), shifted)))
+    return F.coalesce(found, F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
