@@ -7,21 +7,28 @@ window enter the array, so it stays sparse without losing a match. Consecutive w
 diagonal join into longest verbatim matches with their places in both texts.
 
 The job is one scan without a shuffle: shards don't depend on each other. The benchmark goes to
-the tasks in blocks of at most ``BLOCK_WORDS`` words (counted before anything is sent); a larger
-benchmark is searched block after block over the same rows.
+the tasks in blocks of at most ``BLOCK_WORDS`` words (counted before anything is sent); of a larger
+one, one block at a time is fetched and searched, and what it found is written before the next.
+
+Of equal windows in one item the first counts, so that the hits of a text grow with its own length
+whatever repeats in it or in the item; a match inside text with a period is reported in pieces of
+at most a period.
 
 Defined results: a null text has no words; an item without words has no window and an item of
-fewer than ``window`` words is one window; items with a null id are ignored; repeated documents
-each get their own row; repeated items count once by id; empty tables give empty results or no hits.
+fewer than ``window`` words is one window; the windows of items with a null id count like all
+others, as matches with a null id; repeated documents each get their own row; repeated items count
+once by id; empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notewell.llm.common import alnum_words, fresh_name, with_struct
+from notewell.llm.common import Workspace, alnum_words, fresh_name, with_struct
 
 WINDOW = 10
 #: Words of benchmark text sent to the tasks at once.
@@ -31,7 +38,7 @@ FOUND = "n_words bigint, n_hit bigint, matches array<struct<item_id:string,item_
 
 
 class TestSuffixes:
-    """The distinct windows of some items by length, as rows of word numbers (from 1)."""
+    """The distinct windows of each item by length, as rows of word numbers (from 1)."""
 
     __test__ = False
 
@@ -43,8 +50,12 @@ class TestSuffixes:
             words = alnum_words(text)
             row = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.uint32)
             size = min(window, len(row))
+            seen: set[bytes] = set()
             for start in range(len(row) - size + 1) if size else ():
-                found.setdefault(size, []).append((row[start : start + size], at, start))
+                window_ = row[start : start + size]
+                if (key := window_.tobytes()) not in seen:
+                    seen.add(key)
+                    found.setdefault(size, []).append((window_, at, start))
         self.window = window
         self.shortest = min(found, default=0)
         self.by_length = [
@@ -130,31 +141,33 @@ def _covered(spans: list[tuple]) -> int:
     return covered
 
 
-def _item_blocks(benchmark: DataFrame, block_words: int) -> list[list[tuple[str, bytes | None]]]:
-    """The items in blocks of about ``block_words`` words, each fetched for itself."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[bool, list[tuple[str | None, bytes | None]]]]:
+    """(whether it is the last one, items) of blocks of about ``block_words`` words, each fetched when it is asked for."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (2 * block_words)))  # two bytes a word at least, with its separator
     part = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [[(r.item_id, r.text.encode() if r.text is not None else None) for r in part.where(F.col("part") == k).orderBy("item_id", "text").collect()] for k in range(n)]
+    for k in range(n):
+        yield k == n - 1, [(r.item_id, r.text.encode() if r.text is not None else None) for r in part.where(F.col("part") == k).orderBy("item_id", "text").collect()]
 
 
 def suffix_matches(docs: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with a struct column ``name``: n_words, n_hit and all longest verbatim matches."""
-    out = docs
-    parts = _item_blocks(benchmark, block_words)
-    steps = [fresh_name(docs, f"found{k}") for k in range(len(parts))]
-    for k, items in enumerate(parts):
+    out, steps, space = docs, [], None
+    base = docs.columns if keep is None else keep
+    for last, items in _item_blocks(benchmark, block_words):
         tests = TestSuffixes(items, window)
 
         def compute(texts, tests=tests):
             for n, spans in _matches(tests, texts):
                 yield n, _covered(spans), spans
 
-        last = k == len(parts) - 1
-        kept = [*(docs.columns if keep is None or not last else keep), *steps[:k]]
-        out = with_struct(out, steps[k], FOUND, compute, keep=kept)
-    base = docs.columns if keep is None else keep
+        steps.append(fresh_name(out, f"found{len(steps)}"))
+        out = with_struct(out, steps[-1], FOUND, compute, keep=[*(base if last else docs.columns), *steps[:-1]])
+        if not last:
+            space = space or Workspace(docs.sparkSession)
+            out = space.save(out, steps[-1])
+            space.drop(*steps[:-1])
     if len(steps) == 1:
         return out.select(*[out[c] for c in base], out[steps[0]].alias(name))
     spans = F.flatten(F.array(*[out[s]["matches"] for s in steps]))

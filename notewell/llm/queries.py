@@ -55,7 +55,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.suffix_matches(docs, table(spark, sf_dir, "benchmark"), "found", keep=["doc_id"])
-    items = F.array_sort(F.array_distinct(F.transform("found.matches", lambda m: m["item_id"])))
+    items = F.array_sort(F.array_compact(F.array_distinct(F.transform("found.matches", lambda m: m["item_id"]))))
     longest = F.array_max(F.transform("found.matches", lambda m: m["n_words"]))
     return found.select(
         "doc_id",
