@@ -342,7 +342,7 @@ def _divided(docs: DataFrame, open_: DataFrame, between: DataFrame | None, space
     sized = open_.join(sizes, F.col("cell") == F.col("of")).select("cell", "doc_id", "m")
     slots = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("m") / leaf) + 1).cast("int")
     slot = F.pmod(F.xxhash64("doc_id", F.lit(level)), slots)
-    pivots = sized.groupBy("cell", "m", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id"))
+    pivots = sized.groupBy("cell", "m", slot.alias("slot")).agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id", F.lit(-level)), "doc_id")).alias("doc_id"))
     n_chunks = F.ceil(F.col("m") / leaf).cast("int")
     task = lambda chunk: F.concat_ws("/", "cell", chunk)
     own = sized.select(task(F.pmod(F.xxhash64("doc_id"), n_chunks)).alias("task"), "doc_id", F.lit(False).alias("is_pivot"))

@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+import re
 import zlib
 
 import numpy as np
@@ -134,7 +136,7 @@ def test_join_against_brute_force(spark, leaf):
 
 
 def test_join_by_several_levels_of_cells(spark, monkeypatch):
-    """One region of documents with a common opening: clusters that pivots part, each of them dense."""
+    """All documents in one region: clusters that pivots part, each of them dense."""
     rng, levels, divided = random.Random(4), [], jaccard._divided
 
     def spy(docs, open_, between, space, level, *how):
@@ -142,15 +144,15 @@ def test_join_by_several_levels_of_cells(spark, monkeypatch):
         return divided(docs, open_, between, space, level, *how)
 
     monkeypatch.setattr(jaccard, "_divided", spy)
-    opening = [f"long_opening_word_{k}" for k in range(12)]
+    monkeypatch.setattr(jaccard, "region_members", lambda sets, space, similar: sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id")).select(F.lit(0).cast("bigint").alias("pivot"), "doc_id"))
     texts = {}
     for cluster in range(6):
-        tail = [f"{cluster}t{k}" for k in range(60)]
-        for _ in range(10):
+        tail = [f"{cluster}t{j}" for j in range(60)]
+        for k in range(10):
             words = list(tail)
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(1 if k == 0 else rng.randint(2, 3)):
                 words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
-            texts[len(texts)] = " ".join(opening + words)
+            texts[len(texts)] = " ".join(words)
     frame = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame, leaf=4, hot_rows=10_000).collect()}
     assert got == components_model(texts)
@@ -429,3 +431,42 @@ def test_removal_on_awkward_rows(awkward, nothing):
         by.setdefault(r.doc_id, []).append(r)
     assert len(rows) == awkward.count() and by[1][0].left.n_removed == 0 and all(r.left.kept == "" for r in by[2]) and by[4][0].left.n_words == 0
     assert all(r.left.n_removed == 0 for r in by[None]) and by[7][0].left.n_removed == 0 and debruijn.remove_repeated(nothing, "left").count() == 0
+
+
+# ------------------------------------------------------------------ long and broken inputs
+def test_malformed_records_get_a_status(spark, tmp_path):
+    good = warc.records_of(7, 1, "http://a", b"hello", 5, warc.digest(b"hello"), None, 1000, 100)[0] + b"\r\n\r\n"
+    broken = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\nbody\r\n\r\n"
+    strange = good.replace(b"http://a", b"http://\xff").replace(b"X-Page-ID: 7", b"X-Page-ID: seven")
+    torn = good[: len(good) - 20]
+    (tmp_path / "a.txt").write_bytes(b"garbage\r\n" + broken + strange + good + torn)
+    got = [(r.page_id, r.payload, r.status) for r in warc.read_archives(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, None, "no length"), (None, None, "broken x-page-id"), (7, b"hello", "ok"), (7, None, "torn record")], key=repr)
+
+
+def test_many_spans_of_one_text_are_found_in_order(spark):
+    text = " ".join(f"né{k}@example.org" for k in range(3_000))
+    began = time.monotonic()
+    spans = spark.createDataFrame([(1, text)], "doc_id bigint, text string").select(privacy.base_spans(F.col("text")).alias("s")).first().s
+    assert time.monotonic() - began < 60
+    model = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    assert [(s.start, s.end, s.value) for s in spans if s.kind == "email"] == model
+
+
+def test_places_of_secrets_in_code_points():
+    text = "é" * 10 + " " + " ".join(f"password: 'ünter{k}abc{k}' " for k in range(50))
+    [(base, _)] = secrets._scan([text.encode()], {})
+    assert [(s, e) for k, s, e, _ in base if k == "assign"] == [(m.start(), m.end()) for m in re.finditer(r"(?i)(password)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
+    taken = [(5, 9), (5, 30), (12, 14)]
+    words = b"aaaaaa bbbbbbbbbb cccccccccccccccc dddddddd eeeeeeee"
+    assert [c[2] for c in secrets._candidates(words, taken)] == [m[0] for m in secrets._CANDIDATE.finditer(words) if not any(s < m.end() and m.start() < e for s, e in taken)]
+
+
+def test_periodic_items_and_texts(spark):
+    item = " ".join(["a", "b", "c"] * 400)
+    docs = spark.createDataFrame([(1, " ".join(["a", "b", "c"] * 5_000)), (2, "x " + " ".join(["b", "c", "a"] * 4)), (3, "a b c")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, item), ("q", "x b c")], "item_id string, text string")
+    got = {r.doc_id: r.m for r in decontaminate.suffix_matches(docs, items, "m").collect()}
+    assert (got[1].n_hit, got[2].n_hit, got[3].n_hit) == (15_000, 13, 0)
+    assert {m.item_id for m in got[1].matches} == {None} and {m.item_id for m in got[2].matches} == {None, "q"}
+    assert len(got[1].matches) <= 15_000
