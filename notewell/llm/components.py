@@ -30,4 +30,5 @@ def components(edges: DataFrame, space: Workspace, name: str) -> DataFrame:
         if turn > 1:
             space.drop(f"{name}-{turn - 2}")
         if not changed:
+            space.drop(f"{name}-edges", f"{name}-{turn - 1}")
             return labels

@@ -11,8 +11,8 @@ whose distances differ by more than r can't link. A larger one is divided: its p
 against several pivots of its own, each goes to the Voronoi cell of its nearest pivot, at distance
 d, and boundary points also to every cell whose pivot is within d + 2r of them. By the triangle
 inequality two points within r meet in the nearest cell of either. Cells are divided again until
-they fit. Points within r of a pivot are connected through it, and a cell whose points are all
-connected is done. A cell that its pivots can't divide (its points lie close together) is cut
+they fit. Points within r of a pivot are connected through it: the largest connected group of a
+cell needs no replicas, since the others come to it, and a cell of connected points is done. A cell that its pivots can't divide (its points lie close together) is cut
 along the distance to its pivot into bins of r/4; only bins within r of each other meet, in blocks,
 and only for the points that the cell's largest connected group doesn't hold.
 Every link between different texts is kept as a path of links.
@@ -317,7 +317,9 @@ def region_members(sets: DataFrame, space: Workspace, similar: int = SIMILAR) ->
     spread = held.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("pivots"))
     enough = F.col("held") * F.col("pivots") >= 1 + F.floor(F.col("n") * similar / (100 * SHARED_PART))
     kept = held.join(spread, F.col("doc_id") == F.col("id")).where(enough | (F.col("doc_id") == F.col("pivot")))
-    return space.save(kept.select("pivot", "doc_id"), "members")
+    members = space.save(kept.select("pivot", "doc_id"), "members")
+    space.drop("live", "held")
+    return members
 
 
 def link_edges(docs: DataFrame, sets: DataFrame, space: Workspace, size: int, similar: int, leaf: int) -> DataFrame:
@@ -356,7 +358,11 @@ def _divided(docs: DataFrame, open_: DataFrame, between: DataFrame | None, space
         F.substring_index("task", "/", 1).alias("of"), "doc_id", F.coalesce("label", "doc_id").alias("grp"), "axis", F.arrays_zip("pivots", "away").alias("enters")
     )
     points = space.save(points, f"points-{level}")
-    entered = points.select("of", "doc_id", "grp", F.explode("enters").alias("e")).select(F.concat_ws(":", "of", "e.pivots").alias("cell"), "of", "doc_id", "grp", F.col("e.away").alias("away"))
+    counts = points.groupBy("of", "grp").agg(F.count("*").alias("m"))
+    main = counts.groupBy(F.col("of").alias("parent")).agg(F.max_by("grp", F.struct("m", -F.col("grp"))).alias("main"))
+    exploded = points.join(main, F.col("of") == F.col("parent")).select("of", "doc_id", "grp", "main", F.posexplode("enters").alias("nth", "e"))
+    # points of the largest connected group stay in their nearest cell, which the others enter
+    entered = exploded.where((F.col("nth") == 0) | (F.col("grp") != F.col("main"))).select(F.concat_ws(":", "of", "e.pivots").alias("cell"), "of", "doc_id", "grp", F.col("e.away").alias("away"))
     unfinished = entered.groupBy("cell", "of").agg(F.count("*").alias("m"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
     parents = unfinished.groupBy("of").agg(F.max("m").alias("most"), F.sum("m").alias("all")).join(sizes.select(F.col("of").alias("parent"), F.col("m").alias("whole")), F.col("of") == F.col("parent"))
     divided = (F.col("most") <= leaf) | ((F.col("most") <= DIVIDED * F.col("whole")) & (F.col("all") <= SPREAD * F.col("whole")))
@@ -367,7 +373,9 @@ def _divided(docs: DataFrame, open_: DataFrame, between: DataFrame | None, space
     dense = points.join(parents.where("not divided"), F.col("of") == F.col("parent")).select(F.col("of").alias("cell"), "doc_id", "grp", F.col("axis").alias("away"))
     joined = _join_blocks(_placed_texts(docs, fitting.unionByName(_bins(dense, similar, leaf))), size, similar)
     made = space.save(joined.unionByName(to_pivots), f"edges-{level}", release=True)
-    return made, space.save(cells.where("not fits").select("cell", "doc_id"), f"open-{level}")
+    left = space.save(cells.where("not fits").select("cell", "doc_id"), f"open-{level}")
+    space.drop(f"measured-{level}", f"points-{level}", f"parents-{level}", f"cells-{level}", f"open-{level - 1}")
+    return made, left
 
 
 def _bins(cells: DataFrame, similar: int, leaf: int) -> DataFrame:
