@@ -61,7 +61,6 @@ HOT_COPIES = 500
 MAX_HOT_PRINTS = 10_000
 
 SETS = "doc_id bigint, print binary, n bigint, keys array<bigint>"
-EDGE = "a bigint, b bigint"
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -221,17 +220,63 @@ def radius(similar: int) -> float:
     return 1 - similar / 100
 
 
-PLACED = ("task", "doc_id", "is_pivot", "grp", "away")
+PLACED = ("task", "doc_id", "is_pivot", "grp", "away", "measure")
 
 
 def _placed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` (PLACED) with the text of each point; texts cross by doc_id."""
-    text = docs.select(F.col("doc_id").alias("id"), F.col("text"))
+    """``places`` (PLACED) with the text of each point.
+
+    Texts cross by doc_id in a sort-merge join at every size, so that memory doesn't depend on how
+    many places there are.
+    """
+    text = docs.select(F.col("doc_id").alias("id"), F.col("text")).hint("merge")
     return places.join(text, F.col("doc_id") == F.col("id")).select(*PLACED, F.col("text").cast("binary").alias("text"))
 
 
-def _by_task(rows: DataFrame, schema: str, work) -> DataFrame:
-    """``work`` on the rows of each task (a bounded block of points), as record batches."""
+FOUND = "task string, doc_id bigint, pivots array<bigint>, away array<double>, axis double, linked array<bigint>"
+
+
+def cells_of(away: np.ndarray, similar: int) -> np.ndarray:
+    """Mask of (point, pivot): the nearest pivot's cell, and those of pivots within 2r beyond that distance."""
+    return away <= away.min(axis=1, keepdims=True) + 2 * radius(similar) + 1e-9
+
+
+def _joined(held: list[dict], sets: list[np.ndarray], similar: int) -> list[tuple]:
+    """FOUND rows of a block that is joined: each point's links, and nothing else."""
+    at = [k for k, r in enumerate(held) if r["is_pivot"]]
+    links = joined_region([r["doc_id"] for r in held], sets, [r["grp"] for r in held], at[0] if at else None, similar, np.array([r["away"] for r in held], float))
+    return [(held[0]["task"], a, None, None, None, [b]) for a, b in links]
+
+
+def _measured(held: list[dict], sets: list[np.ndarray], similar: int) -> list[tuple]:
+    """FOUND rows of a block that is measured, one for every point that isn't there as a pivot: the
+    cells it enters with their pivots' distances, nearest first, the distance to the first pivot, and
+    the pivots it links with."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    pivots = [k for k, r in enumerate(held) if r["is_pivot"]]
+    points = [k for k, r in enumerate(held) if not r["is_pivot"]]
+    common = np.zeros((len(points), len(pivots)), np.int64)
+    flat, owner = np.concatenate([np.empty(0, np.uint64), *(sets[k] for k in points)]), np.repeat(np.arange(len(points)), sizes[points])
+    for j, p in enumerate(pivots):
+        at = np.minimum(np.searchsorted(sets[p], flat), len(sets[p]) - 1)
+        common[:, j] = np.bincount(owner[sets[p][at] == flat], minlength=len(points))
+    union = sizes[points][:, None] + sizes[pivots][None, :] - common
+    away, close = 1 - common / np.maximum(1, union), 100 * common >= similar * union
+    names, enters, rows = np.array([held[k]["doc_id"] for k in pivots], np.int64), cells_of(away, similar), []
+    for k, row, mask, near in zip(points, away, enters, close, strict=True):
+        nearest = np.flatnonzero(mask)[np.argsort(row[mask], kind="stable")]
+        rows.append((held[0]["task"], held[k]["doc_id"], names[nearest], row[nearest], row[0], names[near]))
+    return rows
+
+
+def _worked(rows: DataFrame, size: int, similar: int) -> DataFrame:
+    """FOUND of (PLACED, text): every task is one bounded block of points, joined or measured."""
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.int64())]
+
+    def work(held: list[dict]) -> pa.RecordBatch:
+        sets = [row for row, _ in shingle_sets([r["text"] for r in held], size)]
+        found = (_measured if held[0]["measure"] else _joined)(held, sets, similar)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["task", "doc_id", "pivots", "away", "axis", "linked"])
 
     def run(batches):
         held: list[dict] = []
@@ -244,59 +289,7 @@ def _by_task(rows: DataFrame, schema: str, work) -> DataFrame:
         if held:
             yield work(held)
 
-    return rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(run, schema)
-
-
-def _join_blocks(rows: DataFrame, size: int, similar: int) -> DataFrame:
-    """Edges of (PLACED, text): every task is one bounded block of points."""
-
-    def links(held: list[dict]) -> pa.RecordBatch:
-        sets = [row for row, _ in shingle_sets([r["text"] for r in held], size)]
-        at = [k for k, r in enumerate(held) if r["is_pivot"]]
-        found = joined_region([r["doc_id"] for r in held], sets, [r["grp"] for r in held], at[0] if at else None, similar, np.array([r["away"] for r in held], float))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    return _by_task(rows, EDGE, links)
-
-
-MEASURED = "task string, doc_id bigint, pivots array<bigint>, away array<double>, axis double, linked array<bigint>"
-
-
-def cells_of(away: np.ndarray, similar: int) -> np.ndarray:
-    """Mask of (point, pivot): the nearest pivot's cell, and those of pivots within 2r beyond that distance."""
-    return away <= away.min(axis=1, keepdims=True) + 2 * radius(similar) + 1e-9
-
-
-def _measure_blocks(rows: DataFrame, size: int, similar: int) -> DataFrame:
-    """MEASURED of every point that isn't there as a pivot: the cells it enters with their pivots'
-    distances, nearest first, the distance to the first pivot, and the pivots it links with."""
-
-    def measured(held: list[dict]) -> pa.RecordBatch:
-        sets = [row for row, _ in shingle_sets([r["text"] for r in held], size)]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        pivots = [k for k, r in enumerate(held) if r["is_pivot"]]
-        points = [k for k, r in enumerate(held) if not r["is_pivot"]]
-        common = np.zeros((len(points), len(pivots)), np.int64)
-        flat, owner = np.concatenate([np.empty(0, np.uint64), *(sets[k] for k in points)]), np.repeat(np.arange(len(points)), sizes[points])
-        for j, p in enumerate(pivots):
-            at = np.minimum(np.searchsorted(sets[p], flat), len(sets[p]) - 1)
-            common[:, j] = np.bincount(owner[sets[p][at] == flat], minlength=len(points))
-        union = sizes[points][:, None] + sizes[pivots][None, :] - common
-        away, close = 1 - common / np.maximum(1, union), 100 * common >= similar * union
-        enters = cells_of(away, similar)
-        ids, names = [held[k]["doc_id"] for k in points], np.array([held[k]["doc_id"] for k in pivots], np.int64)
-        near = [np.flatnonzero(mask)[np.argsort(row[mask], kind="stable")] for mask, row in zip(enters, away, strict=True)]
-        columns = [
-            pa.array([held[0]["task"]] * len(ids), pa.string()),
-            pa.array(ids, pa.int64()),
-            pa.array([names[n] for n in near], pa.list_(pa.int64())),
-            pa.array([row[n] for n, row in zip(near, away, strict=True)], pa.list_(pa.float64())),
-            pa.array(away[:, 0], pa.float64()),
-            pa.array([names[mask] for mask in close], pa.list_(pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["task", "doc_id", "pivots", "away", "axis", "linked"])
-
-    return _by_task(rows, MEASURED, measured)
+    return rows.repartition("task").sortWithinPartitions("task", "doc_id").mapInArrow(run, FOUND)
 
 
 def region_members(sets: DataFrame, space: Workspace, similar: int = SIMILAR) -> DataFrame:
@@ -323,37 +316,54 @@ def region_members(sets: DataFrame, space: Workspace, similar: int = SIMILAR) ->
 
 
 def link_edges(docs: DataFrame, sets: DataFrame, space: Workspace, size: int, similar: int, leaf: int) -> DataFrame:
-    """Edges between points that connect exactly what links connect."""
+    """Edges between points that connect exactly what links connect.
+
+    Every pass over the texts joins the cells that fit and measures those that don't.
+    """
     members = region_members(sets, space, similar)
     sizes = members.groupBy(F.col("pivot").alias("region")).agg(F.count("*").alias("m")).where("m > 1")
     placed = members.join(sizes, F.col("pivot") == F.col("region")).select(F.col("pivot").cast("string").alias("cell"), "doc_id", (F.col("doc_id") == F.col("pivot")).alias("is_pivot"), "m")
-    fitting = placed.where(F.col("m") <= leaf).select(F.col("cell").alias("task"), "doc_id", "is_pivot", F.lit(-1).cast("bigint").alias("grp"), F.lit(0.0).alias("away"))
-    edges = space.save(_join_blocks(_placed_texts(docs, fitting), size, similar), "edges-0", release=True)
+    places = placed.where(F.col("m") <= leaf).select(F.col("cell").alias("task"), "doc_id", "is_pivot", F.lit(-1).cast("bigint").alias("grp"), F.lit(0.0).alias("away"), F.lit(False).alias("measure"))
     open_ = space.save(placed.where(F.col("m") > leaf).select("cell", "doc_id"), "open-0")
-    level, between = 0, None
-    while open_.limit(1).count():
+    level, edges, between = 0, None, None
+    while True:
+        left = open_.limit(1).count() > 0
+        sized = _sized(open_)
+        wanted = places.unionByName(_measuring(sized, level, leaf)) if left else places
+        found = space.save(_worked(_placed_texts(docs, wanted), size, similar), f"found-{level}", release=True)
+        space.drop(f"points-{level - 1}", f"parents-{level - 1}", f"cells-{level - 1}")
+        linked = found.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b"), F.col("pivots").isNotNull().alias("measured")).where("a <> b")
+        edges = linked.select("a", "b") if edges is None else edges.unionByName(linked.select("a", "b"))
+        if not left:
+            return edges
+        # of the first pass only the cells that are still open need their groups
+        known = linked.where("measured").select("a", "b") if level == 0 else linked.select("a", "b")
+        between = known if between is None else between.unionByName(known)
+        places, open_ = _divided(found.where(F.col("pivots").isNotNull()), sized, between, space, level, similar, leaf)
         level += 1
-        made, open_ = _divided(docs, open_, between, space, level, size, similar, leaf)
-        between = made if between is None else between.unionByName(made)
-    return edges if between is None else edges.unionByName(between)
 
 
-def _divided(docs: DataFrame, open_: DataFrame, between: DataFrame | None, space: Workspace, level: int, size: int, similar: int, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """One level of recursion over cells (cell, doc_id): their edges, and the cells still open."""
-    sizes = open_.groupBy(F.col("cell").alias("of")).agg(F.count("*").alias("m"))
-    sized = open_.join(sizes, F.col("cell") == F.col("of")).select("cell", "doc_id", "m")
+def _sized(cells: DataFrame) -> DataFrame:
+    """(cell, doc_id, m): cells with their sizes."""
+    sizes = cells.groupBy(F.col("cell").alias("of")).agg(F.count("*").alias("m"))
+    return cells.join(sizes, F.col("cell") == F.col("of")).select("cell", "doc_id", "m")
+
+
+def _measuring(sized: DataFrame, level: int, leaf: int) -> DataFrame:
+    """Places (PLACED) that measure the points of cells, in chunks, against pivots drawn from each."""
     slots = F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("m") / leaf) + 1).cast("int")
     slot = F.pmod(F.xxhash64("doc_id", F.lit(level)), slots)
-    pivots = sized.groupBy("cell", "m", slot.alias("slot")).agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id", F.lit(-level)), "doc_id")).alias("doc_id"))
+    pivots = sized.groupBy("cell", "m", slot.alias("slot")).agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id", F.lit(-1 - level)), "doc_id")).alias("doc_id"))
     n_chunks = F.ceil(F.col("m") / leaf).cast("int")
     task = lambda chunk: F.concat_ws("/", "cell", chunk)
     own = sized.select(task(F.pmod(F.xxhash64("doc_id"), n_chunks)).alias("task"), "doc_id", F.lit(False).alias("is_pivot"))
     centres = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1))).select(task(F.col("chunk")).alias("task"), "doc_id", F.lit(True).alias("is_pivot"))
-    places = own.unionByName(centres).select("*", F.lit(-1).cast("bigint").alias("grp"), F.lit(0.0).alias("away"))
-    measured = space.save(_measure_blocks(_placed_texts(docs, places), size, similar), f"measured-{level}", release=True)
-    to_pivots = measured.select(F.col("doc_id").alias("a"), F.explode("linked").alias("b")).where("a <> b")
-    known = to_pivots if between is None else between.unionByName(to_pivots)
-    labels = components(known, space, f"level-{level}")
+    return own.unionByName(centres).select("*", F.lit(-1).cast("bigint").alias("grp"), F.lit(0.0).alias("away"), F.lit(True).alias("measure"))
+
+
+def _divided(measured: DataFrame, sized: DataFrame, between: DataFrame, space: Workspace, level: int, similar: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """One level of recursion: the places that join what fits or is dense, and the cells still open."""
+    labels = components(between, space, f"level-{level}")
     points = measured.join(labels, F.col("doc_id") == F.col("node"), "left").select(
         F.substring_index("task", "/", 1).alias("of"), "doc_id", F.coalesce("label", "doc_id").alias("grp"), "axis", F.arrays_zip("pivots", "away").alias("enters")
     )
@@ -364,18 +374,16 @@ def _divided(docs: DataFrame, open_: DataFrame, between: DataFrame | None, space
     # points of the largest connected group stay in their nearest cell, which the others enter
     entered = exploded.where((F.col("nth") == 0) | (F.col("grp") != F.col("main"))).select(F.concat_ws(":", "of", "e.pivots").alias("cell"), "of", "doc_id", "grp", F.col("e.away").alias("away"))
     unfinished = entered.groupBy("cell", "of").agg(F.count("*").alias("m"), F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high")
-    parents = unfinished.groupBy("of").agg(F.max("m").alias("most"), F.sum("m").alias("all")).join(sizes.select(F.col("of").alias("parent"), F.col("m").alias("whole")), F.col("of") == F.col("parent"))
+    whole = sized.select(F.col("cell").alias("parent"), F.col("m").alias("whole")).distinct()
+    parents = unfinished.groupBy("of").agg(F.max("m").alias("most"), F.sum("m").alias("all")).join(whole, F.col("of") == F.col("parent"))
     divided = (F.col("most") <= leaf) | ((F.col("most") <= DIVIDED * F.col("whole")) & (F.col("all") <= SPREAD * F.col("whole")))
     parents = space.save(parents.select("parent", divided.alias("divided")), f"parents-{level}")
     kinds = unfinished.join(parents.where("divided"), F.col("of") == F.col("parent")).select(F.col("cell").alias("c"), (F.col("m") <= leaf).alias("fits"))
     cells = space.save(entered.join(kinds, F.col("cell") == F.col("c")).select("cell", "doc_id", "grp", "away", "fits"), f"cells-{level}")
     fitting = cells.where("fits").select(F.col("cell").alias("task"), "doc_id", F.lit(False).alias("is_pivot"), "grp", "away")
     dense = points.join(parents.where("not divided"), F.col("of") == F.col("parent")).select(F.col("of").alias("cell"), "doc_id", "grp", F.col("axis").alias("away"))
-    joined = _join_blocks(_placed_texts(docs, fitting.unionByName(_bins(dense, similar, leaf))), size, similar)
-    made = space.save(joined.unionByName(to_pivots), f"edges-{level}", release=True)
-    left = space.save(cells.where("not fits").select("cell", "doc_id"), f"open-{level}")
-    space.drop(f"measured-{level}", f"points-{level}", f"parents-{level}", f"cells-{level}", f"open-{level - 1}")
-    return made, left
+    places = fitting.unionByName(_bins(dense, similar, leaf)).withColumn("measure", F.lit(False))
+    return places, space.save(cells.where("not fits").select("cell", "doc_id"), f"open-{level + 1}")
 
 
 def _bins(cells: DataFrame, similar: int, leaf: int) -> DataFrame:

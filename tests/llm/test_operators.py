@@ -139,9 +139,9 @@ def test_join_by_several_levels_of_cells(spark, monkeypatch):
     """All documents in one region: clusters that pivots part, each of them dense."""
     rng, levels, divided = random.Random(4), [], jaccard._divided
 
-    def spy(docs, open_, between, space, level, *how):
-        levels.append(level)
-        return divided(docs, open_, between, space, level, *how)
+    def spy(measured, sized, between, space, level, *how):
+        levels.append(level + 1)
+        return divided(measured, sized, between, space, level, *how)
 
     monkeypatch.setattr(jaccard, "_divided", spy)
     monkeypatch.setattr(jaccard, "region_members", lambda sets, space, similar: sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id")).select(F.lit(0).cast("bigint").alias("pivot"), "doc_id"))
