@@ -233,7 +233,7 @@ def _placed_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return places.join(text, F.col("doc_id") == F.col("id")).select(*PLACED, F.col("text").cast("binary").alias("text"))
 
 
-FOUND = "task string, doc_id bigint, pivots array<bigint>, away array<double>, axis double, linked array<bigint>"
+FOUND = "task string, doc_id bigint, pivots array<bigint>, away array<double>, axis double, linked array<bigint>, text binary"
 
 
 def cells_of(away: np.ndarray, similar: int) -> np.ndarray:
@@ -245,13 +245,13 @@ def _joined(held: list[dict], sets: list[np.ndarray], similar: int) -> list[tupl
     """FOUND rows of a block that is joined: each point's links, and nothing else."""
     at = [k for k, r in enumerate(held) if r["is_pivot"]]
     links = joined_region([r["doc_id"] for r in held], sets, [r["grp"] for r in held], at[0] if at else None, similar, np.array([r["away"] for r in held], float))
-    return [(held[0]["task"], a, None, None, None, [b]) for a, b in links]
+    return [(held[0]["task"], a, None, None, None, [b], None) for a, b in links]
 
 
 def _measured(held: list[dict], sets: list[np.ndarray], similar: int) -> list[tuple]:
     """FOUND rows of a block that is measured, one for every point that isn't there as a pivot: the
     cells it enters with their pivots' distances, nearest first, the distance to the first pivot, and
-    the pivots it links with."""
+    the pivots it links with; and its text, for the passes to come."""
     sizes = np.array([len(s) for s in sets], np.int64)
     pivots = [k for k, r in enumerate(held) if r["is_pivot"]]
     points = [k for k, r in enumerate(held) if not r["is_pivot"]]
@@ -265,18 +265,18 @@ def _measured(held: list[dict], sets: list[np.ndarray], similar: int) -> list[tu
     names, enters, rows = np.array([held[k]["doc_id"] for k in pivots], np.int64), cells_of(away, similar), []
     for k, row, mask, near in zip(points, away, enters, close, strict=True):
         nearest = np.flatnonzero(mask)[np.argsort(row[mask], kind="stable")]
-        rows.append((held[0]["task"], held[k]["doc_id"], names[nearest], row[nearest], row[0], names[near]))
+        rows.append((held[0]["task"], held[k]["doc_id"], names[nearest], row[nearest], row[0], names[near], held[k]["text"]))
     return rows
 
 
 def _worked(rows: DataFrame, size: int, similar: int) -> DataFrame:
     """FOUND of (PLACED, text): every task is one bounded block of points, joined or measured."""
-    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.int64())]
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.int64()), pa.binary()]
 
     def work(held: list[dict]) -> pa.RecordBatch:
         sets = [row for row, _ in shingle_sets([r["text"] for r in held], size)]
         found = (_measured if held[0]["measure"] else _joined)(held, sets, similar)
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["task", "doc_id", "pivots", "away", "axis", "linked"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["task", "doc_id", "pivots", "away", "axis", "linked", "text"])
 
     def run(batches):
         held: list[dict] = []
@@ -339,6 +339,10 @@ def link_edges(docs: DataFrame, sets: DataFrame, space: Workspace, size: int, si
         # of the first pass only the cells that are still open need their groups
         known = linked.where("measured").select("a", "b") if level == 0 else linked.select("a", "b")
         between = known if between is None else between.unionByName(known)
+        if level == 0:
+            # only texts of open cells are shuffled again; two texts under one doc_id both stay
+            open_texts = found.where(F.col("pivots").isNotNull()).groupBy("doc_id").agg(F.collect_set("text").alias("texts"))
+            docs = open_texts.select("doc_id", F.explode("texts").alias("text"))
         places, open_ = _divided(found.where(F.col("pivots").isNotNull()), sized, between, space, level, similar, leaf)
         level += 1
 
