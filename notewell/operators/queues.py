@@ -10,6 +10,9 @@ from notewell.plans.dialect import Dialect, SqlOperator
 
 NOW = "TIMESTAMP '1996-01-01 00:00:00'"
 MAX_ATTEMPTS = 3
+#: Jobs and bytes that one claim takes at most: one prefix of the queue, oldest first, and always one job.
+CLAIM_LIMIT = 10
+CLAIM_BYTES = 20_000
 
 _NEWEST = "SELECT source_path, version, max(event_id) AS newest FROM @queue WHERE status <> 'superseded' GROUP BY source_path, version"
 
@@ -75,12 +78,12 @@ def _newest_of_other_hash() -> str:
 
 
 def _claim(d: Dialect) -> str:
-    # a budget per document keeps the running sum inside one key
+    # the oldest jobs up to the limit are few rows, whatever the queue holds, so one running sum takes them
     return f"""SELECT job_id, document, chunk_bytes, running FROM (
-      SELECT j.job_id, j.document, j.chunk_bytes, sum(j.chunk_bytes) OVER w AS running, row_number() OVER w AS n
-      FROM @jobs j LEFT JOIN ({_newest_of_other_hash()}) o ON o.source = j.source AND o.source_hash = j.source_hash
-      WHERE j.status = 'pending' AND j.attempts < {MAX_ATTEMPTS} AND (o.other IS NULL OR o.other < j.row_no)
-      WINDOW w AS (PARTITION BY j.document ORDER BY j.row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) c WHERE n = 1 OR (running <= 6000 AND n <= 5)"""
+      SELECT job_id, document, chunk_bytes, sum(chunk_bytes) OVER w AS running, row_number() OVER w AS n FROM (
+        SELECT j.job_id, j.document, j.chunk_bytes, j.row_no FROM @jobs j LEFT JOIN ({_newest_of_other_hash()}) o ON o.source = j.source AND o.source_hash = j.source_hash
+        WHERE j.status = 'pending' AND j.attempts < {MAX_ATTEMPTS} AND (o.other IS NULL OR o.other < j.row_no) ORDER BY j.row_no LIMIT {CLAIM_LIMIT}) t
+      WINDOW w AS (ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) c WHERE n = 1 OR running <= {CLAIM_BYTES}"""
 
 
 def _jobs_status(d: Dialect) -> str:

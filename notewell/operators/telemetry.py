@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from notewell.plans.dialect import Dialect, SqlOperator
 
-GAP_S = 6 * 3600
+#: Seconds without a call after which a session's next call begins a new run.
+GAP_S = 900
 
 
 def _runs(d: Dialect) -> str:
