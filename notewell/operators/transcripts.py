@@ -51,8 +51,9 @@ FAILURES = (
 LOW_SIGNAL = ("read", "list", "search")
 
 
-def redacted(text: Column) -> Column:
-    for _, pattern, by in (*REDACTIONS, *EXTRA_REDACTIONS):
+def redacted(text: Column, extra: bool = True) -> Column:
+    """Text without secrets of the base families and, if ``extra``, of the further ones."""
+    for _, pattern, by in (*REDACTIONS, *EXTRA_REDACTIONS) if extra else REDACTIONS:
         text = F.regexp_replace(text, pattern, by)
     return text
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notewell.functions import text as T
-from notewell.operators import bm25, editing, fragments, fresh, graph, maintenance, queues, search, telemetry, transcripts, vectors
+from notewell.operators import bm25, editing, fragments, fresh, graph, maintenance, queues, recordings, search, telemetry, transcripts, vectors
 from notewell.plans.dialect import SqlOperator
 from notewell.plans.registry import DERIVED, input_frame, input_sql, query, register
 from notewell.sources.scratch import Scratch
@@ -79,6 +79,46 @@ register("classify_failures", transcripts.failures)
 register("document_projection", transcripts.document_projection)
 
 
+_RECORDED = """SELECT id, concat(session, '/', CAST({div} AS STRING)) AS raw_id, outcome NOT IN ('ok', 'duplicate') AS bad, id % 3 = 0 AS low,
+  concat(CASE WHEN id % 3 = 0 THEN 'Read' ELSE 'run ' || tool END) AS tool FROM {calls}"""
+
+
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls as Markdown recordings; ids are unique, so a recording holds at most 1,000 calls."""
+    calls = input_frame(spark, sf_dir, "calls").selectExpr("id", "concat(session, '/', CAST(id div 1000 AS STRING)) AS raw_id", "outcome", "tool")
+    tool = F.when(F.col("id") % 3 == 0, "Read").otherwise(F.concat(F.lit("run "), "tool"))
+    failed = F.when(F.col("outcome") == "tool_error", F.concat(F.lit("**Résultat** :\n```\nPermission denied: "), F.col("id").cast("string"), F.lit("\n```")))
+    failed = failed.otherwise(F.concat(F.lit("**Erreur** :\n```text\n"), "outcome", F.lit("\n\ncall "), F.col("id").cast("string"), F.lit("\n```")))
+    body = F.when(F.col("outcome").isin("ok", "duplicate"), "**Arguments** :\n\n**Résultat** :\n```\ndone\n```").otherwise(failed)
+    part = F.concat(
+        F.lit("## ⚙️ System\n\nframe\n\n## 🤖 Assistant — 2026-01-01 10:00 · m\n\n<details><summary>💭 thought</summary>\nhm\n</details>\ncall "), F.col("id").cast("string"),
+        F.lit("\n\n\n\n<details><summary>🔧 "), tool, F.lit("</summary>\n"), body, F.lit("\n</details>\n<system-reminder>x</system-reminder>end\n"),
+    )
+    parts = calls.select("raw_id", F.struct("id", part.alias("part")).alias("p")).groupBy("raw_id").agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    head = F.concat(F.lit("---\nconvia_sanitized: 2\n---\n# Session "), "raw_id", F.lit("\n\n"))
+    return parts.select("raw_id", F.concat(head, F.array_join(F.transform("parts", lambda p: p["part"]), "")).alias("text"))
+
+
+_RECORDED_DUCK = _RECORDED.format(div="id // 1000", calls=f"({input_sql('calls')}) c")
+
+
+@query(f"SELECT raw_id, 'Assistant' AS role, concat('call ', id, chr(10), chr(10), 'end') AS text FROM ({_RECORDED_DUCK}) r")
+def recorded_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recordings.recorded_messages(recordings.blocks(_recordings(spark, sf_dir))).select("raw_id", "role", "text")
+
+
+@query(f"""SELECT raw_id, tool, bad AS is_error, count(*) AS n FROM (SELECT *, (SELECT max_by(f.bad, f.id) FROM ({_RECORDED_DUCK}) f WHERE f.raw_id = r.raw_id AND f.tool = r.tool AND f.id < r.id) AS failed
+  FROM ({_RECORDED_DUCK}) r) e WHERE bad OR (failed AND NOT low) GROUP BY raw_id, tool, bad""")
+def recorded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = recordings.tool_calls(recordings.blocks(_recordings(spark, sf_dir)))
+    return recordings.recorded_events(calls).groupBy("raw_id", "tool", "is_error").agg(F.count("*").alias("n"))
+
+
+@query()
+def recorded_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recordings.rendered(_recordings(spark, sf_dir)).select("raw_id", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("view_sha256"))
+
+
 @query(transcripts.REDACTION_COUNTS_ORACLE.oracle(documents="SELECT * FROM documents"))
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.redaction_counts(input_frame(spark, sf_dir, "documents"))
