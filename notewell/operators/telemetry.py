@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from notewell.operators.transcripts import redacted
 from notewell.plans.dialect import Dialect, SqlOperator
 
 #: Seconds without a call after which a session's next call begins a new run.
@@ -50,3 +54,97 @@ refs = SqlOperator(("calls",), _refs)
 requests = SqlOperator(("calls",), _requests)
 health = SqlOperator(("calls",), _health)
 audit_tail = SqlOperator(("calls",), _audit_tail)
+
+
+# Marks of a refusal, of a repeated write and of its message at the beginning of a response.
+REFUSAL = r"""\\?"etat\\?"\s*:\s*\\?"refuse\\?"|\\?"isError\\?"\s*:\s*true"""
+DUPLICATE = r"""\\?"duplicate\\?"\s*:\s*true"""
+MESSAGE = r"""\\?"message\\?"\s*:\s*\\?"((?:[^"\\]|\\.){0,200})"""
+NO_MESSAGE = "refus"
+
+#: Bytes of a request that is parsed whole, of a response that may be a refusal, and of its part that is looked at.
+MAX_BODY, SMALL_RESPONSE, HEAD = 2_000_000, 6_000, 8_192
+
+
+def refusal_message(head: Column) -> Column:
+    """The short message of a refused call, without secrets; null where the response is none."""
+    head = F.substring(head, 1, HEAD)
+    raw = F.when(head.rlike(MESSAGE), F.regexp_extract(head, MESSAGE, 1)).otherwise(NO_MESSAGE)
+    plain = F.replace(F.replace(raw, F.lit("\\\\"), F.lit("\\")), F.lit('\\"'), F.lit('"'))
+    return F.when(head.rlike(REFUSAL), F.substring(redacted(plain), 1, 160))
+
+
+def call_outcomes(calls: DataFrame, write_tools: tuple[str, ...]) -> DataFrame:
+    """``calls`` (tool, http_status, bytes_out, disconnected, finished, exception, head, …) with ``outcome`` and ``message``.
+
+    An exception comes first, unless the client left an unfinished response; then the client, the
+    status, a refusal and a repeated write. Only short responses are read: longer ones may quote such marks.
+    """
+    left = F.col("disconnected") & ~F.col("finished")
+    small = F.col("bytes_out") <= SMALL_RESPONSE
+    told = F.when(small & (F.coalesce("tool", F.lit("")) != ""), refusal_message(F.col("head")))
+    repeated = small & F.col("tool").isin(*write_tools) & F.substring("head", 1, HEAD).rlike(DUPLICATE)
+    outcome = (
+        F.when(left, "client_disconnect")
+        .when(F.col("exception").isNotNull(), "exception")
+        .when(F.col("http_status") >= 400, "http_error")
+        .when(F.col("_told").isNotNull(), "tool_error")
+        .when(repeated, "duplicate")
+        .otherwise("ok")
+    )
+    held = calls.withColumn("_told", told).withColumn("outcome", outcome)
+    message = F.when(F.col("outcome") == "exception", F.col("exception")).when(F.col("outcome") == "tool_error", F.col("_told"))
+    return held.withColumn("message", message).drop("_told")
+
+
+def _kind(value: Column) -> Column:
+    return F.schema_of_variant(value)
+
+
+def parsed_requests(bodies: DataFrame) -> DataFrame:
+    """``bodies`` (body, …) with ``method``, ``tool`` and ``ref``; of a batch, its first call.
+
+    ``ref`` is the job's first 12 characters or ten hex digits of the path's SHA-256. A body that isn't
+    an object of JSON has method ``?``; of a body over 2 MB only the beginning is read, and it has no ref.
+    """
+    parsed = F.when(F.octet_length("body") <= MAX_BODY, F.try_parse_json(F.col("body")))
+    held = bodies.withColumn("_all", parsed)
+    held = held.withColumn("_doc", F.when(_kind(F.col("_all")).startswith("ARRAY"), F.try_variant_get("_all", "$[0]", "variant")).otherwise(F.col("_all")))
+    arguments = {k: F.try_variant_get("_doc", f"$.params.arguments.{k}", "variant") for k in ("job_id", "path", "source_path")}
+    texts = {k: F.when(_kind(v) == "STRING", F.nullif(F.try_variant_get("_doc", f"$.params.arguments.{k}", "string"), F.lit(""))) for k, v in arguments.items()}
+    named = F.nullif(F.try_variant_get("_doc", "$.method", "string"), F.lit(""))
+    whole = F.coalesce(named, F.when(F.try_variant_get("_doc", "$.result", "variant").isNotNull(), F.lit("response")), F.lit(""))
+    begin = F.substring("body", 1, HEAD)
+    head_method = F.coalesce(F.nullif(F.regexp_extract(begin, r'"method"\s*:\s*"([^"]{1,60})"', 1), F.lit("")), F.lit("?"))
+    empty_batch = _kind(F.col("_all")).startswith("ARRAY") & F.col("_doc").isNull()
+    method = (
+        F.when(F.coalesce("body", F.lit("")) == "", "")
+        .when(F.octet_length("body") > MAX_BODY, head_method)
+        .when(empty_batch, "")
+        .when(F.coalesce(_kind(F.col("_doc")).startswith("OBJECT"), F.lit(False)), F.substring(whole, 1, 60))
+        .otherwise("?")
+    )
+    held = held.withColumn("method", method)
+    name = F.when(F.octet_length("body") > MAX_BODY, F.regexp_extract(begin, r'"name"\s*:\s*"([A-Za-z0-9_]{1,60})"', 1)).otherwise(F.substring(F.try_variant_get("_doc", "$.params.name", "string"), 1, 60))
+    place = F.coalesce(texts["path"], texts["source_path"])
+    ref = F.when(texts["job_id"].isNotNull(), F.concat(F.lit("job:"), F.substring(texts["job_id"], 1, 12))).otherwise(F.concat(F.lit("p:"), F.substring(F.sha2(place.cast("binary"), 256), 1, 10)))
+    called = F.col("method") == "tools/call"
+    held = held.withColumn("tool", F.when(called, F.coalesce(name, F.lit(""))).otherwise("")).withColumn("ref", F.when(called, F.coalesce(ref, F.lit(""))).otherwise(""))
+    return held.drop("_all", "_doc")
+
+
+def spool_stats(files: DataFrame, now: Column) -> DataFrame:
+    """One row about a spool's ``files`` (place, modified_at): how many wait, failed or are done, and their ages in seconds."""
+    age = F.unix_micros(now) / 1e6 - F.unix_micros("modified_at") / 1e6
+    waiting, failed = F.col("place") == "queue", F.col("place") == "failed"
+    return files.agg(
+        F.count_if(waiting).alias("waiting"), F.round(F.max(F.when(waiting, age)), 1).alias("oldest_s"),
+        F.count_if(failed).alias("failed"), F.count_if(failed & (age < 3600)).alias("failed_last_hour"), F.round(F.min(F.when(failed, age)), 1).alias("last_failure_s"),
+        F.count_if(F.col("place") == "done").alias("done"),
+    )
+
+
+def freshness(files: DataFrame, now: Column, limit_s: int = 48 * 3600) -> DataFrame:
+    """One row about ``files`` (modified_at): how many there are, the age of the newest and whether it is fresh; no files aren't."""
+    age = F.unix_micros(now) / 1e6 - F.unix_micros(F.max("modified_at")) / 1e6
+    return files.agg(F.count("*").alias("n"), age.alias("age_s")).withColumn("fresh", F.coalesce(F.col("age_s") < limit_s, F.lit(False)))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notewell.functions import text as T
-from notewell.operators import bm25, editing, fragments, fresh, graph, maintenance, queues, recordings, search, telemetry, transcripts, vectors
+from notewell.operators import bm25, editing, fragments, fresh, graph, maintenance, queues, recordings, search, telemetry, transcripts, validation, vectors
 from notewell.plans.dialect import SqlOperator
 from notewell.plans.registry import DERIVED, input_frame, input_sql, query, register
 from notewell.sources.scratch import Scratch
@@ -432,3 +432,109 @@ def incremental_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = maintenance.reindexed(fragments.fragments(notes), changed, fragments.fragments(edited))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda f: f["text"]), "")
     return index.groupBy("path").agg(F.count("*").alias("n_fragments"), F.sha2(whole.cast("binary"), 256).alias("sha256"))
+
+
+# ---------------------------------------------------------------- checks before a write, requests and responses
+# Each query renders rows of known kinds from a driver's table; its SQL states the answer of each kind by hand.
+
+
+def _kinds(key: str, values: list[str | None]) -> Column:
+    """The value of a row's kind (its key modulo the number of kinds), with ``@`` as its key."""
+    return F.replace(F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int")), F.lit("@"), F.col(key).cast("string"))
+
+
+def _answers(key: str, values: list[str | None]) -> str:
+    cases = " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else "'" + v.replace("'", "''") + "'") for k, v in enumerate(values))
+    return f"replace(CASE {key} % {len(values)} {cases} END, '@', CAST({key} AS VARCHAR))"
+
+
+_NOTE_PATHS = [
+    ("notes/d@.md", "notes/d@.md", None), (" notes/./x/..//d@.md\n", "notes/d@.md", None), ("notes\\d@.md", "notes/d@.md", None), ("/d@.md", None, "absolute"),
+    ("C:/d@.md", None, "windows path"), ("a/../../d@.md", None, "escapes"), (".obsidian/d@.md", None, "forbidden zone"), (".git/d@.md", None, "excluded"),
+    ("notes/.d@.md", None, "hidden name"), ("notes/livesync_log_@.md", None, "reserved name"), ("index.md", None, "not indexed"), ("notes/d@.txt", None, "not markdown"),
+    ("_design/d@.md", None, "reserved"), ("..d@.md", None, "hidden name"), ("a/..", None, "empty"),
+]
+_FOLDERS = [("notes/f@", "notes/f@", None), ("notes/f@/", "notes/f@", None), ("notes/f@.md", None, "note name"), (".temp/f@", None, "forbidden zone"), ("x/.f@", None, "hidden name"), ("", None, "empty")]
+
+
+@query(f"SELECT doc_id, {_answers('doc_id', [n for _, n, _ in _NOTE_PATHS])} AS normal, {_answers('doc_id', [r for _, _, r in _NOTE_PATHS])} AS reason FROM documents")
+def write_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = input_frame(spark, sf_dir, "documents").select("doc_id", _kinds("doc_id", [p for p, _, _ in _NOTE_PATHS]).alias("path"), F.col("text").alias("content"))
+    return validation.write_checks(notes).select("doc_id", "normal", "reason")
+
+
+@query(f"SELECT doc_id, {_answers('doc_id', [n for _, n, _ in _FOLDERS])} AS normal, {_answers('doc_id', [r for _, _, r in _FOLDERS])} AS reason FROM documents")
+def folder_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = input_frame(spark, sf_dir, "documents").select("doc_id", _kinds("doc_id", [p for p, _, _ in _FOLDERS]).alias("path"))
+    return validation.folder_checks(folders).select("doc_id", "normal", "reason")
+
+
+_ANALYSES = ["accepted", "traversal", "outside", "version", "no text", "not found", "stale hash", "duplicate"]
+
+
+@query(f"SELECT doc_id, {_answers('doc_id', _ANALYSES)} AS outcome FROM documents")
+def analysis_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = input_frame(spark, sf_dir, "documents")
+    kind, stands = F.col("doc_id") % 8, F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    sources = docs.select("doc_id", stands.alias("source_path"), F.sha2(F.col("text").cast("binary"), 256).alias("source_hash"))
+    paths = _kinds("doc_id", ["notes/@.md", "notes/../@.md", "other/@.md", "notes/@.md", "notes/@.md", "notes/gone-@.md", "notes/@.md", "/notes/@.md "])
+    asked = sources.select(
+        "doc_id", paths.alias("source_path"), F.when(kind == 6, "old").otherwise(F.col("source_hash")).alias("source_hash"),
+        F.when(kind == 3, "v0").otherwise("v1").alias("analysis_version"), F.when(kind == 4, " \n").otherwise("A summary.").alias("markdown"),
+    )
+    queue = sources.select(F.col("doc_id").alias("event_id"), "source_path", "source_hash", F.when(kind == 7, "done").otherwise("pending").alias("status"))
+    return validation.analysis_outcomes(asked, sources.drop("doc_id"), queue, "notes/", "v1").select("doc_id", "outcome")
+
+
+_BODIES = [
+    '{"method": "tools/call", "params": {"name": "read", "arguments": {"path": "notes/@.md"}}}',
+    '[{"method": "tools/call", "params": {"name": "claim", "arguments": {"job_id": "job-0123456789-@", "path": "x"}}}, {"method": "ping"}]',
+    '{"method": "tools/list", "params": {"name": "read"}}', '{"jsonrpc": "2.0", "result": {}}', "{broken @", None, '"text"', "[]",
+]
+
+
+@query(f"""SELECT event_id, {_answers('event_id', ['tools/call', 'tools/call', 'tools/list', 'response', '?', '', '?', ''])} AS method, {_answers('event_id', ['read', 'claim', *[''] * 6])} AS tool,
+  CASE event_id % 8 WHEN 0 THEN 'p:' || substr(sha256('notes/' || event_id || '.md'), 1, 10) WHEN 1 THEN 'job:job-01234567' ELSE '' END AS ref FROM events""")
+def parsed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = input_frame(spark, sf_dir, "events").select("event_id", _kinds("event_id", _BODIES).alias("body"))
+    return telemetry.parsed_requests(bodies).select("event_id", "method", "tool", "ref")
+
+
+_HEADS = ["{}", "{}", '{"etat": "refuse", "message": "no \\"@\\""}', '{"etat": "refuse"}', '{"duplicate": true}', "{}", '{"isError": true}']
+
+
+@query(f"""SELECT event_id, {_answers('event_id', ['client_disconnect', 'http_error', 'tool_error', 'ok', 'duplicate', 'exception', 'tool_error'])} AS outcome,
+  {_answers('event_id', [None, None, 'no "@"', None, None, 'ValueError', 'refus'])} AS message FROM events""")
+def sniffed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_id") % 7
+    calls = input_frame(spark, sf_dir, "events").select(
+        "event_id", F.lit("write").alias("tool"), F.when(kind == 1, 500).otherwise(200).alias("http_status"), F.when(kind == 3, 6001).otherwise(6000).alias("bytes_out"),
+        (kind == 0).alias("disconnected"), (kind != 0).alias("finished"), F.when((kind == 5) | (kind == 0), "ValueError").alias("exception"), _kinds("event_id", _HEADS).alias("head"),
+    )
+    return telemetry.call_outcomes(calls, ("write",)).select("event_id", "outcome", "message")
+
+
+_NOW = "TIMESTAMP '2024-01-15 00:00:00'"
+
+
+@query(f"""SELECT count(*) FILTER (event_id % 3 = 0) AS waiting, round(epoch({_NOW} - min(ts) FILTER (event_id % 3 = 0)), 1) AS oldest_s, count(*) FILTER (event_id % 3 = 1) AS failed,
+  count(*) FILTER (event_id % 3 = 1 AND ts > {_NOW} - INTERVAL 1 HOUR) AS failed_last_hour, round(epoch({_NOW} - max(ts) FILTER (event_id % 3 = 1)), 1) AS last_failure_s, count(*) FILTER (event_id % 3 = 2) AS done
+  FROM events WHERE ts < {_NOW}""")
+def spool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = input_frame(spark, sf_dir, "events").where(f"ts < {_NOW}").select(_kinds("event_id", ["queue", "failed", "done"]).alias("place"), F.col("ts").cast("timestamp").alias("modified_at"))
+    return telemetry.spool_stats(files, F.expr(_NOW))
+
+
+@query(f"SELECT count(*) AS n, epoch({_NOW} - max(ts)) AS age_s, max(ts) > {_NOW} - INTERVAL 48 HOUR AS fresh FROM events WHERE ts < {_NOW}")
+def corpus_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.freshness(input_frame(spark, sf_dir, "events").where(f"ts < {_NOW}").select(F.col("ts").cast("timestamp").alias("modified_at")), F.expr(_NOW))
+
+
+@query()
+def projected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a chunk of its own, with all families of secrets replaced and code quoted."""
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    chunks = input_frame(spark, sf_dir, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("job_id"), F.col("source"), sha.alias("source_hash"), sha.alias("chunk_hash"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), "text"
+    )
+    return transcripts.projected(chunks).select("doc_id", "redactions", "n_blocks", F.sha2(F.col("projection").cast("binary"), 256).alias("projection_sha256"))
