@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notewell.functions import text as T
-from notewell.operators import bm25, editing, fragments, fresh, graph, maintenance, queues, recordings, search, telemetry, transcripts, validation, vectors
+from notewell.operators import bm25, editing, extraction, fragments, fresh, graph, maintenance, queues, recordings, search, telemetry, transcripts, validation, vectors
 from notewell.plans.dialect import SqlOperator
 from notewell.plans.registry import DERIVED, input_frame, input_sql, query, register
 from notewell.sources.scratch import Scratch
@@ -538,3 +538,24 @@ def projected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("doc_id").cast("string").alias("job_id"), F.col("source"), sha.alias("source_hash"), sha.alias("chunk_hash"), F.lit(0).alias("chunk_index"), F.lit(1).alias("chunk_count"), "text"
     )
     return transcripts.projected(chunks).select("doc_id", "redactions", "n_blocks", F.sha2(F.col("projection").cast("binary"), 256).alias("projection_sha256"))
+
+
+_LONG = "word " * 50 + "{{E:ada}} {{E:no-one}}"
+_SECTION = '{"heading": "H", "markdown": "' + _LONG + '"}'
+_ADA, _BOB = '{"name": "Ada", "slug": "ada", "kind": "person", "tags": ["A b", "a-B"]}', '{"name": "Bob/@", "slug": "Not a slug"}'
+#: Bodies with their errors and warnings.
+_EXTRACTIONS = [
+    (f'{{"note": {{"title": "T @", "slug": "t-@", "summary": "s", "tags": ["x", "y"], "sections": [{_SECTION}]}}, "entities": [{_ADA}], "confidence": "2"}}', "", "tokens without entity"),
+    (f'{{"note": {{"title": "Été @", "tags": ["x", "X"], "doc_date": "May", "sections": [{_SECTION}, {{"markdown": " "}}]}}, "entities": [{_ADA}, {_BOB}, {_ADA}, {{"slug": "z"}}]}}', "too few tags",
+     "slug corrected;empty section;no summary;date ignored;nameless entity;name cleaned;entity repeated;tokens without entity"),
+    ('{"note": {"slug": "a", "summary": "s", "tags": ["x", "y", "1", "2", "3", "4", "5", "6", "7"], "sections": [{"markdown": "[[short]]"}]}, "issues": {"code": 1}}', "no title;short body;issues not a list", "tags cut;wikilink"),
+    ('["@"]', "no note", ""), ("{broken", "no note", ""), (None, "no note", ""),
+    (f'{{"note": {{"title": "T", "slug": "t", "summary": "s", "tags": ["x", "y"], "sections": [{_SECTION.replace("{{E:no-one}}", "")}]}}, "entities": [{_ADA}, {{"name": "Bo", "slug": "bo"}}], "relations": [{{"from": "ada", "to": "bo"}}, {{"from": "ada", "to": "ada"}}, {{"from": "bo", "to": "eve"}}], "issues": [{{"detail": "d"}}, {{"code": "c"}}]}}', "",
+     "relations dropped;issue without code"),
+]
+
+
+@query(f"SELECT doc_id, {_answers('doc_id', [e for _, e, _ in _EXTRACTIONS])} = '' AS ok, {_answers('doc_id', [e for _, e, _ in _EXTRACTIONS])} AS errors, {_answers('doc_id', [w for _, _, w in _EXTRACTIONS])} AS warnings FROM documents")
+def validated_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = input_frame(spark, sf_dir, "documents").select("doc_id", _kinds("doc_id", [b for b, _, _ in _EXTRACTIONS]).alias("body"))
+    return extraction.validated(bodies).select("doc_id", "ok", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"))

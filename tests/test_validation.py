@@ -1,13 +1,14 @@
 """Projections against a plain reading of their rule, and the checks that no registered query reaches."""
 
 import hashlib
+import json
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from notewell import catalog
-from notewell.operators import telemetry, transcripts, validation
+from notewell.operators import extraction, telemetry, transcripts, validation
 
 DATA = "/root/testdata/sf0.001"
 CHUNK = "job_id string, source string, source_hash string, chunk_hash string, chunk_index int, chunk_count int, text string"
@@ -97,3 +98,30 @@ def test_empty_tables_have_stats(spark):
     now = F.expr("TIMESTAMP '2024-01-15 00:00:00'")
     assert tuple(telemetry.spool_stats(files, now).first()) == (0, None, 0, 0, None, 0)
     assert tuple(telemetry.freshness(files, now).first()) == (0, None, False)
+
+
+def extracted(spark, **parts):
+    note = {"title": "T", "slug": "t", "summary": "s", "tags": ["x", "y"], "sections": [{"heading": " ", "markdown": "x" * 200 + "{{E:ada}} {{E:no-one}}"}]} | parts.pop("note", {})
+    frame = spark.createDataFrame([(json.dumps({"note": note} | parts), 7)], "body string, id int")
+    return extraction.validated(frame).first()
+
+
+def test_extractions_are_corrected(spark):
+    ada = {"name": "Ada", "slug": "ada", "kind": "x", "evidence": "e" * 300, "tags": ["A b", "a-B", ""], "aliases": [" A ", " "]}
+    row = extracted(spark, entities=[ada, {"name": 'B"o', "slug": "É b"}, ada], relations=[{"from": "ada", "to": "e-b", "confidence": 7}, {"from": "e-b", "to": "ada"}], confidence="0.25")
+    assert row.id == 7 and row.ok and row.errors == []
+    x = row.extraction
+    assert [s.asDict() for s in x.note.sections] == [{"heading": "Resume", "markdown": "x" * 200 + "{{E:ada}} no one"}]
+    assert x.entities[0].asDict() == {"name": "Ada", "slug": "ada", "kind": "entity", "salience": "passing", "evidence": "e" * 200, "tags": ["a-b"], "aliases": ["A"]}
+    assert [(e.name, e.slug) for e in x.entities] == [("Ada", "ada"), ("B-o", "e-b")]
+    assert [(r["from"], r["to"], r.confidence) for r in x.relations] == [("ada", "e-b", 1.0), ("e-b", "ada", 0.5)]
+    assert (x.confidence, x.issues, x.note.doc_date) == (0.25, [], None)
+
+
+def test_extractions_are_bounded(spark):
+    section = {"heading": "h", "markdown": "y" * 300}
+    assert extracted(spark, note={"sections": [section] * 101}).errors == ["too many sections"]
+    assert extracted(spark, note={"sections": [section, {"markdown": "z" * 50_001}]}).errors == ["section too long"]
+    assert extracted(spark, entities=[{"name": "n", "slug": f"s{k}"} for k in range(501)]).errors == ["too many entities"]
+    assert extracted(spark, issues=[{"code": "c"}] * 101).errors == ["too many issues"]
+    assert extracted(spark, note={"title": "--", "slug": "--é--", "sections": "none"}).errors == ["no sections", "no usable section", "short body"]
