@@ -69,26 +69,31 @@ def with_struct(
     compute: Callable[[list[bytes | None]], Iterable[tuple]],
     text: str = "text",
     keep: list[str] | None = None,
+    beside: F.Column | None = None,
 ) -> DataFrame:
     """``df`` (or its ``keep`` columns) with a struct column made from each whole text.
 
     A column of ``df`` that is called ``name`` already, in either case, gives way to the new one.
 
     ``compute`` takes the texts of a block as bytes and gives one tuple a text, in the order of
-    the fields in ``ddl``. Rows keep their partition; nothing is shuffled.
+    the fields in ``ddl``; with ``beside``, it takes (text, value of that column) pairs. Rows keep
+    their partition; nothing is shuffled.
     """
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != name.lower()]
     fed = fresh_name(df, "fed")
-    source = df.select(*[df[c] for c in kept], df[text].cast("string").cast("binary").alias(fed))
+    more = [] if beside is None else [beside.alias(f"{fed}_beside")]
+    source = df.select(*[df[c] for c in kept], df[text].cast("string").cast("binary").alias(fed), *more)
     out = df.select(*[df[c] for c in kept]).schema.add(name, StructType.fromDDL(ddl))
+    paired = bool(more)
     struct = to_arrow_schema(out).field(name).type
     fields = [struct.field(i) for i in range(struct.num_fields)]
 
     def run(batches):
         for batch in batches:
             columns = [[] for _ in fields]
+            others = iter(batch.column(len(kept) + 1).to_pylist() if paired else ())
             for block in blocks(batch.column(len(kept)).to_pylist()):
-                for row in compute(block):
+                for row in compute([(t, next(others)) for t in block] if paired else block):
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
             made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)

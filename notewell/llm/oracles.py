@@ -168,3 +168,46 @@ WITH dw AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM dw d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+#: CRC-32 in SQL: the table of all byte steps, and the fold of a text's bytes over it.
+_CRC_STEPS = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i:
+  list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps)"""
+
+
+def _crc32(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP12_PERIODIC_RUNS = rf"""
+WITH {_CRC_STEPS},
+dw AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc
+), cut AS (
+  SELECT *, CAST(len(w) AS BIGINT) AS n, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM dw
+), turned AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM cut
+), words AS MATERIALIZED (
+  SELECT doc_id, n, i, w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM turned, unnest(range(0, n)) AS t(i)
+), same AS (
+  SELECT x.doc_id, y.i - x.i AS p, x.i AS i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND 3 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM same
+), stretches AS (
+  SELECT doc_id, min(i) AS start, count(*) + p AS length, p AS period FROM islands GROUP BY doc_id, p, island HAVING count(*) + p >= greatest(24, 3 * p)
+), runs AS MATERIALIZED (
+  SELECT doc_id, start, length, min(period) AS period FROM stretches GROUP BY doc_id, start, length
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id
+), best AS (
+  SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.period > r.length * o.period
+    OR o.length * r.period = r.length * o.period AND (o.start < r.start OR o.start = r.start AND o.period < r.period)))
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM runs, unnest(range(start + period, start + length)) AS t(i)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM dw d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import debruijn, decontaminate, jaccard, licences, mixing, privacy, ranking, repetition, secrets, warc
+from notewell.llm import debruijn, decontaminate, jaccard, licences, mixing, privacy, ranking, repetition, runs, secrets, warc
 from notewell.llm.common import sha256_of, table
 
 
@@ -96,3 +96,17 @@ def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = debruijn.remove_repeated(docs, "left", with_text=False, keep=["doc_id"])
     return left.select("doc_id", *[f"left.{c}" for c in ("n_words", "n_removed", "kept_sha256")])
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.collapsed(docs, "found", F.crc32(F.col("doc_id").cast("string").cast("binary")), keep=["doc_id"]).withColumn("best", runs.strongest(F.col("found.runs")))
+    lines = F.transform("found.runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("found.runs").cast("bigint").alias("n_runs"),
+        *[f"best.{c}" for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        sha256_of(F.array_join(lines, "")).alias("runs_sha256"),
+        sha256_of(F.col("found.collapsed")).alias("collapsed_sha256"),
+    )

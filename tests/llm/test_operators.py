@@ -288,7 +288,7 @@ def test_longest_matches_with_places(spark, awkward, nothing):
     items = spark.createDataFrame([(7, " ".join(item)), (8, "tiny bench"), (9, None), (None, "x y"), (10, "")], "item_id bigint, text string")
     for words in (2_000_000, 4):
         got = {r.doc_id: r.m for r in decontaminate.suffix_matches(docs, items, "m", block_words=words).collect()}
-        assert [tuple(m) for m in got[1].matches] == [("7", 0, 2, 15)] and got[1].n_hit == 15 and got[2].n_hit == 0
+        assert [tuple(m) for m in got[1].matches] == [(None, 0, 0, 2), ("7", 0, 2, 15)] and got[1].n_hit == 17 and got[2].n_hit == 0
         assert sorted(tuple(m) for m in got[3].matches) == [("7", 2, 0, 11), ("8", 0, 12, 2)] and got[3].n_hit == 13 and got[4].n_words == 0
     assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, items).collect()) == [2, 4]
     assert decontaminate.remove_contaminated(awkward, items).columns == awkward.columns
