@@ -211,3 +211,28 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * le
   sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM dw d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+OP13_SPELLING = rf"""
+WITH RECURSIVE {_CRC_STEPS},
+found AS (
+  SELECT doc_id, w, count(*) AS n, CAST(doc_id AS VARCHAR) || ':' || w AS keyed FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL
+), hashed AS (SELECT *, {_crc32("keyed")} AS h FROM found, crc),
+spelled AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), told AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS best_n FROM near GROUP BY word
+), chosen AS (
+  SELECT t.word, n_near, best_n, min(other) AS best FROM told t JOIN near e ON t.word = e.word AND e.other_n = best_n GROUP BY ALL
+), judged AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN chosen c ON c.word = w.word
+), ways(word, reached, steps) AS (
+  SELECT word, word, 0 FROM judged UNION ALL SELECT ways.word, form, steps + 1 FROM ways JOIN judged ON judged.word = ways.reached WHERE form IS NOT NULL
+), ends AS (SELECT word, arg_max(reached, steps) AS root FROM ways GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
+"""

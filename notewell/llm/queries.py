@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import debruijn, decontaminate, jaccard, licences, mixing, privacy, ranking, repetition, runs, secrets, warc
+from notewell.llm import debruijn, decontaminate, jaccard, licences, mixing, privacy, ranking, repetition, runs, secrets, spelling, warc
 from notewell.llm.common import sha256_of, table
 
 
@@ -110,3 +110,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_of(F.array_join(lines, "")).alias("runs_sha256"),
         sha256_of(F.col("found.collapsed")).alias("collapsed_sha256"),
     )
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
