@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.llm import debruijn, decontaminate, jaccard, licences, mixing, privacy, ranking, repetition, runs, secrets, spelling, warc
+from notewell.llm import debruijn, decontaminate, jaccard, licences, mixing, neural, privacy, ranking, repetition, runs, secrets, spelling, warc
 from notewell.llm.common import sha256_of, table
 
 
@@ -98,6 +98,19 @@ def op10_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", *[f"left.{c}" for c in ("n_words", "n_removed", "kept_sha256")])
 
 
+def op11_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, model = neural.language_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), "made")
+    return made.select(
+        "doc_id",
+        neural.held_out(F.col("doc_id")).alias("held_out"),
+        "made.n_tokens",
+        "made.n_known",
+        F.lit(model.lexicon.tokens).cast("bigint").alias("train_tokens"),
+        "made.base_score",
+        "made.score",
+    )
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = runs.collapsed(docs, "found", F.crc32(F.col("doc_id").cast("string").cast("binary")), keep=["doc_id"]).withColumn("best", runs.strongest(F.col("found.runs")))
