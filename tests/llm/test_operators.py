@@ -249,8 +249,45 @@ def test_automata_score_formats_and_refuse_others():
     keys = ["ghx_" + "".join(rng.choice("0123456789ABCDEF") for _ in range(20)) for _ in range(200)]
     automaton = secrets.FormatAutomaton([k.encode() for k in keys])
     fresh = "ghx_" + "".join(rng.choice("0123456789ABCDEF") for _ in range(20))
-    assert automaton.typical(fresh.encode()) and not automaton.typical(b"plainwordswith1digit") and not automaton.typical(b"20240101-123456-abcdef")
-    assert automaton.size < 60
+    assert automaton.accepts(fresh.encode()) and not automaton.accepts(b"plainwordswith1digit") and not automaton.accepts(b"20240101-123456-abcdef")
+    assert automaton.size == 25 and automaton.lengths == {24} and not automaton.unbounded and automaton.recall >= 0.9
+
+
+def test_automata_know_lengths_and_hold_out_values():
+    rng = random.Random(21)
+    code = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n)).encode()
+    hexes, cards = [code("0123456789abcdef", 40) for _ in range(130)], [(code("0123456789", 16), 1) for _ in range(80)]
+    words = [(w, 50) for w in (b"thornted", b"everything", b"Weatherer.", b"understanding.")] + cards
+    fixed = secrets.FormatAutomaton(hexes, words)
+    assert fixed.lengths == {40} and fixed.size == 41 and fixed.recall >= 0.9 and fixed.added_words == 0
+    assert fixed.accepts(code("0123456789abcdef", 40)) and not fixed.accepts(code("0123456789abcdef", 39)) and not fixed.accepts(cards[0][0]) and not fixed.accepts(b"z" * 40)
+    # one pattern of varying length: states merge
+    loose = secrets.FormatAutomaton([b"tk-" + code("abcdef0123456789", rng.randint(12, 40)) for _ in range(380)], words)
+    fresh = [b"tk-" + code("abcdef0123456789", rng.randint(12, 40)) for _ in range(200)]
+    assert loose.recall >= 0.9 and sum(map(loose.accepts, fresh)) >= 180 and not any(loose.accepts(w) for w, _ in words)
+    # few examples still make an automaton, with less certainty
+    few = secrets.FormatAutomaton(hexes[:3], words)
+    assert sum(map(few.accepts, hexes[3:])) >= 60 and few.added_words == 0
+
+
+def test_scan_equals_scoring_every_run(spark):
+    rng = random.Random(22)
+    code = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([20, 40])))
+    texts = ["".join(rng.choice([f" token={code()} ", f" bare {code()}, ", " überall words stand 4024007187564873 here ", f"({code()[:30]})"]) for _ in range(6)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    automata = secrets.infer_formats(docs)
+    got = {r.doc_id: r.s for r in secrets.secret_spans(docs, "s", automata).collect()}
+    added = 0
+    for k, text in enumerate(texts):
+        base = [(s.start, s.end) for s in got[k].base]
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_.=-]{6,}", text):
+            if not any(s < m.end() and m.start() < e for s, e in base):
+                kinds = [(a.likelihood(m[0].encode()), kind) for kind, a in automata.items() if a.accepts(m[0].encode())]
+                want += [(f"format_{max(kinds)[1]}", m.start(), m.end())] if kinds else []
+        assert [(s.kind, s.start, s.end) for s in got[k].spans if s.kind.startswith("format")] == want
+        added += len(want)
+    assert added > 10
 
 
 def test_secret_spans_added_by_format(spark, awkward, nothing):
