@@ -47,6 +47,8 @@ WARM_UP = 8
 FOLDS, HELD_FOLD = 7, 2
 HELD_WORDS = 400_000
 CHUNK = 65_536
+#: Steps of a doubling by which counts are told apart.
+COUNT_STEPS = 16
 #: Rows of parameters that come to the driver at most.
 PARAMETER_ROWS = 64
 
@@ -88,6 +90,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return made.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n_held").alias("n_held"))
 
 
+def _least_count(counts: DataFrame, wanted: int) -> int:
+    """A count that at least ``wanted`` words reach (or 0), and few more: so that not every task sorts ``wanted`` words."""
+    share = F.floor(F.log2("n") * COUNT_STEPS)
+    left = wanted
+    for r in sorted(counts.groupBy(share.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), reverse=True):
+        left -= r.words
+        if left <= 0:
+            return r.least
+    return 0
+
+
 @dataclass
 class Lexicon:
     """Counts of the most frequent words, and of all training tokens."""
@@ -105,7 +118,8 @@ class Lexicon:
     @classmethod
     def of(cls, counts: DataFrame, vocabulary: int, frequent: int) -> Lexicon:
         total = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v")).first()
-        most = counts.select("word", "n_train", (F.col("n_train") + F.col("n_held")).alias("n")).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+        every = counts.select("word", "n_train", (F.col("n_train") + F.col("n_held")).alias("n"))
+        most = every.where(F.col("n") >= _least_count(every, frequent)).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
         words = [w.encode() for w in most.column("word").to_pylist()]
         n_train = most.column("n_train").to_numpy().astype(np.int64)
         symbols = np.full(len(words), UNKNOWN, np.int32)
