@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.operators.fragments import fragments
-from notewell.operators.maintenance import reindexed
+from notewell.operators import indexing
 from notewell.sources.generations import Generations
 
 CHANGES = "path string, content string, deleted boolean, seq long"
@@ -25,31 +24,41 @@ def coalesced(batch: DataFrame) -> DataFrame:
     return last.where(F.col("deleted") | F.col("content").isNotNull())
 
 
-def index_writer(generations: Generations) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that publishes a generation a batch.
+def index_writer(generations: Generations, stream: str = "") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that publishes the changes of a batch as a generation.
 
-    A generation names its batch, so a batch that runs again after it was published changes
-    nothing. Every batch is applied whole, whatever its size.
+    A generation names the last batch of every stream, so a batch that runs again after it was
+    published changes nothing, and batches of another stream, or of a stream begun anew, are no repeats. Every
+    batch is applied whole, whatever its size.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        held = generations.applied()
+        held = generations.applied(stream)
         if held is not None and held >= batch_id:
             return
-        changed = coalesced(batch)
-        if changed.isEmpty():
-            return
-        index = generations.read("fragments")
-        made = fragments(changed.where(~F.col("deleted")))
-        generations.publish({"fragments": reindexed(index, changed, made)}, (generations.current() or 0) + 1, batch_id)
+        changed = coalesced(batch).persist()
+        try:
+            if not changed.isEmpty():
+                indexing.apply(generations, changed, {stream: batch_id})
+        finally:
+            changed.unpersist()
 
     return apply
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave to the stream of a checkpoint; a stream begun anew has another."""
+    return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first().id
+
+
 def run_index(spark: SparkSession, folder: str, root: str, checkpoint: str):
     """Apply all waiting changes to the index under ``root`` and stop."""
-    stream = changes(spark, folder)
-    return stream.writeStream.foreachBatch(index_writer(Generations(spark, root))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    generations = Generations(spark, root)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        index_writer(generations, stream_id(batch.sparkSession, checkpoint))(batch, batch_id)
+
+    return changes(spark, folder).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def session_windows(calls: DataFrame, gap: str = "900 seconds", late: str = "1 hour") -> DataFrame:
