@@ -20,6 +20,7 @@ are scanned one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 from pathlib import Path
 
@@ -230,11 +231,30 @@ def _index(templates: tuple[tuple[str, str], ...]) -> TemplateIndex:
 
 
 def _widest(spans: list[tuple]) -> list[tuple]:
-    """Spans without those that overlap a span ahead of them by (covered words, share of the template)."""
+    """Spans without those that overlap a span ahead of them by (covered words, share of the template).
+
+    Spans of one label that are kept never overlap, so each label's are a sorted list, in which what
+    a span overlaps is found by bisection.
+    """
     kept: list[tuple] = []
+    starts: dict[str, list[int]] = {}
+    held: dict[str, list[tuple]] = {}
+
+    def beaten(span: tuple) -> bool:
+        for label, at in starts.items():
+            j = bisect_left(at, span[3]) - 1
+            while j >= 0 and held[label][j][3] > span[2]:
+                if label == span[0] or held[label][j][4:] != span[4:]:
+                    return True
+                j -= 1
+        return False
+
     for span in sorted(spans, key=lambda s: (-s[5], -s[4], s[2], s[0], s[1])):
-        if not any(k[2] < span[3] and span[2] < k[3] and (k[0] == span[0] or k[4:] != span[4:]) for k in kept):
+        if not beaten(span):
             kept.append(span)
+            at = bisect_left(starts.setdefault(span[0], []), span[2])
+            starts[span[0]].insert(at, span[2])
+            held.setdefault(span[0], []).insert(at, span)
     return kept
 
 

@@ -120,7 +120,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int = MA
     # at most max_labelled rows of two numbers go out
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("labelled", "text", "quality")
     found = with_struct(joined, "made", "x array<double>", lambda texts: ((features(t),) for t in texts), keep=["labelled", "quality"])
-    rows = found.select("labelled", "quality", "made.x").limit(max_labelled).collect()
+    # of rows that repeat an id the smallest features count, so that the fit doesn't depend on the order of rows
+    rows = found.groupBy("labelled", "quality").agg(F.min("made.x").alias("x")).collect()
     rows.sort(key=lambda r: (r.labelled, r.x))
     return np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([int(r.quality) for r in rows])
 

@@ -381,6 +381,25 @@ def test_automaton_matches_every_substring():
         assert [(e, k) for e, k, _ in automaton.maximal_matches(text, 2)] == want
 
 
+def test_overlapping_spans_keep_the_widest_without_comparing_all():
+    def plain(spans):
+        kept = []
+        for span in sorted(spans, key=lambda s: (-s[5], -s[4], s[2], s[0], s[1])):
+            if not any(k[2] < span[3] and span[2] < k[3] and (k[0] == span[0] or k[4:] != span[4:]) for k in kept):
+                kept.append(span)
+        return kept
+
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = []
+        for _ in range(rng.randint(0, 40)):
+            start, covered = rng.randint(0, 60), rng.randint(1, 4)
+            spans.append((rng.choice("abc"), rng.randint(0, 3), start, start + rng.randint(1, 12), covered / 4, covered))
+        assert licences._widest(spans) == plain(spans)
+    began = time.time()
+    assert len(licences._widest([("mit", 0, 20 * k, 20 * k + 12, 1.0, 12) for k in range(100_000)])) == 100_000 and time.time() - began < 10
+
+
 def test_licences_on_awkward_rows(spark, awkward, nothing):
     text = "Released under the MIT\nLicense. This work is licensed under the old GNU General Public License, version 3."
     got = licences.license_spans(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "f").first().f
