@@ -45,7 +45,9 @@ NOISE = 32
 RATE = 0.08
 WARM_UP = 8
 FOLDS, HELD_FOLD = 7, 2
-HELD_WORDS = 400_000
+HELD_WORDS = 150_000
+#: Rows of a batch that are turned into Python objects together.
+ROWS = 512
 CHUNK = 65_536
 #: Steps of a doubling by which counts are told apart.
 COUNT_STEPS = 16
@@ -77,13 +79,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         train, held = Counter(), Counter()
         for batch in batches:
-            for text, away in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts = held if away else train
-                counts.update(text_words(text))
-                counts[b""] += 1
-                if len(train) + len(held) >= HELD_WORDS:
-                    yield batch_of(train, held)
-                    train, held = Counter(), Counter()
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for text, away in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    counts = held if away else train
+                    counts.update(text_words(text))
+                    counts[b""] += 1
+                    if len(train) + len(held) >= HELD_WORDS:
+                        yield batch_of(train, held)
+                        train, held = Counter(), Counter()
         yield batch_of(train, held)
 
     made = texts.select(texts["text"].cast("string").cast("binary"), "held").mapInArrow(run, "word string, n_train bigint, n_held bigint")
@@ -251,12 +255,13 @@ def _trained(texts: DataFrame, lexicon, start: Parameters) -> DataFrame:
         place = lambda w: symbol_of.get(w, UNKNOWN)
         trainer, seen = Trainer(start, known.noise, seed=5), 0
         for batch in batches:
-            for block in blocks(batch.column(0).to_pylist()):
-                symbols, starts, _ = _flat(block, place, END)
-                one, two = sequences(symbols, starts)
-                for k in range(0, len(symbols), BATCH):
-                    trainer.step(one[k : k + BATCH], two[k : k + BATCH], symbols[k : k + BATCH])
-                seen += len(symbols)
+            for at in range(0, batch.num_rows, ROWS):
+                for block in blocks(batch.column(0).slice(at, ROWS).to_pylist()):
+                    symbols, starts, _ = _flat(block, place, END)
+                    one, two = sequences(symbols, starts)
+                    for k in range(0, len(symbols), BATCH):
+                        trainer.step(one[k : k + BATCH], two[k : k + BATCH], symbols[k : k + BATCH])
+                    seen += len(symbols)
         if seen:
             flat = trainer.p.flat().astype(np.float64) * seen
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "flat"])
