@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notewell.functions import text as T
@@ -435,83 +435,66 @@ def incremental_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- checks before a write, requests and responses
-# Each query renders rows of known kinds from a driver's table; its SQL states the answer of each kind by hand.
+# Paths, bodies and calls are derived from the tables' own values; the SQL states the rule on those values.
+DERIVED["asked_paths"] = SqlOperator(("pages",), lambda d: f"""SELECT page_id, concat(CASE WHEN url LIKE 'https:%' THEN ' ' ELSE '' END, CASE WHEN url LIKE '%.org/%' THEN '.obsidian/' WHEN url LIKE '%.net/%' THEN './.git/' ELSE '' END,
+  replace({d.extracted("url", "//([^/]*)", 1)}, '.', '/../'), replace({d.extracted("url", "//[^/]*(.*)$", 1)}, '#top', '/'), CASE WHEN url LIKE '%?%' THEN '' ELSE '.md' END, chr(10)) AS path FROM @pages""")
 
 
-def _kinds(key: str, values: list[str | None]) -> Column:
-    """The value of a row's kind (its key modulo the number of kinds), with ``@`` as its key."""
-    return F.replace(F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int")), F.lit("@"), F.col(key).cast("string"))
-
-
-def _answers(key: str, values: list[str | None]) -> str:
-    cases = " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else "'" + v.replace("'", "''") + "'") for k, v in enumerate(values))
-    return f"replace(CASE {key} % {len(values)} {cases} END, '@', CAST({key} AS VARCHAR))"
-
+@query("""SELECT page_id, CASE WHEN reason IS NULL THEN concat(regexp_extract(url, '([a-z]+)(:[0-9]+)?/', 1), regexp_extract(url, '//[^/]*(.*)$', 1), '.md') END AS normal, reason
+  FROM (SELECT page_id, regexp_replace(url, '^https?://([^/]*[.])?', '//') AS url, CASE WHEN url LIKE '%?%' THEN 'not markdown' WHEN url LIKE '%.org/%' THEN 'forbidden zone' WHEN url LIKE '%.net/%' THEN 'excluded' WHEN url LIKE '%#top' OR url LIKE '%/' THEN 'hidden name' END AS reason FROM pages)""")
+def write_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pages could be written as notes; their hosts' names climb and fall."""
+    notes = input_frame(spark, sf_dir, "asked_paths").withColumn("content", F.lit("x"))
+    return validation.write_checks(notes).select("page_id", "normal", "reason")
 
-_NOTE_PATHS = [
-    ("notes/d@.md", "notes/d@.md", None), (" notes/./x/..//d@.md\n", "notes/d@.md", None), ("notes\\d@.md", "notes/d@.md", None), ("/d@.md", None, "absolute"),
-    ("C:/d@.md", None, "windows path"), ("a/../../d@.md", None, "escapes"), (".obsidian/d@.md", None, "forbidden zone"), (".git/d@.md", None, "excluded"),
-    ("notes/.d@.md", None, "hidden name"), ("notes/livesync_log_@.md", None, "reserved name"), ("index.md", None, "not indexed"), ("notes/d@.txt", None, "not markdown"),
-    ("_design/d@.md", None, "reserved"), ("..d@.md", None, "hidden name"), ("a/..", None, "empty"),
-]
-_FOLDERS = [("notes/f@", "notes/f@", None), ("notes/f@/", "notes/f@", None), ("notes/f@.md", None, "note name"), (".temp/f@", None, "forbidden zone"), ("x/.f@", None, "hidden name"), ("", None, "empty")]
 
+DERIVED["asked_folders"] = SqlOperator(("conversations",), lambda d: f"""SELECT conv_id, turn, concat(CASE WHEN role = 'system' THEN '.trash/' WHEN length(text) % 5 = 0 THEN '/' WHEN length(text) % 7 = 0 THEN '_' ELSE '' END,
+  translate(substr({d.replaced("text", "[^A-Za-z .]+", "")}, 1, 24), ' ', '/'), CASE WHEN length(text) % 11 = 0 THEN '/./x.md' WHEN length(text) % 13 = 0 THEN '/.x' ELSE '//' END) AS path FROM @conversations""")
 
-@query(f"SELECT doc_id, {_answers('doc_id', [n for _, n, _ in _NOTE_PATHS])} AS normal, {_answers('doc_id', [r for _, _, r in _NOTE_PATHS])} AS reason FROM documents")
-def write_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = input_frame(spark, sf_dir, "documents").select("doc_id", _kinds("doc_id", [p for p, _, _ in _NOTE_PATHS]).alias("path"), F.col("text").alias("content"))
-    return validation.write_checks(notes).select("doc_id", "normal", "reason")
 
-
-@query(f"SELECT doc_id, {_answers('doc_id', [n for _, n, _ in _FOLDERS])} AS normal, {_answers('doc_id', [r for _, _, r in _FOLDERS])} AS reason FROM documents")
+@query(f"""WITH parts AS (SELECT conv_id, turn, path, list_filter(string_split(path, '/'), lambda p: p NOT IN ('', '.')) AS parts FROM ({input_sql("asked_folders")}) f),
+  judged AS (SELECT *, CASE WHEN path LIKE '/%' THEN 'absolute' WHEN len(parts) = 0 THEN 'empty' WHEN starts_with(parts[1], '_') THEN 'reserved' WHEN parts[1] = '.trash' AND len(parts) > 1 THEN 'forbidden zone' WHEN parts[-1] LIKE '.%' THEN 'hidden name' WHEN parts[-1] LIKE '%.md' THEN 'note name' END AS reason FROM parts)
+  SELECT conv_id, turn, CASE WHEN reason IS NULL THEN array_to_string(parts, '/') END AS normal, reason FROM judged""")
 def folder_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folders = input_frame(spark, sf_dir, "documents").select("doc_id", _kinds("doc_id", [p for p, _, _ in _FOLDERS]).alias("path"))
-    return validation.folder_checks(folders).select("doc_id", "normal", "reason")
+    """The beginnings of messages as folders."""
+    return validation.folder_checks(input_frame(spark, sf_dir, "asked_folders")).select("conv_id", "turn", "normal", "reason")
 
 
-_ANALYSES = ["accepted", "traversal", "outside", "version", "no text", "not found", "stale hash", "duplicate"]
+DERIVED["asked_analyses"] = SqlOperator(("orders",), lambda d: """SELECT o_orderkey, concat(CASE o_orderpriority WHEN '1-URGENT' THEN ' /notes/' WHEN '2-HIGH' THEN 'notes/../' WHEN '3-MEDIUM' THEN CASE WHEN o_orderstatus = 'P' THEN 'other/' ELSE 'notes/' END ELSE 'notes/' END, CAST(o_custkey AS STRING), '.md') AS source_path,
+  CAST(o_orderkey % 3 AS STRING) AS source_hash, CASE WHEN o_orderpriority = '5-LOW' THEN 'v0' ELSE 'v1' END AS analysis_version, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'F' THEN ' ' ELSE o_orderstatus END AS markdown FROM @orders""")
+DERIVED["analysed_sources"] = SqlOperator(("orders",), lambda d: "SELECT concat('notes/', CAST(o_custkey AS STRING), '.md') AS source_path, CAST(max(o_orderkey) % 3 AS STRING) AS source_hash FROM @orders WHERE o_custkey % 4 <> 0 GROUP BY o_custkey")
+DERIVED["analysis_queue"] = SqlOperator(("orders",), lambda d: "SELECT o_orderkey AS event_id, concat('notes/', CAST(o_custkey AS STRING), '.md') AS source_path, CAST(o_orderkey % 3 AS STRING) AS source_hash, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'pending' END AS status FROM @orders")
 
 
-@query(f"SELECT doc_id, {_answers('doc_id', _ANALYSES)} AS outcome FROM documents")
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '2-HIGH' THEN 'traversal' WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P' THEN 'outside' WHEN o_orderpriority = '5-LOW' THEN 'version' WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'F' THEN 'no text'
+    WHEN o_custkey % 4 = 0 THEN 'not found' WHEN max(o_orderkey) OVER (PARTITION BY o_custkey) % 3 <> o_orderkey % 3 THEN 'stale hash' WHEN first_value(o_orderstatus) OVER (PARTITION BY o_custkey, o_orderkey % 3 ORDER BY o_orderkey DESC) = 'F' THEN 'duplicate' ELSE 'accepted' END AS outcome FROM orders""")
 def analysis_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = input_frame(spark, sf_dir, "documents")
-    kind, stands = F.col("doc_id") % 8, F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    sources = docs.select("doc_id", stands.alias("source_path"), F.sha2(F.col("text").cast("binary"), 256).alias("source_hash"))
-    paths = _kinds("doc_id", ["notes/@.md", "notes/../@.md", "other/@.md", "notes/@.md", "notes/@.md", "notes/gone-@.md", "notes/@.md", "/notes/@.md "])
-    asked = sources.select(
-        "doc_id", paths.alias("source_path"), F.when(kind == 6, "old").otherwise(F.col("source_hash")).alias("source_hash"),
-        F.when(kind == 3, "v0").otherwise("v1").alias("analysis_version"), F.when(kind == 4, " \n").otherwise("A summary.").alias("markdown"),
-    )
-    queue = sources.select(F.col("doc_id").alias("event_id"), "source_path", "source_hash", F.when(kind == 7, "done").otherwise("pending").alias("status"))
-    return validation.analysis_outcomes(asked, sources.drop("doc_id"), queue, "notes/", "v1").select("doc_id", "outcome")
+    """Every order as an analysis of its customer's note, whose newest order tells how it stands."""
+    asked, sources, queue = (input_frame(spark, sf_dir, n) for n in ("asked_analyses", "analysed_sources", "analysis_queue"))
+    return validation.analysis_outcomes(asked, sources, queue, "notes/", "v1").select("o_orderkey", "outcome")
 
 
-_BODIES = [
-    '{"method": "tools/call", "params": {"name": "read", "arguments": {"path": "notes/@.md"}}}',
-    '[{"method": "tools/call", "params": {"name": "claim", "arguments": {"job_id": "job-0123456789-@", "path": "x"}}}, {"method": "ping"}]',
-    '{"method": "tools/list", "params": {"name": "read"}}', '{"jsonrpc": "2.0", "result": {}}', "{broken @", None, '"text"', "[]",
-]
+DERIVED["request_bodies"] = SqlOperator(("events",), lambda d: """SELECT event_id, CASE event_type WHEN 'view' THEN concat('{"method": "tools/call", "params": {"name": "read", "arguments": {"path": "notes/', CAST(user_id AS STRING), '.md", "page": ', props, '}}}')
+  WHEN 'click' THEN concat('[{"method": "tools/call", "params": {"name": "claim", "arguments": {"path": "", "job_id": "job-', CAST(1000000000 + event_id AS STRING), '"}}}, ', props, ']') WHEN 'signup' THEN concat('{"method": "tools/list", "params": ', props, '}')
+  WHEN 'purchase' THEN concat('{"result": ', props, '}') ELSE concat(substr(props, 1, length(props) - 1), CASE WHEN value < 20 THEN '}' ELSE ', ' END) END AS body FROM @events""")
 
 
-@query(f"""SELECT event_id, {_answers('event_id', ['tools/call', 'tools/call', 'tools/list', 'response', '?', '', '?', ''])} AS method, {_answers('event_id', ['read', 'claim', *[''] * 6])} AS tool,
-  CASE event_id % 8 WHEN 0 THEN 'p:' || substr(sha256('notes/' || event_id || '.md'), 1, 10) WHEN 1 THEN 'job:job-01234567' ELSE '' END AS ref FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 'tools/call' WHEN 'click' THEN 'tools/call' WHEN 'signup' THEN 'tools/list' WHEN 'purchase' THEN 'response' ELSE CASE WHEN value < 20 THEN '' ELSE '?' END END AS method,
+  CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'claim' ELSE '' END AS tool, CASE event_type WHEN 'view' THEN 'p:' || substr(sha256('notes/' || user_id || '.md'), 1, 10) WHEN 'click' THEN 'job:job-' || substr(CAST(1000000000 + event_id AS VARCHAR), 1, 8) ELSE '' END AS ref FROM events""")
 def parsed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = input_frame(spark, sf_dir, "events").select("event_id", _kinds("event_id", _BODIES).alias("body"))
-    return telemetry.parsed_requests(bodies).select("event_id", "method", "tool", "ref")
+    return telemetry.parsed_requests(input_frame(spark, sf_dir, "request_bodies")).select("event_id", "method", "tool", "ref")
 
 
-_HEADS = ["{}", "{}", '{"etat": "refuse", "message": "no \\"@\\""}', '{"etat": "refuse"}', '{"duplicate": true}', "{}", '{"isError": true}']
+DERIVED["raw_calls"] = SqlOperator(("events",), lambda d: """SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'read' ELSE 'write' END AS tool, CASE WHEN value > 80 THEN 500 ELSE 200 END AS http_status, CAST(floor(value * 150) AS BIGINT) AS bytes_out, event_type = 'click' AS disconnected, value < 30 AS finished,
+  CASE WHEN event_type = 'error' OR value < 5 THEN concat('Error', CAST(user_id AS STRING)) END AS exception,
+  CASE event_type WHEN 'purchase' THEN '{"duplicate" : true}' WHEN 'signup' THEN concat('{"etat": "refuse", "message": "user ', CAST(user_id AS STRING), ' said no"}') WHEN 'view' THEN '{"isError": true}' ELSE props END AS head FROM @events""")
 
 
-@query(f"""SELECT event_id, {_answers('event_id', ['client_disconnect', 'http_error', 'tool_error', 'ok', 'duplicate', 'exception', 'tool_error'])} AS outcome,
-  {_answers('event_id', [None, None, 'no "@"', None, None, 'ValueError', 'refus'])} AS message FROM events""")
+@query("""WITH told AS (SELECT *, floor(value * 150) <= 6000 AS small, CASE WHEN event_type = 'click' AND value >= 30 THEN 'client_disconnect' WHEN event_type = 'error' OR value < 5 THEN 'exception' WHEN value > 80 THEN 'http_error' END AS early FROM events),
+  judged AS (SELECT *, coalesce(early, CASE WHEN small AND event_type IN ('signup', 'view') THEN 'tool_error' WHEN small AND event_type = 'purchase' AND user_id % 5 <> 0 THEN 'duplicate' ELSE 'ok' END) AS outcome FROM told)
+  SELECT event_id, outcome, CASE outcome WHEN 'exception' THEN 'Error' || user_id WHEN 'tool_error' THEN CASE WHEN event_type = 'view' THEN 'refus' ELSE 'user ' || user_id || ' said no' END END AS message FROM judged""")
 def sniffed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_id") % 7
-    calls = input_frame(spark, sf_dir, "events").select(
-        "event_id", F.lit("write").alias("tool"), F.when(kind == 1, 500).otherwise(200).alias("http_status"), F.when(kind == 3, 6001).otherwise(6000).alias("bytes_out"),
-        (kind == 0).alias("disconnected"), (kind != 0).alias("finished"), F.when((kind == 5) | (kind == 0), "ValueError").alias("exception"), _kinds("event_id", _HEADS).alias("head"),
-    )
-    return telemetry.call_outcomes(calls, ("write",)).select("event_id", "outcome", "message")
+    return telemetry.call_outcomes(input_frame(spark, sf_dir, "raw_calls"), ("write",)).select("event_id", "outcome", "message")
 
 
 _NOW = "TIMESTAMP '2024-01-15 00:00:00'"
@@ -521,7 +504,7 @@ _NOW = "TIMESTAMP '2024-01-15 00:00:00'"
   count(*) FILTER (event_id % 3 = 1 AND ts > {_NOW} - INTERVAL 1 HOUR) AS failed_last_hour, round(epoch({_NOW} - max(ts) FILTER (event_id % 3 = 1)), 1) AS last_failure_s, count(*) FILTER (event_id % 3 = 2) AS done
   FROM events WHERE ts < {_NOW}""")
 def spool_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = input_frame(spark, sf_dir, "events").where(f"ts < {_NOW}").select(_kinds("event_id", ["queue", "failed", "done"]).alias("place"), F.col("ts").cast("timestamp").alias("modified_at"))
+    files = input_frame(spark, sf_dir, "events").where(f"ts < {_NOW}").select(F.element_at(F.array(*map(F.lit, ["queue", "failed", "done"])), (F.col("event_id") % 3 + 1).cast("int")).alias("place"), F.col("ts").cast("timestamp").alias("modified_at"))
     return telemetry.spool_stats(files, F.expr(_NOW))
 
 
@@ -540,22 +523,25 @@ def projected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.projected(chunks).select("doc_id", "redactions", "n_blocks", F.sha2(F.col("projection").cast("binary"), 256).alias("projection_sha256"))
 
 
-_LONG = "word " * 50 + "{{E:ada}} {{E:no-one}}"
-_SECTION = '{"heading": "H", "markdown": "' + _LONG + '"}'
-_ADA, _BOB = '{"name": "Ada", "slug": "ada", "kind": "person", "tags": ["A b", "a-B"]}', '{"name": "Bob/@", "slug": "Not a slug"}'
-#: Bodies with their errors and warnings.
-_EXTRACTIONS = [
-    (f'{{"note": {{"title": "T @", "slug": "t-@", "summary": "s", "tags": ["x", "y"], "sections": [{_SECTION}]}}, "entities": [{_ADA}], "confidence": "2"}}', "", "tokens without entity"),
-    (f'{{"note": {{"title": "Été @", "tags": ["x", "X"], "doc_date": "May", "sections": [{_SECTION}, {{"markdown": " "}}]}}, "entities": [{_ADA}, {_BOB}, {_ADA}, {{"slug": "z"}}]}}', "too few tags",
-     "slug corrected;empty section;no summary;date ignored;nameless entity;name cleaned;entity repeated;tokens without entity"),
-    ('{"note": {"slug": "a", "summary": "s", "tags": ["x", "y", "1", "2", "3", "4", "5", "6", "7"], "sections": [{"markdown": "[[short]]"}]}, "issues": {"code": 1}}', "no title;short body;issues not a list", "tags cut;wikilink"),
-    ('["@"]', "no note", ""), ("{broken", "no note", ""), (None, "no note", ""),
-    (f'{{"note": {{"title": "T", "slug": "t", "summary": "s", "tags": ["x", "y"], "sections": [{_SECTION.replace("{{E:no-one}}", "")}]}}, "entities": [{_ADA}, {{"name": "Bo", "slug": "bo"}}], "relations": [{{"from": "ada", "to": "bo"}}, {{"from": "ada", "to": "ada"}}, {{"from": "bo", "to": "eve"}}], "issues": [{{"detail": "d"}}, {{"code": "c"}}]}}', "",
-     "relations dropped;issue without code"),
-]
+_TAGS = "(list_filter([regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g'), lang, 'long-text'], lambda t: t <> ''))"
+_SENT = r"{{E:src}} {{E:no-one}}"
 
 
-@query(f"SELECT doc_id, {_answers('doc_id', [e for _, e, _ in _EXTRACTIONS])} = '' AS ok, {_answers('doc_id', [e for _, e, _ in _EXTRACTIONS])} AS errors, {_answers('doc_id', [w for _, _, w in _EXTRACTIONS])} AS warnings FROM documents")
+@query(f"""WITH d AS (SELECT *, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS plain, length(trim(text || ' {_SENT}', ' ' || chr(10) || chr(9) || chr(13))) AS size FROM documents)
+  SELECT doc_id, size <= 50000 AND size >= 200 AS ok, CASE WHEN size > 50000 THEN 'section too long;no usable section;short body' WHEN size < 200 THEN 'short body' ELSE '' END AS errors,
+    concat_ws(';', 'slug corrected', 'empty section', CASE WHEN n_chars % 2 = 0 THEN 'no summary' END, 'date ignored', 'entity repeated', CASE WHEN size <= 50000 THEN 'tokens without entity' END, CASE WHEN contains(plain, '[[') AND size <= 50000 THEN 'wikilink' END, 'relations dropped', 'issue without code') AS warnings,
+    sha256(concat('{{"confidence":', CASE WHEN n_chars >= 1000 THEN '1.0' ELSE '0.5' END, ',"entities":[{{"aliases":[],"definition":{{"a":1,"b":[]}},"kind":"entity","name":"Src-1","salience":"passing","slug":"src","subtype":', to_json(lang), ',"tags":[]}}],"issues":[],"language":', to_json(lang),
+      ',"note":{{"doc_date":null,"sections":[', CASE WHEN size <= 50000 THEN concat('{{"extra":', n_chars, ',"heading":"Resume","markdown":', to_json(text || ' {{{{E:src}}}} no one'), '}}') ELSE '' END, '],"slug":"doc-', doc_id, '","summary":', CASE WHEN n_chars % 2 = 0 THEN '" "' ELSE to_json(lang) END, ',"tags":[', array_to_string(list_transform({_TAGS}, lambda t: '"' || t || '"'), ','), '],"title":"Doc ', doc_id, '","warnings":["w"]}},"relations":[]}}')) AS digest
+  FROM d""")
 def validated_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = input_frame(spark, sf_dir, "documents").select("doc_id", _kinds("doc_id", [b for b, _, _ in _EXTRACTIONS]).alias("body"))
-    return extraction.validated(bodies).select("doc_id", "ok", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"))
+    """Every document as a model's extraction with one section, fields that no rule names and elements of wrong kinds."""
+    text, quoted = F.concat("text", F.lit(f" {_SENT}")), lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    section = F.concat(F.lit('{"markdown": '), quoted(text), F.lit(', "extra": '), F.col("n_chars").cast("string"), F.lit("}"))
+    body = F.concat(
+        F.lit('{"note": {"title": "Doc '), F.col("doc_id").cast("string"), F.lit('", "summary": '), F.when(F.col("n_chars") % 2 == 0, F.lit('" "')).otherwise(quoted(F.col("lang"))), F.lit(', "doc_date": "May", "warnings": ["w"], "tags": ['), quoted(F.col("source")), F.lit(", 5, "), quoted(F.col("lang")),
+        F.lit(', "Long text", "long-text"], "sections": [7, '), section, F.lit(', {"markdown": " "}]}, "language": '), quoted(F.col("lang")), F.lit(', "entities": ["x", {"slug": "src", "subtype": '), quoted(F.col("lang")), F.lit(', "name": " Src-1", "kind": "thing", "definition": {"b": [], "a": 1}}, {"name": "other", "slug": "src"}], '
+        '"relations": [{"from": "src", "to": "src"}, 1], "issues": [{"detail": "d"}], "confidence": '), F.when(F.col("n_chars") >= 1000, F.lit('"7"')).otherwise(F.lit("0.5")), F.lit("}"),
+    )
+    bodies = input_frame(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    made = extraction.validated(bodies)
+    return made.select("doc_id", "ok", F.array_join("errors", ";").alias("errors"), F.array_join("warnings", ";").alias("warnings"), F.sha2(F.col("document").cast("binary"), 256).alias("digest"))

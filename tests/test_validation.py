@@ -125,3 +125,39 @@ def test_extractions_are_bounded(spark):
     assert extracted(spark, entities=[{"name": "n", "slug": f"s{k}"} for k in range(501)]).errors == ["too many entities"]
     assert extracted(spark, issues=[{"code": "c"}] * 101).errors == ["too many issues"]
     assert extracted(spark, note={"title": "--", "slug": "--é--", "sections": "none"}).errors == ["no sections", "no usable section", "short body"]
+
+
+def test_unknown_fields_stay_and_wrong_elements_are_skipped(spark):
+    section = {"heading": "h", "markdown": "x" * 200, "extra": [1, {"b": None, "a": "é"}]}
+    ada = {"name": "Ada", "slug": "ada", "kind": "concept", "salience": "primary", "subtype": "person", "definition": {"z": 1, "a": 2}, "tags": [5, "Tag"], "aliases": [{}, " A "]}
+    row = extracted(
+        spark, note={"sections": [section, 5, "x", None, [section]], "tags": ["x", 7, "y"], "warnings": ["w"]}, language="fr", entities=["e", ada, 3, {"name": "Bo", "slug": "bo"}],
+        relations=[1, {"from": "ada", "to": "bo", "type": "knows", "evidence": "e"}], issues=[None, {"code": 12, "detail": None, "more": 1}], more={"k": 1},
+    )
+    assert row.ok and row.errors == [] and row.warnings == []
+    made = json.loads(row.document)
+    assert made["note"] == {"title": "T", "slug": "t", "summary": "s", "tags": ["x", "y"], "warnings": ["w"], "doc_date": None, "sections": [section]}
+    assert made["entities"] == [ada | {"tags": ["tag"], "aliases": ["A"]}, {"name": "Bo", "slug": "bo", "kind": "entity", "salience": "passing", "tags": [], "aliases": []}]
+    assert made["relations"] == [{"from": "ada", "to": "bo", "type": "knows", "evidence": "e", "confidence": 0.5}] and made["issues"] == [{"code": "12", "detail": ""}]
+    assert (made["language"], made["more"], made["confidence"]) == ("fr", {"k": 1}, 0.0)
+    assert row.document == json.dumps(made, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def test_digests_ignore_the_order_of_keys(spark):
+    rows = [(1, '{"b": [1, {"d": "é", "c": 2}], "a": null}'), (2, '{ "a":null, "b":[1,{"c":2,"d":"\\u00e9"}]}'), (3, '{"a": null, "b": [{"c": 2, "d": "é"}, 1]}'), (4, "{broken"), (5, None)]
+    got = {r.k: r.d for r in spark.createDataFrame(rows, "k int, body string").select("k", extraction.digest(F.col("body")).alias("d")).collect()}
+    assert got[1] == got[2] == hashlib.sha256('{"a":null,"b":[1,{"c":2,"d":"é"}]}'.encode()).hexdigest() and got[3] != got[1] and got[4] is None and got[5] is None
+
+
+NOTE_PATHS = [
+    ("notes/d.md", "notes/d.md", None), (" notes/./x/..//d.md\n", "notes/d.md", None), ("notes\\d.md", "notes/d.md", None), ("/d.md", None, "absolute"), ("C:/d.md", None, "windows path"), ("a/../../d.md", None, "escapes"),
+    (".obsidian/d.md", None, "forbidden zone"), (".git/d.md", None, "excluded"), ("notes/.d.md", None, "hidden name"), ("notes/livesync_log_1.md", None, "reserved name"), ("index.md", None, "not indexed"),
+    ("notes/d.txt", None, "not markdown"), ("_design/d.md", None, "reserved"), ("..d.md", None, "hidden name"), ("a/..", None, "empty"),
+]
+FOLDERS = [("notes/f", "notes/f", None), ("notes/f/", "notes/f", None), ("notes/f.md", None, "note name"), (".temp/f", None, "forbidden zone"), ("x/.f", None, "hidden name"), ("", None, "empty")]
+
+
+@pytest.mark.parametrize(("checks", "cases"), [(validation.write_checks, NOTE_PATHS), (validation.folder_checks, FOLDERS)])
+def test_paths_of_every_kind(spark, checks, cases):
+    frame = spark.createDataFrame([(k, p, "x") for k, (p, _, _) in enumerate(cases)], "k int, path string, content string")
+    assert [(r.normal, r.reason) for r in sorted(checks(frame).collect(), key=lambda r: r.k)] == [c[1:] for c in cases]
