@@ -179,3 +179,26 @@ def validated(documents: DataFrame) -> DataFrame:
     made = held.withColumn("errors", F.when(whole, errors).otherwise(F.array(F.lit("no note"))))
     made = made.withColumns({"ok": F.size("errors") == 0, "warnings": F.when(whole, warnings).otherwise(F.array().cast("array<string>")), "extraction": F.when(whole, corrected), "document": F.when(whole, document)})
     return made.drop(*[c for c in made.columns if c.startswith("_") and c not in documents.columns])
+
+
+# Fixed value: one fence around a whole answer.
+FENCED = r"(?s)\A```(?:json)?[ \t]*\n(.*)\n```\z"
+MARKS = "\ufeff"
+
+
+def parsed_answers(answers: DataFrame) -> DataFrame:
+    """``answers`` (answer, …) with ``body``, ``problem`` and ``digest``: the JSON object that a model's answer is.
+
+    Nothing is put right but the wrapping: white space and byte-order marks around it, one fence around
+    all of it, and an object that holds an object ``extraction`` alone. What else is refused: ``empty``, ``not JSON`` or
+    ``not an object``. The body is canonical JSON.
+    """
+    bare = stripped(F.ltrim(stripped(F.coalesce("answer", F.lit(""))), F.lit(MARKS)))
+    text = F.when(bare.rlike(FENCED), stripped(F.regexp_extract(bare, FENCED, 1))).otherwise(bare)
+    held = answers.withColumn("_text", text).withColumn("_v", F.try_parse_json(F.when(F.col("_text") != "", F.col("_text"))))
+    alone = (F.size(F.map_keys(F.try_variant_get("_v", "$", "map<string,variant>"))) == 1) & (_kind(F.try_variant_get("_v", "$.extraction", "variant")) == "OBJECT")
+    inner = F.when((_kind(F.col("_v")) == "OBJECT") & F.coalesce(alone, F.lit(False)), F.try_variant_get("_v", "$.extraction", "variant")).otherwise(F.col("_v"))
+    held = held.withColumn("_o", inner)
+    problem = F.when(F.col("_text") == "", "empty").when(F.col("_v").isNull(), "not JSON").when(_kind(F.col("_o")) != "OBJECT", "not an object")
+    held = held.withColumn("problem", problem).withColumn("body", F.when(F.col("problem").isNull(), F.to_json("_o")))
+    return held.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)).drop("_text", "_v", "_o")

@@ -27,8 +27,8 @@ def _citing(d: Dialect) -> str:
 
 
 def _outgoing(d: Dialect) -> str:
-    return """SELECT l.source, l.target, count(n.path) > 0 AS resolved, count(n.path) AS n_paths, min(n.path) AS first_path
-      FROM (SELECT DISTINCT source, target FROM @links) l LEFT JOIN @names n ON l.target = n.name GROUP BY l.source, l.target"""
+    return """SELECT l.source, l.target, n.n_paths IS NOT NULL AS resolved, coalesce(n.n_paths, 0) AS n_paths, n.first_path
+      FROM (SELECT DISTINCT source, target FROM @links) l LEFT JOIN (SELECT name, count(path) AS n_paths, min(path) AS first_path FROM @names GROUP BY name HAVING count(path) > 0) n ON l.target = n.name"""
 
 
 _REPAIR = """SELECT t.target, t.n_notes, CASE WHEN min(e.path) IS NOT NULL THEN 'healthy' WHEN count(DISTINCT c.name) = 1 THEN 'repaired' WHEN count(DISTINCT c.name) > 1 THEN 'ambiguous' ELSE 'none' END AS state,
@@ -52,15 +52,21 @@ def _rename_impact(d: Dialect) -> str:
       FROM @names n JOIN (SELECT name, count(DISTINCT path) AS n FROM @names GROUP BY name) c ON c.name = n.name LEFT JOIN @links l ON l.target = n.name GROUP BY n.path, n.name, c.n"""
 
 
-def _slug_collisions(d: Dialect) -> str:
-    return """SELECT a.name AS slug, a.path, count(DISTINCT b.path) AS n_others, min(b.path) AS first_other
-      FROM @names a JOIN @names b ON a.name = b.name AND a.path <> b.path GROUP BY a.name, a.path"""
-
-
 backlinks = SqlOperator(("links",), _backlinks)
 citing_notes = SqlOperator(("names", "links"), _citing)
 outgoing = SqlOperator(("links", "names"), _outgoing)
 link_repair = SqlOperator(("links", "names"), _repair)
 repair_report = SqlOperator(("links", "names"), _repair_report)
 rename_impact = SqlOperator(("names", "links"), _rename_impact)
-slug_collisions = SqlOperator(("names",), _slug_collisions)
+
+
+def slug_collisions(names: DataFrame) -> DataFrame:
+    """(slug, path, n_others, first_other) of the notes (path, name) whose name other notes have as well.
+
+    A name's count and its two smallest paths tell all; notes of one name are never paired.
+    """
+    held = names.where("path is not null").select(F.col("name").alias("slug"), "path").distinct()
+    first = held.groupBy("slug").agg(F.count("*").alias("n"), F.min("path").alias("first")).where("n > 1")
+    met = held.join(first, "slug")
+    second = met.where("path <> first").groupBy("slug").agg(F.min("path").alias("second"))
+    return met.join(second, "slug").select("slug", "path", (F.col("n") - 1).alias("n_others"), F.when(F.col("path") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("first_other"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +89,8 @@ def _overlaps(limit: int):
                 if asked is None or not asked.equals(words):
                     asked, lists = words, words.to_pylist()
                     known = {w: i for i, w in enumerate(dict.fromkeys(w for ws in lists for w in ws))}
+                    import ahocorasick  # in tasks alone; see requirements.txt
+
                     finder = ahocorasick.Automaton()
                     for word, i in known.items():
                         finder.add_word(word, i)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewell.operators.transcripts import redacted
@@ -48,6 +48,53 @@ def _audit_tail(d: Dialect) -> str:
     return "SELECT session, id, tool, outcome, n FROM (SELECT session, id, tool, outcome, row_number() OVER (PARTITION BY session ORDER BY id DESC) AS n FROM @calls) c WHERE n <= 5"
 
 
+#: Hours of one slice of a session's calls: what one task orders at a time.
+SLICE_H = 6
+
+
+def run_metrics(calls: DataFrame, now: Column, tools: dict[str, str], gap_s: int = GAP_S) -> DataFrame:
+    """(key, run, …) of every run: a session's calls, or a client's without a session, with no gap over ``gap_s``.
+
+    calls: id, started_at, duration_ms, session, client, rpc_method, tool, outcome, bytes_out. ``tools`` names the counts
+    ``reads``, ``writes``, ``claims``, ``submits`` and ``releases`` by tool; writes are told apart by outcome. A run
+    ends by the last disconnection or clean close in it, else it has stopped silently if its end is over the gap
+    ago, and is open if not. Gaps count from the end of the call that began before.
+
+    A key's calls are ordered within slices of ``SLICE_H`` hours; only a slice's ends are compared with its
+    neighbours', so a client that makes a third of all calls isn't one task's work.
+    """
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    key = F.coalesce(blank("session"), F.concat(F.lit("nosession:"), F.coalesce(blank("client"), F.lit("?"))))
+    began = F.unix_micros(F.col("started_at").cast("timestamp"))
+    held = calls.withColumns({"key": key, "began": began}).withColumn("ended", F.col("began") + F.coalesce("duration_ms", F.lit(0)) * 1000).where("began is not null")
+    held = held.withColumn("slice", F.floor(F.col("began") / (SLICE_H * 3_600_000_000)))
+    gap = gap_s * 1_000_000
+    inside = Window.partitionBy("key", "slice").orderBy("began", "id")
+    cut = held.withColumn("breaks", F.coalesce((F.col("began") - F.lag("ended").over(inside) > gap).cast("int"), F.lit(0)))
+    cut = cut.withColumn("within", F.sum("breaks").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("began", "id")
+    slices = cut.groupBy("key", "slice").agg(F.min("began").alias("first"), F.max_by("ended", place).alias("last"), F.sum("breaks").alias("all_breaks"))
+    along = Window.partitionBy("key").orderBy("slice")
+    new = F.coalesce((F.col("first") - F.lag("last").over(along) > gap).cast("int"), F.lit(1))
+    numbered = slices.withColumn("starts", new)
+    before = F.coalesce(F.sum("all_breaks").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = numbered.select("key", "slice", (F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)) + before).alias("base"))
+    placed = cut.join(numbered, ["key", "slice"]).withColumn("run", F.col("base") + F.col("within"))
+    fine = F.col("outcome").isin("ok", "duplicate")
+    count = lambda when: F.count(F.when(when, 1))
+    of = lambda name: F.col("tool") == tools[name]
+    end = F.when(F.col("outcome") == "client_disconnect", "client_disconnect").when(F.col("rpc_method") == "session/close", "clean_close")
+    named = blank("tool").isNotNull()
+    made = placed.groupBy("key", "run").agg(
+        F.min("began").alias("began"), F.max_by("ended", place).alias("last_at"), F.count("*").alias("calls"), F.max("duration_ms").alias("max_ms"), F.sum(F.coalesce("bytes_out", F.lit(0))).alias("bytes_out"),
+        count(~fine).alias("errors"), count(of("reads") & fine).alias("reads"), *[count(of("writes") & (F.col("outcome") == o)).alias(f"writes_{n}") for n, o in (("ok", "ok"), ("dup", "duplicate"), ("err", "tool_error"))],
+        *[count(of(n) & fine).alias(n) for n in ("claims", "submits", "releases")],
+        F.max_by(F.when(named, F.concat("tool", F.lit(":"), "outcome")), F.when(named, place)).alias("last_tool"), F.max_by(end, F.when(end.isNotNull(), place)).alias("said"),
+    )
+    ended = F.coalesce("said", F.when(F.unix_micros(now) - F.col("last_at") > gap, "silent_stop").otherwise("open"))
+    return made.withColumns({"end": ended, "duration_s": F.round((F.col("last_at") - F.col("began")) / 1e6, 1)}).drop("said")
+
+
 runs = SqlOperator(("calls",), _runs)
 outcomes = SqlOperator(("calls",), _outcomes)
 refs = SqlOperator(("calls",), _refs)

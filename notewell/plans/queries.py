@@ -43,7 +43,13 @@ register("graph_outgoing", graph.outgoing)
 register("fix_links", graph.link_repair)
 register("fix_links_report", graph.repair_report)
 register("rename_impact", graph.rename_impact)
-register("slug_collisions", graph.slug_collisions)
+
+
+@query(f"""SELECT a.name AS slug, a.path, count(DISTINCT b.path) AS n_others, min(b.path) AS first_other
+  FROM ({input_sql("names")}) a JOIN ({input_sql("names")}) b ON a.name = b.name AND a.path <> b.path GROUP BY a.name, a.path""")
+def slug_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.slug_collisions(input_frame(spark, sf_dir, "names"))
+
 
 # ---------------------------------------------------------------- queues and jobs
 register("queue_list_pending", queues.list_pending)
