@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewell.operators import extraction, telemetry
+from notewell.operators import compaction, extraction, telemetry
 from notewell.plans.dialect import SqlOperator
 from notewell.plans.registry import DERIVED, input_frame, input_sql, query
 from notewell.sources.cache import DayTable, VectorCache
@@ -76,3 +76,29 @@ _K = "regexp_extract(props, '([0-9]+)', 1)"
   sha256(CASE event_type WHEN 'view' THEN '{{"k":' || {_K} || '}}' WHEN 'click' THEN '{{"a":' || user_id || ',"extraction":{{"k":' || {_K} || '}},"z":1}}' WHEN 'signup' THEN '{{"k":{{"k":' || {_K} || '}},"user":' || user_id || '}}' END) AS digest FROM events""")
 def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.parsed_answers(input_frame(spark, sf_dir, "answers")).select("event_id", "problem", "digest")
+
+
+# ---------------------------------------------------------------- conversations within a budget
+_BUDGET, _FIRST, _USER = 3_000, 700, 120
+_MARK = "chr(10) || '[… message cut …]'"
+
+
+def _shortened(limit: str) -> str:
+    return f"CASE WHEN length(text) <= {limit} THEN text ELSE rtrim(substr(text, 1, {limit}), ' ') || {_MARK} END"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+  p AS (SELECT *, row_number() OVER w - 1 AS place, count(*) OVER c AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC ROWS UNBOUNDED PRECEDING) AS after, sum(length(text) + 16) OVER c AS taken FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text), c AS (PARTITION BY conv_id)),
+  j AS (SELECT *, CASE WHEN taken <= {_BUDGET} THEN 'whole' WHEN place < 2 THEN 'first' WHEN after <= {int((_BUDGET - 600) * 0.45)} OR place = n - 1 THEN 'tail' WHEN role = 'user' THEN 'middle' END AS part FROM p),
+  s AS (SELECT conv_id, turn, place, n, role, part, CASE part WHEN 'first' THEN {_shortened(str(_FIRST))} WHEN 'middle' THEN {_shortened(str(_USER))} WHEN 'tail' THEN CASE WHEN after > {int((_BUDGET - 600) * 0.45)} THEN {_shortened(str(max(500, int((_BUDGET - 600) * 0.45))))} ELSE text END ELSE text END AS text FROM j WHERE part IS NOT NULL),
+  u AS (SELECT *, {_BUDGET - 600} - sum(CASE WHEN part IN ('first', 'tail') THEN length(text) ELSE 0 END) OVER (PARTITION BY conv_id) AS mid_room, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, place) - 1 AS nth, count(*) OVER (PARTITION BY conv_id, part) AS of_part FROM s),
+  k AS (SELECT conv_id, turn, place, n, role, part, text FROM u WHERE part <> 'middle' OR (mid_room > {_USER + 40} AND nth % greatest(1, CAST(ceil(of_part * {_USER + 40} / mid_room) AS BIGINT)) = 0)),
+  t AS (SELECT *, sum(length(text) + 16) OVER (PARTITION BY conv_id) AS total, part <> 'whole' AND place > 1 AND place < n - 1 AS victim FROM k),
+  v AS (SELECT *, row_number() OVER (PARTITION BY conv_id, victim ORDER BY turn, place) - 1 - count(*) OVER (PARTITION BY conv_id, victim) // 2 AS off, count(*) OVER (PARTITION BY conv_id, victim) AS victims FROM t),
+  g AS (SELECT *, sum(length(text) + 16) OVER (PARTITION BY conv_id, victim ORDER BY abs(off), CASE WHEN victims % 2 = 1 THEN -off ELSE off END ROWS UNBOUNDED PRECEDING) - length(text) - 16 AS freed FROM v),
+  f AS (SELECT *, sum(length(text) + 16) OVER (PARTITION BY conv_id ORDER BY turn, place ROWS UNBOUNDED PRECEDING) - length(text) AS begin_ FROM g WHERE NOT (victim AND total > {_BUDGET - 600} AND freed < total - {_BUDGET - 600}))
+  SELECT conv_id, turn, place, n, part, sha256(CASE WHEN part = 'whole' THEN text ELSE substr(text, 1, CAST(greatest(0, {_BUDGET} - begin_) AS BIGINT)) END) AS text_sha256 FROM f""")
+def compacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations within 3,000 characters."""
+    kept = compaction.compacted(input_frame(spark, sf_dir, "conversations"), _BUDGET, _FIRST, _USER)
+    return kept.select("conv_id", "turn", "place", "n", "part", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
