@@ -50,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    Nulls in any column are values like others: a null or empty text has no words, so the quality rules
+    reject it; a null lang or source is ``unknown`` to the mix; a null doc_id is an id of its own. Repeated rows
+    are near duplicates of each other, and one stays. Extra columns pass through the filtering stages. An
+    empty table gives an empty mixture.
+    """
     space = Workspace(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:

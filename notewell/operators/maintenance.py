@@ -38,12 +38,6 @@ def _dirty(d: Dialect) -> str:
     return f"SELECT DISTINCT path, substr({d.sha256('path')}, 1, 32) AS key FROM (SELECT path FROM @queue UNION ALL SELECT path FROM @inflight UNION ALL SELECT path FROM @deferred) u"
 
 
-def _titles(d: Dialect) -> str:
-    name = d.replaced(d.extracted("path", "[^/]*$", 0), r"\.md$", "")
-    headline = d.extracted("content", r"(?m)^# ([^\n]*)$", 1)
-    return f"SELECT path, CASE WHEN {headline} <> '' THEN trim({headline}) ELSE {name} END AS title FROM @notes"
-
-
 def _tokens(d: Dialect) -> str:
     return f"SELECT path, CAST(floor({d.bytes('content')} / 2.44) AS BIGINT) + 1 AS tokens FROM @notes"
 
@@ -55,7 +49,6 @@ index_check = SqlOperator(("mirror", "index"), _check)
 fresh_only = SqlOperator(("mirror", "index"), _fresh_only)
 cas_check = SqlOperator(("mirror", "index"), _cas)
 dirty_pending = SqlOperator(("queue", "inflight", "deferred"), _dirty)
-note_titles = SqlOperator(("notes",), _titles)
 token_estimate = SqlOperator(("notes",), _tokens)
 
 

@@ -24,6 +24,9 @@ DERIVED["inflight"] = SqlOperator(("notes",), lambda d: "SELECT path FROM @notes
 DERIVED["deferred"] = SqlOperator(("notes",), lambda d: "SELECT path FROM @notes WHERE doc_id % 15 = 0")
 DERIVED["intents"] = SqlOperator(("orders",), lambda d: "SELECT CAST(o_custkey AS STRING) AS id, CASE o_orderkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'queue' ELSE 'lost' END AS place FROM @orders")
 
+DERIVED["headed_notes"] = SqlOperator(("documents", "notes"), lambda d: "SELECT n.path, concat(repeat(chr(10), CAST(o.n_chars % 80 AS INT)), '# ', o.source, ' ', substr(n.content, 1, 9), chr(10), n.content) AS content FROM @notes n JOIN @documents o ON o.doc_id = n.doc_id")
+DERIVED["present_sources"] = SqlOperator(("queue",), lambda d: "SELECT source_path, max(source_hash) AS source_hash FROM @queue WHERE size_bytes > 300000 GROUP BY source_path")
+
 # ---------------------------------------------------------------- access, maintenance
 register("note_versions", maintenance.note_versions)
 register("read_note_page", maintenance.read_page)
@@ -32,7 +35,13 @@ register("index_check", maintenance.index_check, mirror="mirror_notes", index="i
 register("fresh_only", maintenance.fresh_only, mirror="mirror_notes", index="index_notes")
 register("cas_check", maintenance.cas_check, mirror="mirror_notes", index="index_notes")
 register("dirty_pending", maintenance.dirty_pending, queue="queued")
-register("note_titles", maintenance.note_titles)
+
+
+@query(f"""SELECT path, coalesce(trim(substr(list_filter(string_split(content, chr(10))[1:40], lambda x: starts_with(x, '# '))[1], 3)), regexp_replace(regexp_extract(path, '[^/]*$', 0), '\\.md$', '')) AS title FROM ({input_sql("headed_notes")})""")
+def note_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of notes, of which some have a headline among their first lines and some behind them."""
+    return input_frame(spark, sf_dir, "headed_notes").select("path", T.note_title(F.col("path"), F.col("content")).alias("title"))
+
 register("token_estimate", maintenance.token_estimate)
 register("intent_status", search.intent_status)
 
@@ -58,7 +67,7 @@ register("queue_status", queues.queue_status)
 register("queue_pending_count", queues.pending_count)
 register("queue_latest", queues.latest)
 register("queue_reconcile_missing", queues.reconcile_missing, mirror="mirror_sources")
-register("queue_lost_analyses", queues.lost_analyses, mirror="mirror_sources")
+register("queue_lost_analyses", queues.lost_analyses, mirror="present_sources")
 register("queue_scan", queues.scan, mirror="mirror_sources")
 register("queue_block_outcome", queues.block_outcome)
 register("jobs_reap", queues.reap)
