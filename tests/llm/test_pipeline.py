@@ -38,3 +38,16 @@ def test_each_stage_on_what_is_left(spark, tmp_path):
             assert any(secrets.PLACEHOLDER in (r.text or "") for r in rows)
             for r in rows:
                 assert not secret_model(r.text or "") and (secrets.PLACEHOLDER in (r.text or "") or r.text == held[r.doc_id])
+
+
+def test_stages_on_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
+    prose = [" ".join(f"w{k}x{j}" for j in range(80)) for k in range(3)]
+    more = spark.createDataFrame([(50, prose[0], None, None, 1, "a"), (50, prose[0], None, None, 1, "a"), (51, prose[1], "en", None, None, None), (None, prose[2], "en", "s", 1, "b")], awkward.schema)
+    for kind, docs in (("awkward", awkward.unionByName(more)), ("nothing", nothing)):
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, DATA).write.parquet(f"{tmp_path}/{kind}/{name}")
+            before, docs = docs, spark.read.parquet(f"{tmp_path}/{kind}/{name}")
+            assert docs.count() <= before.count() and (name == "target_mix" or docs.columns == awkward.columns)
+            if kind == "awkward" and name == "near_duplicates":
+                assert sorted((r.doc_id or 0) for r in docs.collect() if r.text in prose) == [0, 50, 51]
+        assert docs.count() == (0 if kind == "nothing" else docs.count())
