@@ -274,6 +274,8 @@ def test_scan_equals_scoring_every_run(spark):
     rng = random.Random(22)
     code = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([20, 40])))
     texts = ["".join(rng.choice([f" token={code()} ", f" bare {code()}, ", " überall words stand 4024007187564873 here ", f"({code()[:30]})"]) for _ in range(6)) for _ in range(60)]
+    prose = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randint(6, 11))) for _ in range(300)]
+    texts = [t + " ".join(rng.choices(prose, k=4000)) for t in texts]  # what the background is made of
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     automata = secrets.infer_formats(docs)
     got = {r.doc_id: r.s for r in secrets.secret_spans(docs, "s", automata).collect()}
