@@ -30,7 +30,7 @@ def page_rows(n):
     return {"names": ("path string, name string", names), "links": ("source string, target string", links)}
 
 
-@pytest.mark.parametrize("operator", [graph.citing_notes])
+@pytest.mark.parametrize("operator", [graph.citing_notes, graph.rename_impact])
 def test_notes_are_not_paired_with_all_links_to_their_name(spark, operator):
     ours, theirs = rows_of_both(spark, operator, **page_rows(40))
     assert ours == theirs
