@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from notewell.operators import graph
+from notewell.operators import graph, transcripts
 
 
 def rows_of_both(spark, operator, **tables):
@@ -23,6 +23,15 @@ def rows_of_both(spark, operator, **tables):
     return sorted((plain(r[c] for c in columns) for r in made.collect()), key=repr), sorted(map(plain, asked), key=repr)
 
 
+def test_projection_sizes_round_and_trim_as_duckdb_does(spark):
+    texts = [(1, 1, "user", "x" * 1999), (1, 2, "system", "y"), (2, 1, "user", "\u00a0\u3000abc\u2003"), (2, 2, None, "\tab\n "), (3, 1, "user", None), (4, 1, "user", ""), (5, 1, "assistant", "\u00a0"), (5, 2, "user", "é" * 6001)]
+    schema = "conv_id bigint, turn int, role string, text string"
+    ours, theirs = rows_of_both(spark, transcripts.projection_stats, messages=(schema, texts))
+    assert repr(ours).replace("-nan", "nan") == repr(theirs).replace("-nan", "nan") and [r[3] for r in ours if r[0] == 1] == [0.0]
+    ours, theirs = rows_of_both(spark, transcripts.messages, messages=(schema, texts))
+    assert ours == theirs
+
+
 def page_rows(n):
     rng = random.Random(5)
     names = [(f"p{k}", rng.choice(["Die", "De", "Rare", "", None])) for k in range(n)] + [("p0", "Die"), (None, "De"), (None, None), ("p1", "De"), ("p1", "Die")]
