@@ -5,7 +5,8 @@ import random
 import duckdb
 import pytest
 
-from notewell.operators import graph, transcripts
+from notewell.operators import bm25, fragments, fresh, graph, packing, transcripts
+from notewell.sources import scratch
 
 
 def rows_of_both(spark, operator, **tables):
@@ -54,6 +55,11 @@ def test_notes_are_not_paired_with_all_links_to_their_name(spark, operator):
 def joined_rows(made):
     """Rows that each join of a finished plan gave."""
     made.collect()
+    return [node.metrics().apply("numOutputRows").value() for node in nodes(made) if "Join" in node.nodeName()]
+
+
+def nodes(made):
+    """The operators of a finished plan."""
     out, todo = [], [made._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
@@ -63,7 +69,65 @@ def joined_rows(made):
         if node.nodeName().endswith("QueryStage"):
             todo.append(node.plan())
             continue
-        if "Join" in node.nodeName():
-            out.append(node.metrics().apply("numOutputRows").value())
+        out.append(node)
         todo += [node.children().apply(k) for k in range(node.children().size())]
     return out
+
+
+def test_blocks_of_fragments_give_the_best_notes(spark, monkeypatch):
+    """Many small blocks, ties of scores and paths, and a note in several blocks: the same as all pairs."""
+    monkeypatch.setattr(packing, "NOTE_BLOCK", 7)
+    monkeypatch.setattr(packing, "QUERY_BLOCK", 3)
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(12)]
+    held = [(f"n/é{k % 40}.md" if k % 3 else f"n/{k % 40}.md", k // 40, [(w, rng.choice([0.5, 1.0, 2.0, 1e-9])) for w in rng.sample(words, rng.randint(1, 5))]) for k in range(200)]
+    asked = [(q, rng.sample(words, rng.randint(1, 3))) for q in range(10)] + [(90, []), (91, ["absent"])]
+    vectors = spark.createDataFrame(held, "path string, rank int, entries array<struct<term: string, weight: double>>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id int, terms array<string>")
+    for limit in (1, 4, 1000):
+        got = {}
+        for r in bm25.best_notes(packing.ranked(vectors, queries, limit), limit).orderBy("query_id", "position").collect():
+            got.setdefault(r.query_id, []).append((r.path, r["rank"], r.score))
+        want = {}
+        for q, terms in asked:
+            best = {}
+            for path, rank, entries in held:
+                if hit := [w for t, w in entries if t in terms]:
+                    best[path] = min(best.get(path, (0, 99)), (-round(sum(hit), 6), rank))
+            if best:
+                want[q] = [(p, rank, -score) for p, (score, rank) in sorted(best.items(), key=lambda b: (b[1][0], b[0]))[:limit]]
+        assert got == want
+
+
+def test_no_row_for_a_fragment_and_a_query(spark):
+    """Every query matches every note: what leaves a task is a few rows a query, not all of them."""
+    notes = spark.range(600).selectExpr("concat('n', id, '.md') AS path", "concat('alpha beta gamma word', id) AS content")
+    queries = spark.range(40).selectExpr("id AS query_id", "'alpha beta gamma' AS query")
+    for found in (fresh.search(notes, queries, 2), bm25.search(bm25.term_counts(fragments.fragments(notes)), queries, 2)):
+        assert found.count() == 80
+        assert max(rows_shuffled(found)) < 600 * 40 / 4
+
+
+def rows_shuffled(made):
+    made.collect()
+    return [node.metrics().apply("shuffleRecordsWritten").value() for node in nodes(made) if node.nodeName() == "Exchange"]
+
+
+def test_partitions_grow_with_the_input(spark, tmp_path, monkeypatch):
+    spark.range(20000).selectExpr("concat('n', id, '.md') AS path", "0 AS rank", "'' AS title", "sha2(string(id), 256) AS text").write.parquet(str(tmp_path / "f"))
+    held = spark.read.parquet(str(tmp_path / "f"))
+    assert scratch.slices(held) == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(scratch, "SLICE_BYTES", 50_000)
+    n = scratch.slices(held)
+    assert n > 10 and bm25.term_counts(held).rdd.getNumPartitions() == n
+
+
+def test_sums_of_terms_are_those_of_their_postings(spark):
+    notes = spark.createDataFrame([("a.md", "red red blue"), ("b.md", "blue green 7"), ("c.md", "red")], "path string, content string")
+    counts = bm25.term_counts(fragments.fragments(notes))
+    want = {}
+    for r in bm25.postings(counts).collect():
+        df, tf, weight = want.get(r.term, (0, 0, 0.0))
+        want[r.term] = (df + 1, tf + r.tf, weight + r.weight)
+    got = {r.term: (r.df, r.tf, r.weight) for r in bm25.term_weights(counts).collect()}
+    assert got.keys() == want.keys() and all(got[t][:2] == want[t][:2] and abs(got[t][2] - want[t][2]) < 1e-9 for t in want)
