@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notewell.operators.transcripts import redacted
+from notewell.sources.scratch import Scratch
 
 # The format of recordings, and what marks a failed tool call.
 USER, ASSISTANT = "👤 User", "🤖 Assistant"
@@ -159,11 +160,14 @@ def _summary(calls: DataFrame, events: DataFrame) -> DataFrame:
 def rendered(raws: DataFrame) -> DataFrame:
     """(raw_id, markdown): title, summary of tool calls, messages, events; redacted. A row per recording.
 
-    Parts regroup by raw_id, so a group is no larger than the row that it came from.
+    Parts regroup by raw_id, so a group is no larger than the row that it came from. Recordings are made, and
+    parsed, once: blocks, calls and events are written for the six readings that follow.
     """
-    held = blocks(raws)
-    calls = tool_calls(held)
-    events = recorded_events(calls)
+    space = Scratch(raws.sparkSession)
+    raws = space.save(raws.select("raw_id", "text"), "raws")
+    held = space.save(blocks(raws), "blocks")
+    calls = space.save(tool_calls(held), "calls")
+    events = space.save(recorded_events(calls), "events")
     texts = recorded_messages(held).groupBy("raw_id").agg(F.array_sort(F.collect_list(F.struct("block", F.concat(F.lit("## "), "role", F.lit("\n\n"), "text", F.lit("\n")).alias("part")))).alias("m"))
     label = F.when(F.col("is_error"), "erreur").otherwise("suite")
     line = F.concat(F.lit("- outil "), "tool", F.lit(" — "), label, F.lit(" : "), F.replace("detail", F.lit("\n"), F.lit("\n  ")))

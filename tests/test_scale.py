@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from notewell.operators import bm25, fragments, fresh, graph, packing, transcripts
+from notewell.operators import bm25, fragments, fresh, graph, packing, recordings, transcripts
 from notewell.sources import scratch
 
 
@@ -131,3 +131,12 @@ def test_sums_of_terms_are_those_of_their_postings(spark):
         want[r.term] = (df + 1, tf + r.tf, weight + r.weight)
     got = {r.term: (r.df, r.tf, r.weight) for r in bm25.term_weights(counts).collect()}
     assert got.keys() == want.keys() and all(got[t][:2] == want[t][:2] and abs(got[t][2] - want[t][2]) < 1e-9 for t in want)
+
+
+def test_recordings_are_parsed_once(spark):
+    text = "# T\n\n## 👤 User\n\nhello\n\n## 🤖 Assistant\n\nok <details><summary>🔧 run</summary>\n**Erreur** :\n```\nbad\n```\n</details>\n"
+    raws = spark.createDataFrame([(f"r{k}", text) for k in range(3)] + [("none", None), ("plain", "no blocks")], "raw_id string, text string")
+    made = recordings.rendered(raws)
+    assert made.count() == 5
+    # the rest reads what was written: no recording is split into blocks or calls again
+    assert not [n for n in (made.collect(), nodes(made))[1] if n.nodeName() == "Generate"]
