@@ -1,6 +1,7 @@
 """The operators on awkward rows, against brute force, and on other parameters."""
 
 import itertools
+import collections
 import random
 import time
 import re
@@ -320,6 +321,55 @@ def test_likelihood_alone_decides_on_candidates(spark):
     assert [(s.kind, s.start, s.end) for s in got] == [("format_assign", len(words) + 1, len(words) + 9)]
 
 
+def test_all_values_and_words_are_learned_from(spark):
+    rng = random.Random(31)
+    code = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    marked = lambda: code("abcdefXYZ0123456789+/", rng.randint(8, 24))
+    values = [code("0123456789abcdef", 20) for _ in range(900)] + [marked() for _ in range(300)] + ["s3-" + code("0123456789", 8) for _ in range(30)] + [code("abcdef0123456789", 700)]
+    words = [code("aeioulnrst", rng.randint(6, 12)) for _ in range(9_000)] + [code("0123456789abcdef", 20) for _ in range(60)]
+    dealt = rng.choices(words, k=30_000) + words
+    rows = [(k, f"token={v} " + " ".join(dealt[k :: len(values)])) for k, v in enumerate(values)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = secrets.infer_formats(docs)
+    counts = collections.Counter(w.encode() for w in dealt)
+    want = secrets.FormatAutomaton(sorted({v.encode() for v in values}), sorted(counts.items()))
+    assert got["assign"].background.n_words == len(dealt) and got["assign"].background.logs == want.background.logs
+    assert 0 < want.least_ratio and 0 < want.recall < 1 and want.added_words > 0 and want.unbounded
+    for name in ("size", "lengths", "unbounded", "low", "high", "least_ratio", "recall", "added_words"):
+        assert getattr(got["assign"], name) == getattr(want, name), name
+    for value in (*values[::7], *words[::50], values[-1] + "0"):
+        assert got["assign"].likelihood(value.encode()) == want.likelihood(value.encode())
+    # every trained value goes through the root, and every symbol is left by some state
+    trained = [v.encode() for v in values if not secrets.is_held(v.encode())]
+    states = secrets.prefix_tree(trained).states()
+    assert states[0].passed == len(trained) and sum(s.passed - s.ended for s in states) == sum(map(len, trained))
+
+
+def test_values_of_rare_shapes_keep_their_ends():
+    rng = random.Random(33)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    made = lambda: ("eyJ" + ".".join("".join(rng.choices(alphabet, k=rng.randint(20, 60))) for _ in range(3))).encode()
+    automaton = secrets.FormatAutomaton([made() for _ in range(1_500)], [(b"everything", 500), (b"thornted", 700)])
+    fresh = [made() for _ in range(200)]
+    assert automaton.size < 1_000 and automaton.recall >= 0.9 and sum(map(automaton.accepts, fresh)) >= 180 and not automaton.accepts(b"everything")
+
+
+def test_bound_of_words_is_exact(spark):
+    rng = random.Random(32)
+    ratios = [(kind, rng.choice([rng.random(), rng.random() * 1e-9, 3.0, rng.random() * 40]), rng.random() < 0.5, rng.randint(1, 5)) for kind in ("assign", "hex") for _ in range(700)]
+    table = spark.createDataFrame([(k, secrets._bits(r), i, n) for k, r, i, n in ratios], "kind string, bits bigint, inside boolean, n bigint")
+    for left in (0.5, 1.0, 37.0, 900.5, 1e6):
+        want = {}
+        for kind in ("assign", "hex"):
+            passed = 0
+            for r, n in sorted(((r, n) for k, r, _, n in ratios if k == kind), reverse=True):
+                passed += n
+                if passed > left:
+                    want[kind] = r
+                    break
+        assert secrets.least_ratios(table, left) == want
+
+
 # ------------------------------------------------------------------ 7
 def test_longest_matches_with_places(spark, awkward, nothing):
     item = [f"b{k}" for k in range(15)]
