@@ -19,6 +19,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notewell.sources.scratch import input_bytes, slices
+
+#: Files of touched paths up to this are small enough to be sent to all tasks; a join with more shuffles the rows.
+TOUCHED_BYTES = 256 << 10
 _MANIFEST = re.compile(r"manifest-(\d+)\.json")
 
 
@@ -128,6 +132,10 @@ class Generations:
         for number in held["deltas"][1:]:
             touched = touched.unionByName(numbered(number, "touched"))
         last = touched.groupBy("path").agg(F.max("_gen").alias("_last"))
+        if input_bytes(touched) > TOUCHED_BYTES:
+            # the shuffle that the join makes anyway, with partitions in proportion to the rows
+            parts = max(slices(rows), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            rows, last = rows.repartition(parts, "path"), last.repartition(parts, "path")
         return rows.join(last, "path", "left").where(F.col("_gen") == F.coalesce("_last", F.lit(held["base"]))).select(*base.columns)
 
     def purge(self, keep: int = 2) -> list[int]:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewell.operators import bm25, graph, indexing
+from notewell.sources import generations, scratch
 from notewell.operators.fragments import fragments
 from notewell.sources.generations import Generations
 from notewell.streaming import maintenance as streams
@@ -140,3 +141,16 @@ def test_edges_are_distinct_links(spark):
     notes = spark.createDataFrame([("a.md", "[[x]] [[x#y]] [[z|t]]"), ("b.md", None)], NOTE)
     assert sorted(map(tuple, indexing.edges(notes).collect())) == [("a.md", "x"), ("a.md", "z")]
     assert graph.wikilinks(notes).count() == 3 and fragments(notes).where(F.col("path") == "b.md").count() == 0
+
+
+def test_rows_meet_many_touched_paths_in_partitions_by_size(spark, tmp_path, monkeypatch):
+    store = generations.Generations(spark, f"file://{tmp_path}/index")
+    indexing.build(store, spark.createDataFrame([(f"n{k}.md", f"word{k} [[t{k % 3}]]") for k in range(400)], "path string, content string"), 1)
+    indexing.apply(store, spark.createDataFrame([(f"n{k}.md", f"new{k}", k % 2 == 0) for k in range(0, 400, 4)] + [("n1.md", "new1", False)], "path string, content string, deleted boolean"))
+    want = sorted(map(tuple, store.read("terms").collect()))
+    monkeypatch.setattr(generations, "TOUCHED_BYTES", 0)
+    monkeypatch.setattr(scratch, "SLICE_BYTES", 200)
+    dealt = store.read("terms")
+    assert sorted(map(tuple, dealt.collect())) == want
+    # touched paths are among the files that the result names, but not among the rows dealt
+    assert dealt.rdd.getNumPartitions() > 100 > int(spark.conf.get("spark.sql.shuffle.partitions"))
