@@ -13,16 +13,17 @@ automaton; a length or mark that no path has is impossible.
 
 The automata then score every other run of the characters of values, of the shortest base length
 or more. A run is added to the base spans if its likelihood per symbol lies within the range of
-values that were held out (one in ``HELD_SHARE``; where those are few, each in turn), and its
+the labelled values, and its
 ratio to a background model of the corpus' own words is over that of ``WORDS_BELOW`` of the words (all but one occurrence where words are few). All
-words of the corpus count, in the background and for the bound. Each automaton keeps its recall on held-out
-values and the share of words that it would add.
+words of the corpus count, in the background and for the bound. For the range every value is scored with its own counts taken
+away, so that all values make both the format and its bounds (which states merge is decided with all values; a
+single value has no others and is scored as it is). Each automaton keeps its recall on values scored so
+and the share of words that it would add.
 
 Jobs: one scan that labels values and counts the words' pairs of characters; small jobs over the distinct
 values; one scan that scores words, of which only those likelier in a format than among words are
-counted by score; one scan that scores candidates. The driver holds trees and sums of bounded size.
-Values themselves come to it only where fewer than ``MIN_HELD`` are held out, which a hash makes
-all but impossible for more than some hundred.
+counted by score; one scan that scores candidates. The driver holds trees and sums of bounded size, never
+the values themselves.
 
 Defined results: a null text counts as empty and has no spans; repeated rows are scanned one by
 one; a label without values infers no automaton and adds no span; an empty table gives an empty
@@ -56,7 +57,6 @@ TOLD = 200
 WORDS_BELOW = 0.999
 SUPPORT = 10
 HELD_SHARE = 5
-MIN_HELD = 5
 ALPHA = 0.05
 SLACK = 0.25
 #: Examples that a state's own characters must outweigh.
@@ -214,24 +214,32 @@ class Background:
 
 
 def is_held(value: bytes) -> bool:
+    """Whether a value is of the share that tests hold out; the formats themselves learn from all."""
     return zlib.crc32(value) % HELD_SHARE == 0
 
 
+def _shares(classes: np.ndarray) -> np.ndarray:
+    return (classes + 0.01) / (classes + 0.01).sum()
+
+
+def _char_log(kind: int, n: int, of_kind: int, seen: int, pooled: np.ndarray) -> float:
+    """Log2 probability of a letter or digit counted ``n`` times in a state, among ``of_kind`` of its class and ``seen`` of all."""
+    of_class = (of_kind + PRIOR * pooled[kind]) / (seen + PRIOR)
+    in_class = (n + PRIOR / _CLASS_SIZES[kind]) / (of_kind + PRIOR)
+    return math.log2(of_class * in_class)
+
+
 class FormatAutomaton:
     """Probabilistic automaton of a credential format, inferred by compatible state merging."""
 
     def __init__(self, examples: list[bytes], words: list[tuple[bytes, int]] = (), alpha: float = ALPHA, slack: float = SLACK, support: int = SUPPORT) -> None:
-        held, trained = [e for e in examples if is_held(e)], [e for e in examples if not is_held(e)]
-        few = len(held) < MIN_HELD or not trained
-        if few:
-            held, trained = examples, examples
-        self._infer(prefix_tree(trained), alpha, support)
+        self._infer(prefix_tree(examples), alpha, support)
         self.background = Background(sum((n * pair_counts([w]) for w, n in words), np.zeros(49, np.int64)))
-        scored = self._each_in_turn(trained) if few and len(trained) > 1 else list(map(self.likelihood, held))
-        self._bound([x for x in scored if x > -math.inf], max(map(self.likelihood, trained)), slack)
+        scored = [self.without(e) if len(examples) > 1 else self.likelihood(e) for e in examples]
+        self._bound([x for x in scored if x > -math.inf], max(map(self.likelihood, examples)), slack)
         self.least_ratio = 0.0
         self._calibrate(list(words))
-        self.recall = sum(map(self.accepts, held)) / len(held)
+        self.recall = sum(self.low <= x <= self.high and self._over_words(e, x) > self.least_ratio for e, x in zip(examples, scored, strict=True)) / len(examples)
         self.added_words = sum(n for w, n in words if self.accepts(w)) / max(1, sum(n for _, n in words))
 
     @classmethod
@@ -242,7 +250,7 @@ class FormatAutomaton:
         return made
 
     def _infer(self, tree: Tree, alpha: float, support: int) -> None:
-        self.alpha, self.level, self.support = math.sqrt(0.5 * math.log(2 / alpha)), alpha, support
+        self.alpha, self.support = math.sqrt(0.5 * math.log(2 / alpha)), support
         self.states, self.differing = tree.states(), set()
         self.folded = list(range(len(self.states)))
         self._merge()
@@ -250,12 +258,9 @@ class FormatAutomaton:
         self.lengths, self.unbounded = self._lengths()
 
     def _bound(self, scores: list[float], trained: float, slack: float = SLACK) -> None:
-        """The range of what held-out values score; trained values may stand elsewhere too, so they bound what is too likely."""
+        """The range of what values score without their own counts, which end here; values may stand elsewhere too, so with them they bound what is too likely."""
         self.low, self.high = (min(scores) - slack, max(*scores, trained) + slack) if scores else (math.inf, -math.inf)
-
-    def _each_in_turn(self, examples: list[bytes]) -> list[float]:
-        """Likelihoods of values in automata of all others: where too few can be held out."""
-        return [self.of_tree(prefix_tree(examples[:k] + examples[k + 1 :]), self.level, self.support).likelihood(e) for k, e in enumerate(examples)]
+        self.counts = None
 
     def _differ(self, count: int, total: int, other: int, other_total: int) -> bool:
         return abs(count / total - other / other_total) > self.alpha * (1 / math.sqrt(total) + 1 / math.sqrt(other_total))
@@ -344,8 +349,9 @@ class FormatAutomaton:
                 if target not in reached:
                     reached[target] = len(reached)
                     todo.append(target)
-        pooled = sum((np.array(self.states[s].classes) for s in reached), np.zeros(len(_CLASS_SIZES)))
-        pooled = (pooled + 0.01) / (pooled + 0.01).sum()
+        self.counts = [self.states[s] for s in reached]
+        self.classes = sum((np.array(s.classes) for s in self.counts), np.zeros(len(_CLASS_SIZES)))
+        pooled = _shares(self.classes)
         self.size, self.steps, self.ends = len(reached), [None] * len(reached), [-math.inf] * len(reached)
         for old, new in reached.items():
             state, step = self.states[old], {}
@@ -356,9 +362,7 @@ class FormatAutomaton:
                     continue
                 seen, classes = sum(state.classes), state.classes
                 for c, kind in _CLASS_OF.items():
-                    of_class = (classes[kind] + PRIOR * pooled[kind]) / (seen + PRIOR)
-                    in_class = (state.chars[c] + PRIOR / _CLASS_SIZES[kind]) / (classes[kind] + PRIOR)
-                    step[c] = (share + math.log2(of_class * in_class), reached[self._now(target)])
+                    step[c] = (share + _char_log(kind, state.chars[c], classes[kind], seen, pooled), reached[self._now(target)])
             self.steps[new] = step
             if state.ended:
                 self.ends[new] = math.log2(state.ended / state.passed)
@@ -387,6 +391,30 @@ class FormatAutomaton:
         """log2 likelihood per symbol, the end included; minus infinity for an impossible value."""
         return self._total(value) / (len(value) + 1)
 
+    def without(self, value: bytes) -> float:
+        """``likelihood`` of a value that was learned from, as the others alone make it: its own counts are taken away."""
+        path = [0]
+        for c in value:
+            path.append(self.steps[path[-1]][c][1])
+        passed, used = Counter(path), Counter(zip(path, value.translate(_COARSE)))
+        chars, classes, own = Counter(zip(path, value)), Counter(), np.zeros(len(_CLASS_SIZES))
+        for (s, c), n in chars.items():
+            if c in _CLASS_OF:
+                classes[s, _CLASS_OF[c]] += n
+                own[_CLASS_OF[c]] += n
+        pooled, total = _shares(self.classes - own), 0.0
+        for s, c in zip(path, value):
+            state, symbol = self.counts[s], _COARSE[c]
+            n = state.used[symbol] - used[s, symbol]
+            if not n:
+                return -math.inf
+            total += math.log2(n / (state.passed - passed[s]))
+            if symbol == ANY:
+                kind = _CLASS_OF[c]
+                total += _char_log(kind, state.chars[c] - chars[s, c], state.classes[kind] - classes[s, kind], n, pooled)
+        state = self.counts[path[-1]]
+        return (total + math.log2((state.ended - 1) / (state.passed - passed[path[-1]]))) / (len(value) + 1) if state.ended > 1 else -math.inf
+
     def ratio(self, value: bytes) -> float:
         """How much likelier per symbol the value is in this format than among the corpus' words."""
         return self._over_words(value, self.likelihood(value))
@@ -513,8 +541,8 @@ def labelled_values(docs: DataFrame) -> DataFrame:
     return _each_batch(_texts(docs), "kind string, value string, n bigint", rows).groupBy("kind", "value").agg(F.sum("n").alias("n"))
 
 
-def prefix_trees(space: Workspace, values: DataFrame, trained: dict[str, int]) -> dict[str, Tree]:
-    """The prefix trees of values (kind, value) by kind; ``trained`` says how many there are of each."""
+def prefix_trees(space: Workspace, values: DataFrame, counts: dict[str, int]) -> dict[str, Tree]:
+    """The prefix trees of values (kind, value) by kind; ``counts`` says how many there are of each."""
 
     def rows(kinds, texts):
         for kind, run in groupby(sorted(zip(kinds, texts, strict=True)), key=lambda r: r[0]):
@@ -525,9 +553,9 @@ def prefix_trees(space: Workspace, values: DataFrame, trained: dict[str, int]) -
     counted = steps.groupBy("kind", "node", "depth", "c", "child").agg(F.sum("n").alias("n"))
     # a node has a row for each character at most
     nodes = space.save(counted.groupBy("kind", "node", "depth").agg(F.sum("n").alias("passed"), F.collect_list(F.struct("c", "n", "child")).alias("left")), "nodes")
-    total = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in trained.items()])
+    total = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in counts.items()])
     told = (F.col("depth") < TOLD_LENGTHS) & (F.col("passed") * TOLD >= total)
-    trees = {kind: Tree() for kind in trained}
+    trees = {kind: Tree() for kind in counts}
     for r in nodes.where(told).collect():
         trees[r.kind].nodes[bytes(r.node)] = (r.depth, [(x.c, x.n, None if x.child is None else bytes(x.child)) for x in r.left])
     rare = nodes.where(~told).select("kind", "depth", F.inline("left")).groupBy("kind", "depth", "c").agg(F.sum("n").alias("n"))
@@ -605,33 +633,22 @@ def infer_formats(docs: DataFrame) -> dict[str, FormatAutomaton]:
     for r in labelled.where("kind = 'pair'").collect():
         pairs[int(r.value)] = r.n
     background = Background(pairs)
-    held = F.crc32(F.col("value").cast("binary")) % HELD_SHARE == 0
-    values = labelled.where("kind <> 'pair'").select("kind", "value", held.alias("held"))
-    found, few = {}, {}
-    counts = {r.kind: r for r in values.groupBy("kind").agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("trained")).collect()}
-    for kind, r in counts.items():
-        if r.held < MIN_HELD or not r.trained:
-            few[kind] = sorted(x.value.encode() for x in values.where(F.col("kind") == kind).select("value").collect())
-            found[kind] = FormatAutomaton(few[kind])
-            found[kind].background = background
-    many = {kind: r.trained for kind, r in counts.items() if kind not in few}
-    if many:
-        of_many = values.where(F.col("kind").isin(*many))
-        made = {k: FormatAutomaton.of_tree(t) for k, t in prefix_trees(space, of_many.where("not held"), many).items()}
-
-        def rows(kinds, texts, out):
-            for kind, value, is_out in zip(kinds, texts, out, strict=True):
-                likely = made[kind].likelihood(value.encode())
-                yield kind, is_out, likely, made[kind].possible(len(value)) and likely > -math.inf, likely - background.total(value.encode()) / (len(value) + 1)
-
-        scored = space.save(_each_batch(of_many, "kind string, held boolean, likely double, possible boolean, ratio double", rows), "scored")
-        likely = F.col("likely") > F.lit(-math.inf)
-        ranges = scored.groupBy("kind").agg(*[f(F.when(where, F.col("likely"))).alias(n) for n, f, where in (("low", F.min, F.col("held") & likely), ("high", F.max, F.col("held") & likely), ("trained", F.max, ~F.col("held")))])
-        for r in ranges.collect():
-            made[r.kind].background = background
-            made[r.kind]._bound([] if r.low is None else [r.low, r.high], r.trained)
-        found |= made
-    if found:
+    values = labelled.where("kind <> 'pair'").select("kind", "value")
+    found = {}
+    if counts := {r.kind: r.n for r in values.groupBy("kind").agg(F.count("*").alias("n")).collect()}:
+        found = {k: FormatAutomaton.of_tree(t) for k, t in prefix_trees(space, values, counts).items()}
+
+        def rows(kinds, texts):
+            for kind, value in zip(kinds, map(str.encode, texts), strict=True):
+                whole = found[kind].likelihood(value)
+                likely = found[kind].without(value) if counts[kind] > 1 else whole
+                yield kind, whole, likely, likely - background.total(value) / (len(value) + 1)
+
+        scored = space.save(_each_batch(values, "kind string, whole double, likely double, ratio double", rows), "scored")
+        likely = F.when(F.col("likely") > F.lit(-math.inf), F.col("likely"))
+        for r in scored.groupBy("kind").agg(F.min(likely).alias("low"), F.max(likely).alias("high"), F.max("whole").alias("whole")).collect():
+            found[r.kind].background = background
+            found[r.kind]._bound([] if r.low is None else [r.low, r.high], r.whole)
         ratios = space.save(_word_ratios(docs, found), "ratios")
         bounds = least_ratios(ratios, _left(background.n_words))
         for kind, automaton in found.items():
@@ -639,13 +656,11 @@ def infer_formats(docs: DataFrame) -> dict[str, FormatAutomaton]:
         by_kind = lambda what: F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(what(a)))) for k, a in found.items()])
         over = F.col("bits") > F.coalesce(*[F.when(F.col("kind") == k, F.lit(_bits(a.least_ratio))) for k, a in found.items()])
         above = {r.kind: r.n for r in ratios.where(F.col("inside") & over).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-        passed = {}
-        if many:
-            accepted = F.col("likely").between(by_kind(lambda a: a.low), by_kind(lambda a: a.high)) & (F.col("ratio") > by_kind(lambda a: a.least_ratio))
-            passed = {r.kind: r.n for r in scored.where(F.col("held") & F.col("possible") & accepted).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        accepted = F.col("likely").between(by_kind(lambda a: a.low), by_kind(lambda a: a.high)) & (F.col("ratio") > by_kind(lambda a: a.least_ratio))
+        passed = {r.kind: r.n for r in scored.where(accepted).groupBy("kind").agg(F.count("*").alias("n")).collect()}
         for kind, automaton in found.items():
             automaton.added_words = above.get(kind, 0) / max(1, background.n_words)
-            automaton.recall = sum(map(automaton.accepts, few[kind])) / len(few[kind]) if kind in few else passed.get(kind, 0) / counts[kind].held
+            automaton.recall = passed.get(kind, 0) / counts[kind]
     space.drop("labelled", "scored", "ratios")
     return {kind: found[kind] for kind in KINDS if kind in found}
 

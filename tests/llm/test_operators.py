@@ -1,6 +1,7 @@
 """The operators on awkward rows, against brute force, and on other parameters."""
 
 import itertools
+import math
 import collections
 import random
 import time
@@ -345,6 +346,44 @@ def test_all_values_and_words_are_learned_from(spark):
     assert states[0].passed == len(trained) and sum(s.passed - s.ended for s in states) == sum(map(len, trained))
 
 
+def test_likelihood_without_a_value_is_that_of_all_others():
+    rng = random.Random(34)
+    code = lambda n: b"".join(rng.choice([b"%x" % d for d in range(16)]) for _ in range(n))
+    values = sorted({b"tk-" + code(rng.randint(12, 40)) for _ in range(150)} | {code(9) + b"/" + code(4), b"tk-" + b"z" * 800})
+    plain = secrets.FormatAutomaton.of_tree(secrets.prefix_tree(values), support=10**9)  # nothing merges
+    merged = secrets.FormatAutomaton.of_tree(secrets.prefix_tree(values))
+    assert merged.size < plain.size
+    for k in [*range(0, len(values), 9), values.index(b"tk-" + b"z" * 800)]:
+        others = values[:k] + values[k + 1 :]
+        want = secrets.FormatAutomaton.of_tree(secrets.prefix_tree(others), support=10**9)
+        assert plain.without(values[k]) == pytest.approx(want.likelihood(values[k]))
+        # the merged states, counted again from the others
+        again = object.__new__(secrets.FormatAutomaton)
+        again.states, again.folded, again.differing = [secrets.State() for _ in range(merged.size)], list(range(merged.size)), set()
+        for other in others:
+            at = 0
+            for c in other:
+                state, at = again.states[at], merged.steps[at][c][1]
+                state.arcs[state.leave(c, 1)] = at
+            again.states[at].end(1)
+        again._weigh()
+        assert merged.without(values[k]) == pytest.approx(again.likelihood(values[k]))
+    assert any(plain.without(v) > -math.inf for v in values) and plain.without(b"tk-" + b"z" * 800) == -math.inf
+
+
+def test_no_value_is_left_out_of_formats_and_bounds(spark):
+    rng = random.Random(35)
+    code = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    # the length 22 comes up among values of one share only
+    values = [code(20) for _ in range(300)] + [v for v in (code(22) for _ in range(200)) if secrets.is_held(v.encode())][:8]
+    docs = spark.createDataFrame([(k, f"token={v} ordinary words everything written") for k, v in enumerate(values)], "doc_id bigint, text string")
+    found = secrets.infer_formats(docs)["assign"]
+    assert found.lengths == {20, 22} and found.recall == 1
+    every = secrets.FormatAutomaton.of_tree(secrets.prefix_tree([v.encode() for v in values]))
+    scores = [every.without(v.encode()) for v in values]
+    assert found.low == min(scores) - secrets.SLACK and found.high == max(*scores, *(every.likelihood(v.encode()) for v in values)) + secrets.SLACK
+
+
 def test_values_of_rare_shapes_keep_their_ends():
     rng = random.Random(33)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"

@@ -1,5 +1,7 @@
 """Every stage of the pipeline on all that its predecessor kept, against DuckDB and plain patterns."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -51,3 +53,15 @@ def test_stages_on_awkward_and_empty_tables(spark, awkward, nothing, tmp_path):
             if kind == "awkward" and name == "near_duplicates":
                 assert sorted((r.doc_id or 0) for r in docs.collect() if r.text in prose) == [0, 50, 51]
         assert docs.count() == (0 if kind == "nothing" else docs.count())
+
+
+def test_secret_scan_learns_from_every_value(spark):
+    rng = random.Random(36)
+    code = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    # 22 symbols come up among values of one share only
+    values = [code(20) for _ in range(300)] + [v for v in (code(22) for _ in range(200)) if secrets.is_held(v.encode())][:8]
+    words = "ordinary words stand around everything written here."
+    rows = [(k, f"{words} token={v}") for k, v in enumerate(values)] + [(1_000, f"{words} {code(22)} more")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, DATA).collect()}
+    assert got[1_000] == f"{words} [SECRET] more" and len(got) == len(rows)
