@@ -13,8 +13,7 @@ automaton; a length or mark that no path has is impossible.
 
 The automata then score every other run of the characters of values, of the shortest base length
 or more. A run is added to the base spans if its likelihood per symbol lies within the range of
-the labelled values, and its
-ratio to a background model of the corpus' own words is over that of ``WORDS_BELOW`` of the words (all but one occurrence where words are few). All
+the labelled values, and its ratio to a background model of the corpus' own words is over that of ``WORDS_BELOW`` of the words (all but one occurrence where words are few). All
 words of the corpus count, in the background and for the bound. For the range every value is scored with its own counts taken
 away, so that all values make both the format and its bounds (which states merge is decided with all values; a
 single value has no others and is scored as it is). Each automaton keeps its recall on values scored so
