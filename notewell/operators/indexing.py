@@ -40,10 +40,10 @@ def sums(terms: DataFrame, links: DataFrame, sign: int = 1) -> dict[str, DataFra
     }
 
 
-def build(store: Generations, notes: DataFrame, now_ns: int, streams: dict[str, int] | None = None) -> int:
-    """Publish a whole index of notes (path, content)."""
+def build(store: Generations, notes: DataFrame, now_ns: int, streams: dict[str, int] | None = None, markdown: bool = True) -> int:
+    """Publish a whole index of notes (path, content); ``markdown`` as in ``fragments``, the same for all batches."""
     number = store.begin(now_ns)
-    made = {"fragments": fragments(notes), "edges": edges(notes)}
+    made = {"fragments": fragments(notes, markdown), "edges": edges(notes)}
     store.write(number, made)
     store.write(number, {"terms": bm25.term_counts(_written(store, number, "fragments"))})
     rows = {name: _written(store, number, name) for name in ("fragments", "terms", "edges")}
@@ -56,7 +56,7 @@ def _written(store: Generations, number: int, name: str) -> DataFrame:
     return store.spark.read.parquet(store.table_path(number, name))
 
 
-def apply(store: Generations, changed: DataFrame, streams: dict[str, int] | None = None, max_deltas: int = MAX_DELTAS) -> int:
+def apply(store: Generations, changed: DataFrame, streams: dict[str, int] | None = None, max_deltas: int = MAX_DELTAS, markdown: bool = True) -> int:
     """Publish the index after a batch of changes (path, content, deleted), each path once.
 
     All tables of the index change together. Every ``max_deltas`` batches the index is made whole again.
@@ -66,7 +66,7 @@ def apply(store: Generations, changed: DataFrame, streams: dict[str, int] | None
     store.write(number, {"touched": changed.select("path")})
     touched = _written(store, number, "touched")
     live = changed.where(~F.col("deleted")).select("path", "content")
-    store.write(number, {"fragments": fragments(live)})
+    store.write(number, {"fragments": fragments(live, markdown)})
     if "terms" in held["tables"]:
         store.write(number, {"edges": edges(live), "terms": bm25.term_counts(_written(store, number, "fragments"))})
         new = {name: _written(store, number, name) for name in ("terms", "edges")}

@@ -4,9 +4,14 @@ import json
 import random
 import shutil
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from notewell import catalog
+from notewell.functions import text, words
 from notewell.operators import bm25, graph, indexing
 from notewell.sources import generations, scratch
 from notewell.operators.fragments import fragments
@@ -154,3 +159,24 @@ def test_rows_meet_many_touched_paths_in_partitions_by_size(spark, tmp_path, mon
     assert sorted(map(tuple, dealt.collect())) == want
     # touched paths are among the files that the result names, but not among the rows dealt
     assert dealt.rdd.getNumPartitions() > 100 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_notes_of_nearly_nothing_count_as_in_sql(spark, tmp_path):
+    """Notes of a lone link, of what looks like Markdown, without text, with other white space and letters, and ids below 0."""
+    long = "mot " * 400
+    texts = ["", None, "#", "# Title\nbody", "---\na: b\n---\nrest", "-", "\n\n", "\x0bx\x0b", "Vi\u1ec7t na\u00efve x\u00bdy \u24d0b e\u0301t\u0301", f"\x85{long}\x85", f"\u3000{long}\n## end", "a_b.c-d 7 q le"]
+    ids = [*range(40), *range(-20, 0)]
+    table = pa.table({"doc_id": ids, "text": [texts[k % len(texts)] for k in range(len(ids))], "lang": ["en"] * len(ids), "source": ["s"] * len(ids), "n_chars": [1] * len(ids)})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = duck.execute(f"SELECT kind, key, n FROM ({catalog.ORACLES['index_maintenance']})").fetchall()
+    got = catalog.QUERIES["index_maintenance"](spark, str(tmp_path)).select("kind", "key", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_counted_terms_are_the_tokens_of_a_column(spark):
+    rows = [("The foo.bar-baz_q \u00c9t\u00e9 a_ _ 7 x ... -a.b- \u00e9x. [[t5]]",), (None,), ("",), ("le la",), ("Vi\u1ec7t e\u0301t x\u00bdy A.b a.b a__b",)]
+    tokens = [sorted(r.t or []) for r in spark.createDataFrame(rows, "x string").select(text.tokens(F.col("x")).alias("t")).collect()]
+    row, code, terms = words.terms(pa.array([r[0] for r in rows], pa.string()), text.STOP_WORDS)
+    assert [sorted(terms[int(c)].as_py() for r, c in zip(row, code, strict=True) if r == k) for k in range(len(rows))] == tokens
