@@ -70,7 +70,7 @@ def apply(store: Generations, changed: DataFrame, streams: dict[str, int] | None
     if "terms" in held["tables"]:
         store.write(number, {"edges": edges(live), "terms": bm25.term_counts(_written(store, number, "fragments"))})
         new = {name: _written(store, number, name) for name in ("terms", "edges")}
-        old = {name: store.read(name).join(touched, "path", "left_semi") for name in ("terms", "edges")}
+        old = {name: store.read(name, touched) for name in ("terms", "edges")}
         given, taken = sums(new["terms"], new["edges"]), sums(old["terms"], old["edges"], -1)
         for name, keys in SUMS.items():
             numbers = [c for c in given[name].columns if c not in keys]

@@ -114,12 +114,16 @@ class Generations:
         if not self._fs.rename(self._path(f".manifest-{number}"), self._path(f"manifest-{number}.json")):
             raise OSError(f"generation {number} can't be published")
 
-    def read(self, name: str) -> DataFrame:
-        """A table of the current generation: a path's rows of the last batch that touched it, sums of all."""
+    def read(self, name: str, paths: DataFrame | None = None) -> DataFrame:
+        """A table of the current generation: a path's rows of the last batch that touched it, sums of all.
+
+        ``paths`` (distinct, column ``path``) keeps the rows of those alone: each path's generation is looked up first, and
+        rows meet one small table of both, so no row of another path is dealt.
+        """
         held = self.manifest()
         base = self.spark.read.parquet(self.table_path(held["base"], name))
         if not held["deltas"]:
-            return base
+            return base if paths is None else base.join(paths, "path", "left_semi")
         numbered = lambda n, which: self.spark.read.schema(base.schema if which == name else "path string").parquet(self.table_path(n, which)).withColumn("_gen", F.lit(n))
         rows = base.withColumn("_gen", F.lit(held["base"]))
         for number in held["deltas"]:
@@ -132,6 +136,9 @@ class Generations:
         for number in held["deltas"][1:]:
             touched = touched.unionByName(numbered(number, "touched"))
         last = touched.groupBy("path").agg(F.max("_gen").alias("_last"))
+        if paths is not None:
+            wanted = paths.join(last, "path", "left").select("path", F.coalesce("_last", F.lit(held["base"])).alias("_gen"))
+            return rows.join(wanted, ["path", "_gen"], "left_semi").select(*base.columns)
         if input_bytes(touched) > TOUCHED_BYTES:
             # the shuffle that the join makes anyway, with partitions in proportion to the rows
             parts = max(slices(rows), int(self.spark.conf.get("spark.sql.shuffle.partitions")))

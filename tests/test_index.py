@@ -180,3 +180,13 @@ def test_counted_terms_are_the_tokens_of_a_column(spark):
     tokens = [sorted(r.t or []) for r in spark.createDataFrame(rows, "x string").select(text.tokens(F.col("x")).alias("t")).collect()]
     row, code, terms = words.terms(pa.array([r[0] for r in rows], pa.string()), text.STOP_WORDS)
     assert [sorted(terms[int(c)].as_py() for r, c in zip(row, code, strict=True) if r == k) for k in range(len(rows))] == tokens
+
+
+def test_no_row_of_an_untouched_note_is_dealt_for_a_batch(spark, tmp_path):
+    store = Generations(spark, f"file://{tmp_path}/index")
+    indexing.build(store, spark.createDataFrame([(f"n{k}.md", f"word{k}") for k in range(300)], NOTE), 1)
+    indexing.apply(store, spark.createDataFrame([("n1.md", "new", False), ("n2.md", None, True)], CHANGE))
+    paths = spark.createDataFrame([("n1.md",), ("n2.md",), ("n3.md",), ("none.md",)], "path string")
+    held = store.read("terms", paths)
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, store.read("terms").join(paths, "path", "left_semi").collect())) != []
+    assert {r.path for r in held.collect()} == {"n1.md", "n3.md"}
