@@ -3,9 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from notewell.operators import bm25, fragments, fresh, graph, packing, recordings, transcripts
+from notewell.operators import bm25, fragments, fresh, graph, packing, recordings, transcripts, vectors
 from notewell.sources import scratch
 
 
@@ -99,6 +101,32 @@ def test_blocks_of_fragments_give_the_best_notes(spark, monkeypatch):
         assert got == want
 
 
+def test_bounds_of_a_part_leave_the_result_whole(spark, monkeypatch):
+    """Searches with a first bound, and tasks that keep the best of many small blocks, find the same notes."""
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(30)]
+    notes = spark.createDataFrame([(f"n{k}.md", " ".join(rng.choice(words) for _ in range(rng.choice([3, 40, 900])))) for k in range(150)], "path string, content string")
+    queries = spark.createDataFrame([(q, " ".join(rng.sample(words, 3))) for q in range(8)] + [(90, "absent"), (91, "the")], "query_id int, query string")
+    held = spark.createDataFrame([(f"n{k % 60}.md", k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(200)], "path string, row_idx bigint, embedding array<double>")
+    asked = held.where("row_idx % 20 = 0").select(F.col("row_idx").alias("query_id"), "embedding")
+    counts = bm25.term_counts(fragments.fragments(notes))
+    searches = [lambda: bm25.search(counts, queries, 5), lambda: fresh.search(notes, queries, 5), lambda: vectors.search(held, asked, 5, "mix")]
+    want = [sorted(map(tuple, found().collect())) for found in searches]
+    for name, value in {"NOTE_BLOCK": 5, "QUERY_BLOCK": 3, "FIRST": 3, "FIRST_ROWS": 0, "MEETINGS": 7}.items():
+        monkeypatch.setattr(packing, name, value)
+    assert [sorted(map(tuple, found().collect())) for found in searches] == want and len(want[0]) == 40
+
+
+def test_a_note_that_comes_again_counts_once():
+    floors = packing.Floors(2)
+    one = np.zeros(1, np.int64)
+    for path, score in (("a", 3.0), ("a", 2.5), ("a", 3.5)):
+        floors.add(0, 2, one, floors.notes([path]), np.array([score]))
+        assert floors.least(0, 2).tolist() == [-np.inf, -np.inf]
+    floors.add(0, 2, one, floors.notes(["b"]), np.array([1.0]))
+    assert floors.least(0, 2).tolist() == [1.0, -np.inf]
+
+
 def test_no_row_for_a_fragment_and_a_query(spark):
     """Every query matches every note: what leaves a task is a few rows a query, not all of them."""
     notes = spark.range(600).selectExpr("concat('n', id, '.md') AS path", "concat('alpha beta gamma word', id) AS content")
